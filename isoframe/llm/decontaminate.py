@@ -68,10 +68,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     for n in lengths:
         kk = min(k, n)
         w = n - kk + 1
-        prints = small(written(items.where(F.col("len") == n).select(grams(F.col("ir"), kk).alias("h")).select(winnow(F.col("h"), w).alias("fps")).select(F.explode("fps").alias("fp")).distinct(), "prints"))
-        # each step is a column of its own: an expression inside a lambda would be evaluated again for every place
+        prints = small(written(items.where(F.col("len") == n).select(grams(F.col("ir"), kk).alias("h")).select(winnow(F.col("h"), w).alias("fps")).select(F.explode_outer("fps").alias("fp")).where("fp IS NOT NULL").distinct(), "prints"))
+        # each step is a column of its own, and explode_outer lets no filter through: an expression that ends up inside a
+        # lambda is evaluated again for every place
         kept = cand.select("id", "key", grams(F.col("dr"), kk).alias("h")).select("id", "key", winnow(F.col("h"), w).alias("fps"))
-        hit = kept.select("id", "key", F.explode("fps").alias("fp")).join(prints, "fp").select("id", "key", F.lit(n).alias("len"), "fp")
+        hit = kept.select("id", "key", F.explode_outer("fps").alias("fp")).join(prints, "fp").select("id", "key", F.lit(n).alias("len"), "fp")
         found = hit if found is None else found.unionByName(hit)
     base = docs.select(*rest).withColumns({"__key": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "n_words": F.size(rough_words(F.col(text))).cast("long")})
     zero = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)}
@@ -97,8 +98,8 @@ def _extend(docs: DataFrame, items: DataFrame, found: DataFrame, text: str, doc_
     spots, marks = None, None
     for n in sorted({r[0] for r in items.select("len").distinct().collect()}):
         kk = min(k, n)
-        d = texts.select("id", "key", F.posexplode(grams(F.col("dr"), kk)).alias("at", "fp")).withColumn("len", F.lit(n))
-        i = items.where(F.col("len") == n).select("ikey", "len", F.posexplode(grams(F.col("ir"), kk)).alias("at", "fp"))
+        d = texts.select("id", "key", F.posexplode_outer(grams(F.col("dr"), kk)).alias("at", "fp")).withColumn("len", F.lit(n))
+        i = items.where(F.col("len") == n).select("ikey", "len", F.posexplode_outer(grams(F.col("ir"), kk)).alias("at", "fp"))
         spots = d if spots is None else spots.unionByName(d)
         marks = i if marks is None else marks.unionByName(i)
     hits = found.select("id", "key", "len", "fp").distinct().select(F.col("id").alias("i2"), F.col("key").alias("k2"), F.col("len").alias("l2"), F.col("fp").alias("f2"))
@@ -110,7 +111,7 @@ def _extend(docs: DataFrame, items: DataFrame, found: DataFrame, text: str, doc_
     starts = F.when(F.size("iw") >= F.col("len"), F.sequence(F.lit(1), F.size("iw") - F.col("len") + 1))
     same = F.filter(starts, lambda s: (s + F.col("shift") >= 1) & (F.slice("iw", s, F.col("len")) == F.slice("dw", F.greatest(s + F.col("shift"), F.lit(1)), F.col("len"))))
     covered = F.flatten(F.transform(same, lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + F.col("len") - 1)))
-    hit = pairs.withColumn("at", F.explode(F.array_distinct(covered)))
+    hit = pairs.withColumn("at", F.explode_outer(F.array_distinct(covered))).where("at IS NOT NULL")
     words_hit = hit.groupBy("id", "key", "at").agg(F.collect_set("item").alias("of"))
     per = words_hit.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
     return per
