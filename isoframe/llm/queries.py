@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from isoframe.llm import decontaminate as op5
 from isoframe.llm import exact_dedup as op8
+from isoframe.llm import packing as op7
+from isoframe.llm import ppm_langid as op1
 from isoframe.llm import sharding as op6
 from isoframe.llm import url_filters as op3
 from isoframe.llm import warc as op9
@@ -19,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op1.identify(docs, op1.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op3.judge_urls(table(spark, sf_dir, "pages"), op3.rules_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -35,6 +48,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -47,7 +64,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_filters, op5_decontaminate, op6_sharding, op8_exact_dedup, op9_warc]
+    found = [op1_ppm_langid, op3_url_filters, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
     return {f.__name__: f for f in found}
 
 
