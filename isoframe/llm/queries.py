@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoframe.llm import decontaminate as op5
 from isoframe.llm import exact_dedup as op8
+from isoframe.llm import minhash as op2
 from isoframe.llm import packing as op7
 from isoframe.llm import ppm_langid as op1
 from isoframe.llm import sharding as op6
@@ -32,6 +33,10 @@ def op1_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.identify(docs, op1.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op3.judge_urls(table(spark, sf_dir, "pages"), op3.rules_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -64,7 +69,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op3_url_filters, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
     return {f.__name__: f for f in found}
 
 
