@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isoframe.llm import decontaminate as op5
 from isoframe.llm import exact_dedup as op8
+from isoframe.llm import lm_automaton as op4
 from isoframe.llm import minhash as op2
 from isoframe.llm import packing as op7
 from isoframe.llm import ppm_langid as op1
@@ -42,6 +43,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op4.score(docs, op4.fit(docs)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op5.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -69,7 +75,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
     return {f.__name__: f for f in found}
 
 
