@@ -14,6 +14,7 @@ from isoframe.llm import minhash as op2
 from isoframe.llm import packing as op7
 from isoframe.llm import ppm_langid as op1
 from isoframe.llm import sharding as op6
+from isoframe.llm import substring_dedup as op10
 from isoframe.llm import url_filters as op3
 from isoframe.llm import warc as op9
 from isoframe.llm.common import new_path
@@ -74,8 +75,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -85,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": op5.ORACLE_SQL,
         "op8_exact_dedup": op8.ORACLE_SQL,
         "op9_warc": op9.ORACLE_SQL,
+        "op10_substring_dedup": op10.ORACLE_SQL,
     }
