@@ -9,7 +9,7 @@ MISSING = "NA"
 
 
 def ratio(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", c), F.lit(MISSING))
+    return F.when(c.isNotNull(), F.format_string("%.3f", c)).otherwise(MISSING)
 
 
 def joined(c: Column) -> Column:

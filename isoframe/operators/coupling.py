@@ -23,12 +23,13 @@ def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent
 
     reads: sample, name, chromosome, strand, start, end, exons; sites match within ``error``.
     """
-    right = transcripts.select("chromosome", "strand", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "transcript", "gene", F.col("exons").alias("r_exons"))
+    right = transcripts.select("chromosome", "strand", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "transcript", "gene", F.concat(F.array("start"), sites_of(F.col("exons")), F.array("end")).alias("r_sites"))
+    # sites are columns of both sides: inside a lambda they would be made anew for every comparison
+    left = reads.withColumn("__sites", sites_of(F.col("exons")))
     ratio = overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")
-    own = F.concat(F.array("r_start"), sites_of(F.col("r_exons")), F.array("r_end"))
-    test = overlaps_within(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), error) & (ratio >= percent) & (fuzzy_matches(sites_of(F.col("exons")), own, error) >= 2)
-    pairs = interval_join(reads, right, ["chromosome", "strand"], bin_size, slack=error, condition=test)
-    return pairs.withColumn("overlap", overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")).drop("r_start", "r_end", "r_exons")
+    test = overlaps_within(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), error) & (ratio >= percent) & (fuzzy_matches(F.col("__sites"), F.col("r_sites"), error) >= 2)
+    pairs = interval_join(left, right, ["chromosome", "strand"], bin_size, slack=error, condition=test)
+    return pairs.withColumn("overlap", overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")).drop("r_start", "r_end", "r_sites", "__sites")
 
 
 def novel_reads(reads: DataFrame, pairs: DataFrame) -> DataFrame:
