@@ -45,9 +45,12 @@ def with_missing(matrix: DataFrame, key: str, digits: bool = False) -> DataFrame
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Tab-separated with a header whose first name carries a ``#``; folders are made as needed."""
+    """Tab-separated with a header whose first name carries a ``#``; folders are made as needed.
+
+    The writer quotes what starts with its comment sign, so that is set to one that does not occur.
+    """
     first = df.columns[0]
-    df.withColumnRenamed(first, f"#{first}").write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df.withColumnRenamed(first, f"#{first}").write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("comment", "\x01").csv(path)
 
 
 def write_junctions(junctions: DataFrame, path: str) -> None:
