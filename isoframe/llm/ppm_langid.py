@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import crc_of_id, forget, written
+from isoframe.llm.common import crc_of_id, forget, small, written
 
 ORDER = 3
 SAMPLE_ROWS = 3000
@@ -56,9 +56,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
     """Code-length tables from the rows that are not held out and have both a text and a language."""
     rows = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
+    sizes = small(written(rows.groupBy("lang").count(), "languages"))
     draw = F.pmod("h", F.lit(1 << 20)) < F.lit(float((1 << 20) * sample_rows)) / F.col("count")
-    sample = rows.join(F.broadcast(sizes), "lang").where(draw).select("text", "lang")
+    sample = rows.join(sizes, "lang").where(draw).select("text", "lang")
     grams = written(sample.mapInArrow(_count, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")), "grams")
     got = grams.orderBy(F.desc("n"), "lang", "size", "code").limit(MAX_GRAMS).toArrow().to_pandas()
     forget(grams)
