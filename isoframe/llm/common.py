@@ -55,6 +55,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if written_bytes(df.sparkSession, df.isoframe_path) <= limit else df
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of a few rows, so that texts become Python objects a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

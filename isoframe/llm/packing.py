@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import written
+from isoframe.llm.common import slices, written
 from isoframe.llm.tokens import encoder
 
 TOKENS = 2048
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows, out, ids_out = [], [], []
             for row, body in enumerate(batch.column(1).to_pylist()):
                 ids = encode(body or "") + end

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import small, written
+from isoframe.llm.common import slices, small, written
 from isoframe.llm.fm_index import FMIndex, repeated
 from isoframe.llm.shingles import mix
 
@@ -114,7 +114,7 @@ def _segments(scan: DataFrame, bloom, kind: str, window: int, k: int) -> DataFra
         table = np.frombuffer(data, np.uint8)
         has = lambda at: table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
         get = Hasher().__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for row, body in enumerate(batch.column(2).to_pylist()):
                 names = split(body)
@@ -143,7 +143,7 @@ def _cut(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = Hasher().__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for owner, body, segs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = np.array(list(map(get, split(body))), np.uint64)
@@ -219,7 +219,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = Hasher().__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for row, body in enumerate(batch.column(2).to_pylist()):
                 names = split(body)
@@ -260,7 +260,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     width = len(rest)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for body, spans in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
                 names = split(body)
