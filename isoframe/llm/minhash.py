@@ -7,8 +7,9 @@ empty, at the latest after 2 * BINS, so every coordinate is filled, and a set of
 Banding: coordinates are hashed in BANDS bands; documents that share a band are candidates. Texts of the same shingle set
 count as one node first. Within a band's bucket each node is first compared with the bucket's least node, and only nodes
 that stay in different components after that are compared with each other, in blocks of bounded size, by their sketches.
-No pair is emitted for nodes already known to be connected. Every pair that is emitted is verified on the full shingle
-sets, so each link is exact; a pair at similarity 0.75 is missed by all bands with probability 5e-6.
+Nodes already known to be connected are not compared. Sketches only rule comparisons out; what they leave is verified on
+the full shingle sets within the block, and only links that connect components leave it, so that no list of pairs grows
+with the square of a bucket. Each link is exact; a pair at similarity 0.75 is missed by all bands with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import forget, small, written
+from isoframe.llm.common import small, slices, written
 from isoframe.llm.components import connected_components
 from isoframe.llm.shingles import mix, shingle_sets
 
@@ -61,7 +62,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str, words: int = WORDS) -> Dat
     salts = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
             n, sig, bands, coords = [], [], [], []
             for elements in shingle_sets(texts, words):
@@ -100,49 +101,98 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _rest_pairs(members: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Pairs of different components whose sketches agree, from rows (k, i, j, part, id, comp, n, bytes).
-
-    Rows come sorted by (k, i, j): the members of blocks i and j of bucket k, at most 2 * BLOCK or so.
-    """
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (k, i, j), which come together: the members of blocks i and j of bucket k, some 2 * BLOCK at most."""
+    held: pa.Table | None = None
+    for batch in _then_none(slices(batches, 4 * BLOCK)):
+        if batch is not None:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not held.num_rows:
+            continue
+        key = np.stack([held[c].to_numpy() for c in ("k", "i", "j")], 1)
+        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        if batch is not None:
+            bounds.pop()  # the last group may go on in the next batch
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo > 1:
+                yield held.slice(lo, hi - lo)
+        held = held.slice(bounds[-1])
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
+def _candidates(rows: pa.Table, x: int, percent: int) -> np.ndarray:
+    """Which rows of a group are to be compared with row x: of another component, of a size that allows a link, each pair once."""
+    ids, comp, n, part = (rows[c].to_numpy() for c in ("id", "comp", "n", "part"))
+    ok = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+    if rows["i"][0].as_py() == rows["j"][0].as_py():
+        return ok & (ids > ids[x])
+    return ok & (part == 1) if part[x] == 0 else np.zeros(len(ids), bool)
+
+
+def _live(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a group whose sketch agrees with that of a candidate."""
+    for rows in _groups(batches):
         s = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(-1, BINS)
-        part, same = rows["part"].to_numpy(), bool(rows["i"][0].as_py() == rows["j"][0].as_py())
+        live = np.zeros(rows.num_rows, bool)
+        for x in range(rows.num_rows):
+            at = np.flatnonzero(_candidates(rows, x, percent))
+            at = at[(s[at] == s[x]).sum(1) >= AGREE]
+            if len(at):
+                live[at] = live[x] = True
+        if live.any():
+            yield from rows.drop_columns("bytes").filter(pa.array(live)).combine_chunks().to_batches()
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified links within groups: of all that hold, those that a spanning forest of the components needs."""
+    for rows in _groups(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(names), np.int32)
+        ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
+        root = {c: c for c in comp.tolist()}
+
+        def find(c, root=root):
+            while root[c] != c:
+                c = root[c]
+            return c
+
         left, right = [], []
         for x in range(len(ids)):
-            ok = (comp != comp[x]) & (ids > ids[x] if same else part != part[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            if not same and part[x]:
+            ok = _candidates(rows, x, percent)
+            if not ok.any():
                 continue
-            at = np.flatnonzero(ok)
-            at = at[(s[at] == s[x]).sum(1) >= AGREE]
-            left += [ids[x]] * len(at)
-            right += ids[at].tolist()
-        return np.minimum(left, right), np.maximum(left, right)
+            own = flat[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[own] = 0
+            for y in np.flatnonzero(ok & (100 * both >= percent * (sizes + sizes[x] - both))).tolist():
+                a, b = find(comp[x].item()), find(comp[y].item())
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left.append(min(ids[x], ids[y]))
+                    right.append(max(ids[x], ids[y]))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(left)), pa.array(np.array(right))], ["a", "b"])
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, set): the full sets, as sorted 64-bit hashes."""
+    kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in (*batches, None):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                new = pa.Table.from_batches([batch])
-                held = new if held is None else pa.concat_tables([held, new])
-            if held is None:
-                break
-            key = np.stack([held[c].to_numpy() for c in ("k", "i", "j")], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            bounds = [0, *cuts.tolist(), len(key)]
-            ready = bounds if batch is None else bounds[:-1]  # the last group may go on in the next batch
-            for lo, hi in zip(ready[:-1], ready[1:], strict=True):
-                if hi - lo > 1:
-                    a, b = compare(held.slice(lo, hi - lo))
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            held = held.slice(ready[-1])
-
-    return members.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        for batch in slices(batches):
+            found = [x.tobytes() for x in shingle_sets([t.encode() for t in batch.column(1).to_pylist()], words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
+
+    return texts.select("id", "body").mapInArrow(run, f"id {kind}, set binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -151,15 +201,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             ok = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                bodies = [t.encode() for c in (2, 3) for t in part.column(c).to_pylist()]
-                sets = list(shingle_sets(bodies, words))
-                for x, y in zip(sets[: part.num_rows], sets[part.num_rows :], strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            bodies = [t.encode() for c in (2, 3) for t in batch.column(c).to_pylist()]
+            sets = list(shingle_sets(bodies, words))
+            for x, y in zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -201,23 +249,29 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     apart = at.join(mixed, "k").withColumns({"nb": n_blocks, "blk": F.pmod(F.xxhash64("id"), n_blocks).cast("int")})
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     apart = apart.select("k", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("part"), "id", "comp")
-    apart = apart.join(nodes.select("id", "n", "bytes"), "id").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    more = _rest_pairs(apart.select("k", "i", "j", "part", "id", "comp", "n", "bytes"), kind, percent)
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    if not more.isEmpty():
-        extra = written(_verify(more, texts_of(more), percent, words), "more_links")
+    apart = apart.join(nodes.select("id", "n", "bytes"), "id").select("k", "i", "j", "part", "id", "comp", "n", "bytes")
+    group = ["k", "i", "j"]
+    place = f"k long, i int, j int, part int, id {kind}, comp {kind}, n long"
+    live = apart.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda rows: _live(rows, percent), place)
+    live = written(live, "live")
+    if not live.isEmpty():
+        sets = _sets(texts_of(live.select(F.col("id").alias("a"), F.col("id").alias("b"))), words)
+        full = live.join(sets, "id").select("k", "i", "j", "part", "id", "comp", "n", "set")
+        extra = full.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda rows: _links(rows, percent), f"a {kind}, b {kind}")
+        extra = written(extra.distinct(), "more_links")
         comps = written(connected_components(links.unionByName(extra)), "components")
     named = nodes.select("sig", F.col("id").alias("node")).join(comps, "node", "left").select(F.col("sig").alias("s2"), F.coalesce("component", "node").alias("c"))
     per = sk.join(named, F.col("sig") == F.col("s2"), "left").select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
     per = per.where("__id IS NOT NULL").groupBy("__id", "__t").agg(F.max("n").alias("n"), F.min("c").alias("c"))
     none = sk.where("id IS NULL").groupBy("tkey").agg(F.max("n").alias("n")).select(F.lit(None).cast(kind).alias("__id"), F.col("tkey").alias("__t"), "n", F.lit(None).cast(kind).alias("c"))
     found = per.unionByName(none)
+    found = found.withColumnsRenamed({"n": "__n", "c": "__c"})  # a column of docs may have any plain name
     on = (F.xxhash64(body) == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id"))
     return docs.select(*rest).join(found, on, "left").select(
         *rest,
-        F.col("n").alias("n_shingles"),
-        F.coalesce("c", F.col(doc_id)).alias("component_id"),
-        F.coalesce(F.col("c"), F.col(doc_id)).eqNullSafe(F.col(doc_id)).alias("kept"),
+        F.col("__n").alias("n_shingles"),
+        F.coalesce("__c", F.col(doc_id)).alias("component_id"),
+        F.coalesce(F.col("__c"), F.col(doc_id)).eqNullSafe(F.col(doc_id)).alias("kept"),
     )
 
 
