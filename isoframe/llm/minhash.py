@@ -243,11 +243,16 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     comps = written(connected_components(links), "star_components")
     # nodes of a bucket that are still apart
     at = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    at = written(at.select("k", "id", "comp", "m"), "placed")
-    mixed = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    apart = at.join(mixed, "k").withColumns({"nb": n_blocks, "blk": F.pmod(F.xxhash64("id"), n_blocks).cast("int")})
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    at = written(at.select("k", "id", "comp"), "placed")
+    # those of its largest component need no comparison with each other: they meet only the blocks of the rest
+    sizes = at.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("k", "largest", blocks(F.col("m") - F.col("c")).alias("n_rest"), blocks(F.col("c")).alias("n_largest"))
+    within, dealt = F.col("comp") == F.col("largest"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    apart = at.join(mixed, "k").withColumn("blk", F.when(within, F.col("n_rest") + dealt("n_largest")).otherwise(dealt("n_rest")))
+    last = F.when(within, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_largest")) - 1
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     apart = apart.select("k", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("part"), "id", "comp")
     apart = apart.join(nodes.select("id", "n", "bytes"), "id").select("k", "i", "j", "part", "id", "comp", "n", "bytes")
     group = ["k", "i", "j"]
