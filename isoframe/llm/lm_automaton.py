@@ -1,35 +1,43 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Counts: every word of the training rows is counted, exactly. Words of a share of WORD_SHARE of all tokens or more, and the
-end, are symbols of their own; the others together are one class symbol, within which a word has its add-one share. n-grams
-of symbols are counted over all training rows, level by level (an n-gram counts only if both its shorter n-grams were
-kept), and those of a share of GRAM_SHARE or more are kept. A share bounds their number by its inverse, so the automaton's
-size has a proven bound at any input and is the same rule at any size; nothing is capped.
-
-Automaton: a kept n-gram is a state, or an arc with its discounted log-probability; a state without an arc for a symbol
-has a failure arc, weighted by its backoff, to the state of its next shorter suffix. The weights make every state a
-probability distribution. One left-to-right pass over a text carries the state and adds up. What words of the class lose
-or gain within it is added by a join with the full counts, which is also where the unigram base gets the rare counts.
+The model: all words of the training rows, and all n-grams to order 3 that occur MIN_COUNT times in them, whatever the size
+of the input. A kept n-gram has its discounted probability; a context without the n-gram that follows falls back, weighted so
+that every context is a probability distribution, to its next shorter suffix. Words have add-one shares.
+
+The model grows with the input, so no process holds it. Texts are read as blocks of about BLOCK tokens; a block names its
+distinct n-grams, dealt to buckets by ranges of a 64-bit hash, and each bucket answers every block with the counts of what it
+asked for. Then the blocks send what followers take of their contexts, each kept n-gram by the one block that owns it, to the
+bucket of the context, which answers with backoffs. With both answers a block passes over its texts from left to right.
+
+With shares given, ``fit`` makes the bounded automaton instead: words of a share of ``word_share`` of all tokens or more, and
+the end, are symbols, the others one class symbol within which a word has its add-one share; n-grams of a share of
+``gram_share`` or more are states and arcs, states have failure arcs. A share bounds their number by its inverse.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.llm.common import crc_of_id, forget, slices, written
 
 ORDER = 3
-WORD_SHARE = 2e-6
-GRAM_SHARE = 2e-5
+#: n-grams of two words or more are kept from this count on.
+MIN_COUNT = 2
 DISCOUNT = 0.5
+#: Tokens of a block, and characters of text for which there is a bucket.
+BLOCK, BUCKET_CHARS = 750_000, 6_000_000
 #: The end of a text; no word is empty.
 END = b""
 #: Entries that a task counts before it hands them on, and resolved steps that it remembers.
@@ -97,8 +105,10 @@ def _count_grams(shared, size: int):
     return run
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> dict:
-    """Counts of the rows that are not held out: the full table of words, and the automaton."""
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, word_share: float | None = None, gram_share: float | None = None) -> dict:
+    """The model of the rows that are not held out; with both shares, the bounded automaton and the full table of words."""
+    if word_share is None or gram_share is None:
+        return {"docs": docs, "text": text, "doc_id": doc_id, "order": order}
     spark = docs.sparkSession
     train = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"))
     words = written(train.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
@@ -213,6 +223,265 @@ class Machine(list):
         return total
 
 
+BLOCKS = "block long, ids array<{0}>, tkeys array<long>, held array<boolean>, sizes array<int>, symbols binary, vocabulary binary"
+ASKED = "bucket int, block long, size int, grams binary, first binary, second binary"
+ANSWERS = "block long, bucket int, size int, answer binary, types long"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers packed by bytes of like significance: sorted hashes and places have few values in the high ones."""
+    blob = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def _of_planes(blob: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, len(blob) // width).T).view(kind).ravel()
+
+
+def _blocks(side: int):
+    """Texts as symbols of their block, whose vocabulary is word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = side << 60 | TaskContext.get().partitionId() << 28, 0
+        ids, tkeys, held, sizes, symbols, vocabulary = [], [], [], [], [], defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        kind = pa.null()
+
+        def out() -> pa.RecordBatch:
+            hashes = b"".join([blake2b(w, digest_size=8).digest() for w in vocabulary])
+            row = [[at], [ids], [tkeys], [held], [sizes], [_planes(np.concatenate(symbols))], [hashes]]
+            types = [pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["block", "ids", "tkeys", "held", "sizes", "symbols", "vocabulary"])
+
+        for batch in slices(batches):
+            kind = batch.schema.field(0).type
+            for key, tkey, body, out_of in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found = np.array([vocabulary[w] for w in tokens(body)], np.int32)
+                ids.append(key)
+                tkeys.append(tkey)
+                held.append(out_of)
+                sizes.append(len(found))
+                symbols.append(found)
+                n += len(found)
+                if n >= BLOCK:
+                    yield out()
+                    at, n = at + 1, 0
+                    for x in (ids, tkeys, held, sizes, symbols, vocabulary):
+                        x.clear()
+        if n:
+            yield out()
+
+    return run
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Block:
+    """The distinct n-grams of a block by size, sorted by hash.
+
+    ``at[n]``: for every token the place of the n-gram that ends there, -1 if its text begins later; ``last[n]``: for every
+    n-gram a token where it ends.
+    """
+
+    def __init__(self, row: dict, order: int, least: int = 1):
+        symbols, words = _of_planes(row["symbols"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
+        sizes = np.array(row["sizes"], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        within = np.arange(len(symbols)) - np.repeat(self.starts, sizes)
+        self.train = np.repeat(~np.array(row["held"], bool), sizes)
+        self.grams, self.at, self.last = {}, {}, {}
+        hashes = word = words[symbols]
+        for n in range(1, order + 1):
+            if n > 1:
+                shifted = np.concatenate([hashes[:1], hashes[:-1]])
+                hashes = _mixed(shifted * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n))
+            if n < least:
+                continue
+            ends = np.flatnonzero(within >= n - 1)
+            self.grams[n], place = np.unique(hashes[ends], return_inverse=True)
+            self.at[n], self.last[n] = np.full(len(symbols), -1, np.int64), np.empty(len(self.grams[n]), np.int64)
+            self.at[n][ends] = place
+            self.last[n][place] = ends
+
+    def context(self, n: int, grams: np.ndarray) -> np.ndarray:
+        return self.at[n - 1][self.last[n][grams] - 1]
+
+    def suffix(self, n: int, grams: np.ndarray) -> np.ndarray:
+        return self.at[n - 1][self.last[n][grams]]
+
+
+def _asked(block: int, n: int, grams: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int) -> Iterator[tuple]:
+    """The sorted n-grams and what is sent of each, cut by bucket."""
+    cuts = np.searchsorted((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[bucket], cuts[bucket + 1])
+        yield bucket, block, n, _planes(grams[part]), _planes(first[part]), None if second is None else _planes(second[part])
+
+
+def _table(rows: list[tuple], names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in names.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _ask_counts(n: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(row, n, n)
+                counts = np.bincount(block.at[n][block.train & (block.at[n] >= 0)], minlength=len(block.grams[n])).astype(np.int64)
+                for asked in _asked(row["block"], n, block.grams[n], counts, None, buckets):
+                    yield from _table([asked], ASKED).to_batches()
+
+    return run
+
+
+def _answer(kinds: tuple, settle: Callable):
+    """Adds up what all blocks sent of an n-gram and answers each of them, in the order in which it asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, rows = table["bucket"][0].as_py(), []
+        for n in sorted(set(table["size"].to_pylist())):
+            asked = table.filter(pa.compute.equal(table["size"], n))
+            parts = [_of_planes(b, np.uint64) for b in asked["grams"].to_pylist()]
+            grams = np.concatenate(parts)
+            order = np.argsort(grams, kind="stable")
+            ranked = grams[order]
+            starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            sums = [np.add.reduceat(np.concatenate([_of_planes(b, k) for b in asked[c].to_pylist()])[order], starts) for c, k in zip(("first", "second"), kinds, strict=False)]
+            settled = settle(n, *sums)
+            each = np.repeat(settled, np.diff(np.append(starts, len(grams))))
+            if len(kinds) == 1:
+                each[starts] *= -1  # the block that owns the n-gram
+            answer = np.empty_like(each)
+            answer[order] = each
+            types = int((settled > 0).sum()) if n == 1 else 0
+            at = 0
+            for block, part in zip(asked["block"].to_pylist(), parts, strict=True):
+                end = at + len(part)
+                rows.append((block, bucket, n, _planes(answer[at:end]), types))
+                at, types = end, 0
+        return _table(rows, ANSWERS)
+
+    return run
+
+
+def _counts_kept(n: int, counts: np.ndarray) -> np.ndarray:
+    return np.where(counts >= (1 if n == 1 else MIN_COUNT), counts, 0)
+
+
+def _backoffs(n: int, kept: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - left, 1e-12)), 0.0)
+
+
+def _joined(answers: pa.Table, kind) -> dict[int, np.ndarray]:
+    """The answers to a block by size of n-gram, in the order of its n-grams."""
+    out: dict[int, list] = defaultdict(list)
+    for row in sorted(answers.select(["size", "bucket", "answer"]).to_pylist(), key=lambda r: (r["size"], r["bucket"])):
+        out[row["size"]].append(_of_planes(row["answer"], kind))
+    return {n: np.concatenate(parts) for n, parts in out.items()}
+
+
+def _ask_backoffs(order: int, buckets: int, size: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        block, signed = Block(row, order), _joined(answers, np.int64)
+        rows, lower = [], (np.abs(signed[1]) + 1) / size
+        for n in range(2, order + 1):
+            if n not in signed:
+                break
+            counts, contexts = np.abs(signed[n]), np.abs(signed[n - 1])
+            found, own = np.flatnonzero(counts), np.flatnonzero(signed[n] < 0)
+            p = np.zeros(len(counts))
+            p[found] = (counts[found] - DISCOUNT) / contexts[block.context(n, found)]
+            at, places = block.context(n, own), np.flatnonzero(contexts)
+            kept = np.bincount(at, p[own], len(contexts))
+            left = np.bincount(at, lower[block.suffix(n, own)], len(contexts))
+            rows += _asked(row["block"], n - 1, block.grams[n - 1][places], kept[places], left[places], buckets)
+            lower = p
+        return _table(rows, ASKED)
+
+    return run
+
+
+WALKED = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double"
+
+
+def _walk(order: int, size: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        block = Block(row, order)
+        of_counts = pa.compute.equal(answers["backoff"], False)
+        counts = {n: np.abs(c) for n, c in _joined(answers.filter(of_counts), np.int64).items()}
+        backoffs = _joined(answers.filter(pa.compute.invert(of_counts)), np.float64)
+        base = np.log10((counts[1] + 1) / size)[block.at[1]]
+        score = base.copy()
+        for n in range(2, order + 1):
+            if n not in counts:
+                break
+            weights = np.zeros(len(counts[n - 1]))
+            if n - 1 in backoffs:
+                weights[counts[n - 1] > 0] = backoffs[n - 1]
+            ends = np.flatnonzero(block.at[n] >= 0)
+            context, c = block.at[n - 1][ends - 1], counts[n][block.at[n][ends]]
+            score[ends] = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.5) / np.maximum(counts[n - 1][context], 1)), score[ends] + weights[context])
+        known = (counts[1] > 0)[block.at[1]].astype(np.int64)
+        kind = blocks.schema.field("ids").type.value_type
+        sums = [np.add.reduceat(x, block.starts) for x in (known, base, score)]
+        return pa.table([pa.array(row["ids"], kind), pa.array(row["tkeys"], pa.int64()), pa.array(row["sizes"], pa.int64()), *map(pa.array, sums)], ["id", "tkey", "n_tokens", "n_known", "base", "walk"])
+
+    return run
+
+
+def _whole(docs: DataFrame, model: dict, text: str, doc_id: str) -> tuple[DataFrame, int]:
+    """Scores of all rows by the whole model, and its number of training tokens."""
+
+    def blocks(side: int, rows: DataFrame, text: str, doc_id: str, held: F.Column) -> DataFrame:
+        body = F.coalesce(F.col(text), F.lit(""))
+        return rows.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("tkey"), body.alias("body"), held.alias("held")).mapInArrow(_blocks(side), BLOCKS.format(dict(rows.dtypes)[doc_id]))
+
+    order, rows = model["order"], model["docs"]
+    same = rows is docs and (text, doc_id) == (model["text"], model["doc_id"])
+    chars = rows.agg(F.sum(F.length(model["text"]))).first()[0] or 0
+    if same:
+        made = written(blocks(0, docs, text, doc_id, held_out(doc_id)), "blocks")
+        asking = made
+    else:
+        made = written(blocks(0, docs, text, doc_id, F.lit(True)), "blocks")
+        train = rows.where(~held_out(model["doc_id"]))
+        asking = made.drop("ids").unionByName(written(blocks(1, train, model["text"], model["doc_id"], F.lit(False)), "blocks").drop("ids"))
+        chars += docs.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = chars // BUCKET_CHARS + 1
+    slim = asking.select("block", "held", "sizes", "symbols", "vocabulary")
+
+    def answered(asked: DataFrame, kinds: tuple, settle: Callable, name: str) -> DataFrame:
+        out = written(asked.groupBy("bucket").applyInArrow(_answer(kinds, settle), ANSWERS), name)
+        docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle that this read
+        return out
+
+    # one size at a time, so that only its shuffle is on disk
+    counts = reduce(DataFrame.unionByName, [answered(slim.mapInArrow(_ask_counts(n, buckets), ASKED), (np.int64,), _counts_kept, "counts") for n in range(1, order + 1)])
+    types = counts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    lengths = F.arrays_zip("held", "sizes")
+    total = asking.select(F.explode(lengths).alias("r")).where("NOT r.held").agg(F.coalesce(F.sum("r.sizes"), F.lit(0))).first()[0]
+    size = total + types + 1
+    asked = slim.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_ask_backoffs(order, buckets, size), ASKED)
+    backoffs = answered(asked, (np.float64, np.float64), _backoffs, "backoffs")
+    names = ["block", "bucket", "size", "answer"]
+    answers = counts.select(*names, F.lit(False).alias("backoff")).unionByName(backoffs.select(*names, F.lit(True).alias("backoff")))
+    answers = answers if same else answers.where(F.col("block") < 1 << 60)
+    walked = made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_walk(order, size), WALKED.format(dict(docs.dtypes)[doc_id]))
+    return written(walked, "walked"), int(total)
+
+
 FIRST = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double, rare array<struct<word:binary,n:int>>"
 
 
@@ -225,6 +494,19 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
     """
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in added]
+    if "docs" in model:
+        per, total = _whole(docs, model, text, doc_id)
+        per = per.select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("walk").alias("score"))
+    else:
+        per, total = _bounded(docs, model, text, doc_id), model["total"]
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    per = per.groupBy("__id", "__t").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    on = (key == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id"))
+    return docs.select(*rest, held_out(doc_id).alias("held_out")).join(per, on, "left").select(*rest, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _bounded(docs: DataFrame, model: dict, text: str, doc_id: str) -> DataFrame:
+    """Scores of all rows by the bounded automaton."""
     kind = dict(docs.dtypes)[doc_id]
     total, types, frequent = model["total"], model["types"], model["frequent"]
     rare_size = model["n_rare"] + types - len(frequent) + 1
@@ -266,12 +548,9 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(rare_size)))).alias("s"),
     )
     zero = F.lit(0.0)
-    per = first.drop("rare").join(more, "row", "left").select(
+    return first.drop("rare").join(more, "row", "left").select(
         F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
         (F.col("walk") + F.coalesce("s", zero)).alias("score"),
     )
-    per = per.groupBy("__id", "__t").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    on = (key == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    return docs.select(*rest, held_out(doc_id).alias("held_out")).join(per, on, "left").select(*rest, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -237,6 +237,40 @@ def test_grams_are_counted_over_all_training_rows(docs):
     assert width == len(frequent) + 1
 
 
+def test_whole_model_is_the_automaton_of_all_grams_that_occur_twice(docs, monkeypatch):
+    monkeypatch.setattr(lm_automaton, "BUCKET_CHARS", 5000)
+    total = table(lm_automaton.score(docs, lm_automaton.fit(docs)))[0].train_tokens
+    bounded = table(lm_automaton.score(docs, lm_automaton.fit(docs, word_share=0.0, gram_share=2 / total)))
+    whole = table(lm_automaton.score(docs, lm_automaton.fit(docs)))
+    other = table(lm_automaton.score(docs.where("doc_id % 2 = 0"), lm_automaton.fit(docs)))
+    assert set(whole) == set(bounded) and set(other) == {i for i in whole if i % 2 == 0}
+    for i, r in bounded.items():
+        for got in (whole[i], other.get(i, whole[i])):
+            assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+            assert (got.base_score, got.score) == (pytest.approx(r.base_score), pytest.approx(r.score))
+
+
+def test_grams_that_occur_twice_count_in_a_large_corpus(spark):
+    rng = random.Random(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [i for i in range(60) if not held(i)]
+    phrase = "alpha beta gamma delta"
+    rows = {i: " ".join(rng.choices([f"w{k}" for k in range(400)], k=5000)) for i in range(60)}
+    for i in train[:2]:
+        rows[i] += " " + phrase
+    test = next(i for i in range(60, 99) if held(i))
+    rows[test] = phrase
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows.items()], SCHEMA).repartition(4)
+    r = table(lm_automaton.score(docs, lm_automaton.fit(docs)))[test]
+    counts = Counter(w for i in train for w in lm_automaton.tokens(rows[i]))
+    total, types = sum(counts.values()), len(counts)
+    assert 2e-5 * total > 3
+    size = total + types + 1
+    # alpha alone; beta, gamma, delta and the end after contexts that occur twice, always followed so
+    want = math.log10(3 / size) + 4 * math.log10(1.5 / 2)
+    assert r.score == pytest.approx(want)
+
+
 def test_sharding(spark, docs, tmp_path):
     out = sharding.shuffle_into_shards(docs, bucket_bytes=2000)
     got = out.collect()
