@@ -18,10 +18,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one of this process only where the cluster names none."""
+    """The folder all executors see, which the cluster names; in local mode, where it may be unset, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master.startswith("local[") or master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="isoframe-"))
 
 
@@ -38,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like ``written``, in buckets of ``key``: later groupings by it shuffle nothing of this table."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"isoframe_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.isoframe_path, out.isoframe_table = path, table
+    return out
+
+
 def written_bytes(spark: SparkSession, path: str) -> int:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
@@ -46,6 +59,8 @@ def written_bytes(spark: SparkSession, path: str) -> int:
 def forget(df: DataFrame) -> None:
     """Deletes a written table that no later plan reads."""
     spark, path = df.sparkSession, df.isoframe_path
+    if name := getattr(df, "isoframe_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -62,6 +77,16 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those asked for that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

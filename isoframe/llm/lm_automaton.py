@@ -6,8 +6,9 @@ that every context is a probability distribution, to its next shorter suffix. Wo
 
 The model grows with the input, so no process holds it. Texts are read as blocks of about BLOCK tokens; a block names its
 distinct n-grams, dealt to buckets by ranges of a 64-bit hash, and each bucket answers every block with the counts of what it
-asked for. Then the blocks send what followers take of their contexts, each kept n-gram by the one block that owns it, to the
-bucket of the context, which answers with backoffs. With both answers a block passes over its texts from left to right.
+asked for. Sizes go in turn, and an n-gram is asked for only if its two shorter ones were kept, as no other can be. Each kept
+n-gram has one block that owns it, which tells the bucket of its context what it takes there; the sums are the context's
+backoff. With all answers a block passes over its texts from left to right.
 
 With shares given, ``fit`` makes the bounded automaton instead: words of a share of ``word_share`` of all tokens or more, and
 the end, are symbols, the others one class symbol within which a word has its add-one share; n-grams of a share of
@@ -18,8 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import repeat
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import crc_of_id, forget, slices, written
+from isoframe.llm.common import bucketed, crc_of_id, forget, free, slices, written
 
 ORDER = 3
 #: n-grams of two words or more are kept from this count on.
@@ -224,8 +224,8 @@ class Machine(list):
 
 
 BLOCKS = "block long, ids array<{0}>, tkeys array<long>, held array<boolean>, sizes array<int>, symbols binary, vocabulary binary"
-ASKED = "bucket int, block long, size int, grams binary, first binary, second binary"
-ANSWERS = "block long, bucket int, size int, answer binary, types long"
+ASKED = "bucket int, block long, size int, grams binary, sent array<binary>"
+ANSWERS = "block long, bucket int, size int, answer array<binary>, types long"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -285,15 +285,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """The distinct n-grams of a block by size, sorted by hash.
 
-    ``at[n]``: for every token the place of the n-gram that ends there, -1 if its text begins later; ``last[n]``: for every
-    n-gram a token where it ends.
+    ``at[n]``: for every token the place of the n-gram that ends there, -1 where there is none; ``last[n]``: for every n-gram
+    a token where it ends. Of three words and more only n-grams are listed whose two shorter ones were kept, since no others
+    can have been; ``signed`` gives the counts answered so far.
     """
 
-    def __init__(self, row: dict, order: int, least: int = 1):
+    def __init__(self, row: dict, order: int, signed: dict[int, np.ndarray]):
         symbols, words = _of_planes(row["symbols"], np.int32), np.frombuffer(row["vocabulary"], np.uint64)
         sizes = np.array(row["sizes"], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        within = np.arange(len(symbols)) - np.repeat(self.starts, sizes)
+        self.name, self.starts = row["block"], np.cumsum(sizes) - sizes
+        self.within = np.arange(len(symbols)) - np.repeat(self.starts, sizes)
         self.train = np.repeat(~np.array(row["held"], bool), sizes)
         self.grams, self.at, self.last = {}, {}, {}
         hashes = word = words[symbols]
@@ -301,142 +302,166 @@ class Block:
             if n > 1:
                 shifted = np.concatenate([hashes[:1], hashes[:-1]])
                 hashes = _mixed(shifted * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n))
-            if n < least:
-                continue
-            ends = np.flatnonzero(within >= n - 1)
+            ends = np.flatnonzero(self.within >= n - 1)
+            if n > 2:
+                kept = self.seen(n - 1, signed)
+                ends = ends[kept[ends - 1] & kept[ends]]
             self.grams[n], place = np.unique(hashes[ends], return_inverse=True)
-            self.at[n], self.last[n] = np.full(len(symbols), -1, np.int64), np.empty(len(self.grams[n]), np.int64)
+            self.at[n], self.last[n] = np.full(len(symbols), -1, np.int32), np.empty(len(self.grams[n]), np.int32)
             self.at[n][ends] = place
             self.last[n][place] = ends
 
+    def seen(self, n: int, signed: dict[int, np.ndarray]) -> np.ndarray:
+        """For every token, whether the n-gram that ends there was kept."""
+        found = np.zeros(len(self.within), bool)
+        ends = np.flatnonzero(self.at[n] >= 0)
+        if n in signed:
+            found[ends] = signed[n][self.at[n][ends]] != 0
+        return found
+
     def context(self, n: int, grams: np.ndarray) -> np.ndarray:
         return self.at[n - 1][self.last[n][grams] - 1]
 
     def suffix(self, n: int, grams: np.ndarray) -> np.ndarray:
         return self.at[n - 1][self.last[n][grams]]
 
-
-def _asked(block: int, n: int, grams: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int) -> Iterator[tuple]:
-    """The sorted n-grams and what is sent of each, cut by bucket."""
+    def ask_counts(self, n: int, buckets: int) -> Iterator[tuple]:
+        counts = np.bincount(self.at[n][self.train & (self.at[n] >= 0)], minlength=len(self.grams[n])).astype(np.int32)
+        yield from _asked(self.name, n, self.grams[n], [counts], buckets)
+
+    def ask_backoffs(self, n: int, signed: dict[int, np.ndarray], buckets: int) -> Iterator[tuple]:
+        """Of each kept context of ``n`` words: how many kept n-grams that this block owns follow it, what their counts have
+        above MIN_COUNT, and what the counts of their suffixes have above theirs."""
+        if n + 1 not in signed:
+            return
+        own = np.flatnonzero(signed[n + 1] < 0)
+        at, size = self.context(n + 1, own), len(self.grams[n])
+        count = -signed[n + 1][own]
+        sums = [np.ones(len(own)), count - MIN_COUNT, np.abs(signed[n][self.suffix(n + 1, own)]) - count]  # small numbers pack well
+        places = np.flatnonzero(signed[n])
+        yield from _asked(self.name, -n, self.grams[n][places], [np.bincount(at, x, size)[places].astype(np.int64) for x in sums], buckets)
+
+
+def _asked(block: int, n: int, grams: np.ndarray, sent: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """The sorted n-grams and what is sent of each, cut by bucket; a negative size asks for backoffs."""
     cuts = np.searchsorted((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     for bucket in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[bucket], cuts[bucket + 1])
-        yield bucket, block, n, _planes(grams[part]), _planes(first[part]), None if second is None else _planes(second[part])
+        yield bucket, block, n, _planes(grams[part]), [_planes(x[part]) for x in sent]
 
 
 def _table(rows: list[tuple], names: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
     fields = [f.split() for f in names.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
-def _ask_counts(n: int, buckets: int):
+def _ask_first(order: int, buckets: int):
+    """Counts of words and of pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                block = Block(row, n, n)
-                counts = np.bincount(block.at[n][block.train & (block.at[n] >= 0)], minlength=len(block.grams[n])).astype(np.int64)
-                for asked in _asked(row["block"], n, block.grams[n], counts, None, buckets):
-                    yield from _table([asked], ASKED).to_batches()
+                block = Block(batch.slice(i, 1).to_pylist()[0], min(order, 2), {})
+                for n in block.grams:
+                    yield from _table(list(block.ask_counts(n, buckets)), ASKED).to_batches()
 
     return run
 
 
-def _answer(kinds: tuple, settle: Callable):
-    """Adds up what all blocks sent of an n-gram and answers each of them, in the order in which it asked."""
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket, rows = table["bucket"][0].as_py(), []
-        for n in sorted(set(table["size"].to_pylist())):
-            asked = table.filter(pa.compute.equal(table["size"], n))
-            parts = [_of_planes(b, np.uint64) for b in asked["grams"].to_pylist()]
-            grams = np.concatenate(parts)
-            order = np.argsort(grams, kind="stable")
-            ranked = grams[order]
-            starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            sums = [np.add.reduceat(np.concatenate([_of_planes(b, k) for b in asked[c].to_pylist()])[order], starts) for c, k in zip(("first", "second"), kinds, strict=False)]
-            settled = settle(n, *sums)
-            each = np.repeat(settled, np.diff(np.append(starts, len(grams))))
-            if len(kinds) == 1:
-                each[starts] *= -1  # the block that owns the n-gram
-            answer = np.empty_like(each)
-            answer[order] = each
-            types = int((settled > 0).sum()) if n == 1 else 0
-            at = 0
-            for block, part in zip(asked["block"].to_pylist(), parts, strict=True):
-                end = at + len(part)
-                rows.append((block, bucket, n, _planes(answer[at:end]), types))
-                at, types = end, 0
-        return _table(rows, ANSWERS)
+def _ask_next(n: int, order: int, buckets: int):
+    """Counts of n-grams (up to ``order`` words), and backoffs of contexts whose followers are counted by now."""
 
-    return run
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        signed = _joined(answers, 1)
+        block = Block(blocks.to_pylist()[0], min(n, order), signed)
+        rows = list(block.ask_counts(n, buckets)) if n <= order else []
+        return _table(rows + list(block.ask_backoffs(n - 2, signed, buckets)), ASKED)
 
+    return run
 
-def _counts_kept(n: int, counts: np.ndarray) -> np.ndarray:
-    return np.where(counts >= (1 if n == 1 else MIN_COUNT), counts, 0)
 
+def _answer(table: pa.Table) -> pa.Table:
+    """Adds up what all blocks sent of an n-gram and answers each of them, in the order in which it asked.
 
-def _backoffs(n: int, kept: np.ndarray, left: np.ndarray) -> np.ndarray:
-    return np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - left, 1e-12)), 0.0)
+    A count is negative for the one block that owns the n-gram, and 0 where it is not kept.
+    """
+    bucket, rows = table["bucket"][0].as_py(), []
+    for n in sorted(set(table["size"].to_pylist())):
+        asked = table.filter(pa.compute.equal(table["size"], n))
+        parts = [_of_planes(b, np.uint64) for b in asked["grams"].to_pylist()]
+        grams = np.concatenate(parts)
+        order = np.argsort(grams, kind="stable")
+        ranked = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        times = np.diff(np.append(starts, len(grams)))
+        sent, answers, types = list(zip(*asked["sent"].to_pylist(), strict=True)), [], 0
+        for planes in sent:
+            sums = np.add.reduceat(np.concatenate([_of_planes(b, np.int32 if n > 0 else np.int64) for b in planes])[order].astype(np.int64), starts)
+            if n > 0:
+                sums = np.where(sums >= (1 if n == 1 else MIN_COUNT), sums, 0)
+                types = int((sums > 0).sum()) if n == 1 else 0
+            each = np.repeat(sums, times)
+            if n > 0:
+                each[starts] *= -1
+            answer = np.empty_like(each)
+            answer[order] = each
+            answers.append(answer)
+        at = 0
+        for block, part in zip(asked["block"].to_pylist(), parts, strict=True):
+            end = at + len(part)
+            rows.append((block, bucket, n, [_planes(x[at:end]) for x in answers], types))
+            at, types = end, 0
+    return _table(rows, ANSWERS)
 
 
-def _joined(answers: pa.Table, kind) -> dict[int, np.ndarray]:
-    """The answers to a block by size of n-gram, in the order of its n-grams."""
+def _joined(answers: pa.Table, sign: int) -> dict:
+    """The answers to a block by size of n-gram, in the order of its n-grams: counts, or the three sums of backoffs."""
     out: dict[int, list] = defaultdict(list)
     for row in sorted(answers.select(["size", "bucket", "answer"]).to_pylist(), key=lambda r: (r["size"], r["bucket"])):
-        out[row["size"]].append(_of_planes(row["answer"], kind))
-    return {n: np.concatenate(parts) for n, parts in out.items()}
-
-
-def _ask_backoffs(order: int, buckets: int, size: int):
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        row = blocks.to_pylist()[0]
-        block, signed = Block(row, order), _joined(answers, np.int64)
-        rows, lower = [], (np.abs(signed[1]) + 1) / size
-        for n in range(2, order + 1):
-            if n not in signed:
-                break
-            counts, contexts = np.abs(signed[n]), np.abs(signed[n - 1])
-            found, own = np.flatnonzero(counts), np.flatnonzero(signed[n] < 0)
-            p = np.zeros(len(counts))
-            p[found] = (counts[found] - DISCOUNT) / contexts[block.context(n, found)]
-            at, places = block.context(n, own), np.flatnonzero(contexts)
-            kept = np.bincount(at, p[own], len(contexts))
-            left = np.bincount(at, lower[block.suffix(n, own)], len(contexts))
-            rows += _asked(row["block"], n - 1, block.grams[n - 1][places], kept[places], left[places], buckets)
-            lower = p
-        return _table(rows, ASKED)
-
-    return run
+        if row["size"] * sign > 0:
+            out[abs(row["size"])].append([_of_planes(x, np.int64) for x in row["answer"]])
+    found = {n: [np.concatenate(x) for x in zip(*parts, strict=True)] for n, parts in out.items()}
+    return {n: x[0] if sign > 0 else x for n, x in found.items()}
 
 
 WALKED = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double"
 
 
 def _walk(order: int, size: int):
+    """Each token's arc from the longest context that was kept; where there is none, the failure arc's backoff is paid and the shorter context asked."""
+
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         row = blocks.to_pylist()[0]
-        block = Block(row, order)
-        of_counts = pa.compute.equal(answers["backoff"], False)
-        counts = {n: np.abs(c) for n, c in _joined(answers.filter(of_counts), np.int64).items()}
-        backoffs = _joined(answers.filter(pa.compute.invert(of_counts)), np.float64)
+        counts = _joined(answers, 1)
+        sums = _joined(answers, -1)
+        block = Block(row, order, counts)
+        counts = {n: np.abs(c) for n, c in counts.items()}
         base = np.log10((counts[1] + 1) / size)[block.at[1]]
         score = base.copy()
         for n in range(2, order + 1):
-            if n not in counts:
+            context = n - 1
+            if context not in sums:
                 break
-            weights = np.zeros(len(counts[n - 1]))
-            if n - 1 in backoffs:
-                weights[counts[n - 1] > 0] = backoffs[n - 1]
-            ends = np.flatnonzero(block.at[n] >= 0)
-            context, c = block.at[n - 1][ends - 1], counts[n][block.at[n][ends]]
-            score[ends] = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.5) / np.maximum(counts[n - 1][context], 1)), score[ends] + weights[context])
+            # the context of each token that has one, and what falling back from it costs
+            tokens_at = np.flatnonzero((block.within >= context) & np.concatenate([[False], block.seen(context, counts)[:-1]]))
+            places = block.at[context][tokens_at - 1]
+            kept_at, weights = np.flatnonzero(counts[context]), np.zeros(len(counts[context]))
+            followers, above, more = sums[context]
+            followed = above + MIN_COUNT * followers
+            lower = followed + more
+            shorter = float(size) if context == 1 else counts[context - 1][block.suffix(context, kept_at)]
+            kept = (followed - DISCOUNT * followers) / counts[context][kept_at]
+            left = (lower + followers if context == 1 else lower - DISCOUNT * followers) / shorter
+            weights[kept_at] = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - left, 1e-12))
+            score[tokens_at] += weights[places]
+            ends = np.flatnonzero(block.seen(n, counts))
+            score[ends] = np.log10((counts[n][block.at[n][ends]] - DISCOUNT) / counts[context][block.at[context][ends - 1]])
         known = (counts[1] > 0)[block.at[1]].astype(np.int64)
         kind = blocks.schema.field("ids").type.value_type
-        sums = [np.add.reduceat(x, block.starts) for x in (known, base, score)]
-        return pa.table([pa.array(row["ids"], kind), pa.array(row["tkeys"], pa.int64()), pa.array(row["sizes"], pa.int64()), *map(pa.array, sums)], ["id", "tkey", "n_tokens", "n_known", "base", "walk"])
+        totals = [np.add.reduceat(x, block.starts) for x in (known, base, score)]
+        return pa.table([pa.array(row["ids"], kind), pa.array(row["tkeys"], pa.int64()), pa.array(row["sizes"], pa.int64()), *map(pa.array, totals)], ["id", "tkey", "n_tokens", "n_known", "base", "walk"])
 
     return run
 
@@ -452,34 +477,39 @@ def _whole(docs: DataFrame, model: dict, text: str, doc_id: str) -> tuple[DataFr
     same = rows is docs and (text, doc_id) == (model["text"], model["doc_id"])
     chars = rows.agg(F.sum(F.length(model["text"]))).first()[0] or 0
     if same:
-        made = written(blocks(0, docs, text, doc_id, held_out(doc_id)), "blocks")
-        asking = made
+        # blocks stay where they are: only answers are shuffled to them
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // (6 * BLOCK))
+        made = bucketed(blocks(0, docs, text, doc_id, held_out(doc_id)), "block", n, "blocks")
+        asking, tables = made, [made]
     else:
         made = written(blocks(0, docs, text, doc_id, F.lit(True)), "blocks")
         train = rows.where(~held_out(model["doc_id"]))
-        asking = made.drop("ids").unionByName(written(blocks(1, train, model["text"], model["doc_id"], F.lit(False)), "blocks").drop("ids"))
+        trained = written(blocks(1, train, model["text"], model["doc_id"], F.lit(False)), "blocks")
+        asking, tables = made.drop("ids").unionByName(trained.drop("ids")), [made, trained]
         chars += docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = chars // BUCKET_CHARS + 1
     slim = asking.select("block", "held", "sizes", "symbols", "vocabulary")
 
-    def answered(asked: DataFrame, kinds: tuple, settle: Callable, name: str) -> DataFrame:
-        out = written(asked.groupBy("bucket").applyInArrow(_answer(kinds, settle), ANSWERS), name)
+    def answered(asked: DataFrame) -> DataFrame:
+        out = written(asked.groupBy("bucket").applyInArrow(_answer, ANSWERS), "answers")
+        tables.append(out)
         docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle that this read
         return out
 
     # one size at a time, so that only its shuffle is on disk
-    counts = reduce(DataFrame.unionByName, [answered(slim.mapInArrow(_ask_counts(n, buckets), ASKED), (np.int64,), _counts_kept, "counts") for n in range(1, order + 1)])
-    types = counts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    answers = answered(slim.mapInArrow(_ask_first(order, buckets), ASKED))
+    types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    for n in range(3, order + 2):
+        told = answers.where("size > 0").groupBy("block")
+        answers = answers.unionByName(answered(slim.groupBy("block").cogroup(told).applyInArrow(_ask_next(n, order, buckets), ASKED)))
     lengths = F.arrays_zip("held", "sizes")
     total = asking.select(F.explode(lengths).alias("r")).where("NOT r.held").agg(F.coalesce(F.sum("r.sizes"), F.lit(0))).first()[0]
-    size = total + types + 1
-    asked = slim.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_ask_backoffs(order, buckets, size), ASKED)
-    backoffs = answered(asked, (np.float64, np.float64), _backoffs, "backoffs")
-    names = ["block", "bucket", "size", "answer"]
-    answers = counts.select(*names, F.lit(False).alias("backoff")).unionByName(backoffs.select(*names, F.lit(True).alias("backoff")))
-    answers = answers if same else answers.where(F.col("block") < 1 << 60)
-    walked = made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_walk(order, size), WALKED.format(dict(docs.dtypes)[doc_id]))
-    return written(walked, "walked"), int(total)
+    told = (answers if same else answers.where(F.col("block") < 1 << 60)).groupBy("block")
+    walked = written(made.groupBy("block").cogroup(told).applyInArrow(_walk(order, total + types + 1), WALKED.format(dict(docs.dtypes)[doc_id])), "walked")
+    for table in tables:
+        forget(table)
+    docs.sparkSession._jvm.System.gc()
+    return walked, int(total)
 
 
 FIRST = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double, rare array<struct<word:binary,n:int>>"
@@ -499,10 +529,12 @@ def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_i
         per = per.select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("walk").alias("score"))
     else:
         per, total = _bounded(docs, model, text, doc_id), model["total"]
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    per = per.groupBy("__id", "__t").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    on = (key == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    return docs.select(*rest, held_out(doc_id).alias("held_out")).join(per, on, "left").select(*rest, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    key, own, of, at = free(docs, "__key", "__own", "__of", "__at")
+    per = per.groupBy(F.col("__id").alias(of), F.col("__t").alias(at)).agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    # the key is a column of its own, so that the join needs no text
+    rows = docs.select(*rest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(key), F.col(doc_id).alias(own), held_out(doc_id).alias("held_out"))
+    on = (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(of))
+    return rows.join(per, on, "left").select(*rest, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _bounded(docs: DataFrame, model: dict, text: str, doc_id: str) -> DataFrame:

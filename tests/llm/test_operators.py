@@ -490,3 +490,41 @@ def test_pipeline(spark, sf):
         assert kept == want, name
         docs, left = out, {i: left[i] for i in kept}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(left)
+
+
+def test_language_model_from_raw_counts(spark, docs, monkeypatch):
+    """Scores against a plain recursion over the counts of all training n-grams: no arcs, blocks or hashes."""
+    monkeypatch.setattr(lm_automaton, "BLOCK", 3000)
+    monkeypatch.setattr(lm_automaton, "BUCKET_CHARS", 4000)
+    counts, total = [Counter() for _ in range(4)], 0
+    for i, t, *_ in ROWS:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = lm_automaton.tokens(t)
+            total += len(w)
+            for n in (1, 2, 3):
+                counts[n].update(zip(*(w[k:] for k in range(n)), strict=False))
+    kept = [None, counts[1], *({g: c for g, c in counts[n].items() if c >= 2} for n in (2, 3))]
+    size = total + len(counts[1]) + 1
+    followers = [None, {}, {}]
+    for n in (2, 3):
+        for g in kept[n]:
+            followers[n - 1].setdefault(g[:-1], []).append(g[-1])
+
+    def p(context, w):
+        if not context:
+            return (counts[1][(w,)] + 1) / size
+        if context not in kept[len(context)]:
+            return p(context[1:], w)
+        c = kept[len(context) + 1].get((*context, w))
+        if c:
+            return (c - 0.5) / kept[len(context)][context]
+        of = followers[len(context)].get(context, [])
+        taken = sum((kept[len(context) + 1][(*context, x)] - 0.5) / kept[len(context)][context] for x in of)
+        return p(context[1:], w) * max(1 - taken, 1e-12) / max(1 - sum(p(context[1:], x) for x in of), 1e-12)
+
+    got = table(lm_automaton.score(docs.repartition(3), lm_automaton.fit(docs)))
+    assert len(kept[3]) > 100
+    for i, t, *_ in ROWS:
+        w = lm_automaton.tokens(t)
+        assert got[i].train_tokens == total
+        assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w)))
