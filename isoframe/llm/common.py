@@ -65,6 +65,21 @@ def forget(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Written tables of one operator, which go together."""
+
+    def __init__(self):
+        self._tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self._tables.append(written(df, name))
+        return self._tables[-1]
+
+    def forget(self) -> None:
+        for table in self._tables:
+            forget(table)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table, to be broadcast only if its files are within ``limit`` bytes."""
     return F.broadcast(df) if written_bytes(df.sparkSession, df.isoframe_path) <= limit else df

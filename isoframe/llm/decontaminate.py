@@ -1,44 +1,96 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
-Words are hashed in k-grams; of every run of w k-grams the least hash is kept, on both sides. A shared span of k + w - 1
-words contains the same run on both sides and so the same least hash, hence no window of that many words is missed. The
-kept hashes of documents and benchmark are joined; each hit gives an alignment of one document and one item, which is then
-extended by comparing the words themselves.
+Words are hashed in k-grams; of every run of w k-grams the least hash is its window's fingerprint, on both sides. A shared
+span of k + w - 1 words is the same window on both sides and so has the same fingerprint, hence no window of that many words
+is missed. Windows of documents whose fingerprint an item has are then compared by their words; each that an item holds is a
+hit, and hits that overlap or follow each other are one extended span.
+
+Documents are read once, whatever lengths items have. Windows of items are joined by their words, each only once, however
+often it is repeated in items; so a repeated passage makes a row for each of its places in documents, not for pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import ascii_lower, small, written
+from isoframe.llm.common import Scratch, ascii_lower, free, small, written
 
-#: Between the words of a text whose A-Z are lower-cased.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words. Only A-Z are lower-cased, which changes no border, so it may be done later.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 K = 7
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), NOT_WORD), lambda w: w != "")
+    """The words as they stand; equal ones may differ in the case of A-Z."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD), "")
 
 
-def rough_words(text: Column) -> Column:
-    """Like ``words`` with every letter lower-cased: equal words stay equal, so it serves to find candidates, faster."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+def word_hashes(ws: Column) -> Column:
+    """Equal words have equal hashes: lower-casing by word sees the same context in both."""
+    return F.transform(ws, lambda w: F.xxhash64(F.lower(w)))
 
 
-def grams(ws: Column, k: int) -> Column:
-    """The hash of every run of k words, by its place."""
-    return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def passage(ws: Column, at: Column, n: Column) -> Column:
+    """The words from place ``at`` (1-based) as the rule compares them; a word has no space."""
+    return ascii_lower(F.array_join(F.slice(ws, at, n), " "))
 
 
-def winnow(hashes: Column, w: int) -> Column:
-    """The distinct least hashes of all runs of w."""
-    if w == 1:
-        return F.array_distinct(hashes)
-    least = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.array_min(F.slice(hashes, i, w)))
-    return F.when(F.size(hashes) >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+def windows(df: DataFrame, keep: list[str], ws: str, hashes: str, lengths: list[int], k: int) -> DataFrame:
+    """keep, ``ws``, at, len and fp for every window of one of the lengths.
+
+    fp is the least k-gram hash of the window. Each step is a column of its own, so that it is computed once for a place.
+    """
+    least, most = lengths[0], lengths[-1]
+    places = F.when(F.size(hashes) >= least, F.sequence(F.lit(1), F.size(hashes) - (least - 1)))
+    out = df.select(*keep, ws, hashes, F.explode(places).alias("at"))
+    out = out.select(*keep, ws, "at", *[F.try_element_at(hashes, F.col("at") + i).alias(f"w{i}") for i in range(most)])
+    grams = {(i, min(k, n)) for n in lengths for i in range(n - min(k, n) + 1)}
+    out = out.select(*keep, ws, "at", f"w{most - 1}", *[f"w{n - 1}" for n in lengths[:-1]], *[F.xxhash64(*[f"w{j}" for j in range(i, i + kk)]).alias(f"g{i}_{kk}") for i, kk in sorted(grams)])
+
+    def fp(n: int) -> Column:
+        of = [F.col(f"g{i}_{min(k, n)}") for i in range(n - min(k, n) + 1)]
+        return F.least(*of) if len(of) > 1 else of[0]
+
+    if least == most:
+        return out.select(*keep, ws, "at", F.lit(least).alias("len"), fp(least).alias("fp"))
+    # a longer window than the text has room for has no last word
+    each = F.array(*[F.struct(F.lit(n).alias("len"), F.when(F.col(f"w{n - 1}").isNotNull(), fp(n)).alias("fp")) for n in lengths])
+    return out.select(*keep, ws, "at", F.explode(each).alias("f")).select(*keep, ws, "at", "f.len", "f.fp").where("fp IS NOT NULL")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, item_text: str, item_id: str, window: int, k: int) -> DataFrame | None:
+    """(id, key, n_hit, items), written, for every text that a window of an item occurs in; None if no item has a word."""
+    scratch = Scratch()
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("iw")).where("size(iw) > 0")
+    items = scratch.written(items.select("item", "iw", F.least(F.size("iw"), F.lit(window)).alias("len"), word_hashes(F.col("iw")).alias("ih")), "items")
+    # window lengths in use: at most ``window`` different numbers
+    lengths = sorted(r[0] for r in items.select("len").distinct().collect())
+    if not lengths:
+        return None
+    own = reduce(DataFrame.unionByName, [windows(items.where(F.col("len") == n).drop("len"), ["item"], "iw", "ih", [n], k) for n in lengths])
+    own = scratch.written(own.select("item", "len", "fp", passage(F.col("iw"), F.col("at"), F.col("len")).alias("passage")).distinct(), "item_windows")
+    prints = small(scratch.written(own.select(F.col("fp").alias("f2")).distinct(), "prints"))
+    passages = small(scratch.written(own.select(F.col("len").alias("l2"), F.col("passage").alias("p2")).distinct(), "passages"))
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), words(F.col(text)).alias("dw"))
+    rows = rows.select("id", "key", "dw", word_hashes(F.col("dw")).alias("dh"))
+    found = windows(rows, ["id", "key"], "dw", "dh", lengths, k).join(prints, F.col("fp") == F.col("f2"))
+    found = found.select("id", "key", "at", "len", passage(F.col("dw"), F.col("at"), F.col("len")).alias("passage"))
+    found = found.join(passages, (F.col("passage") == F.col("p2")) & (F.col("len") == F.col("l2")), "left_semi")
+    found = scratch.written(found.distinct(), "hits")
+    places = found.select("id", "key", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at"))
+    n_hit = places.distinct().groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_hit"))
+    of = own.select("item", F.col("len").alias("l2"), F.col("passage").alias("p2"))
+    named = found.select("id", "key", "len", "passage").distinct().join(of, (F.col("passage") == F.col("p2")) & (F.col("len") == F.col("l2")))
+    named = named.groupBy("id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = [F.col("key") == F.col("k2"), F.col("id").eqNullSafe(F.col("i2"))]
+    spans = written(n_hit.join(named.select(F.col("id").alias("i2"), F.col("key").alias("k2"), "items"), same).select("id", "key", "n_hit", "items"), "spans")
+    scratch.forget()
+    return spans
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -46,75 +98,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item; an item without words has none. A
     word of a document is hit if it lies in an occurrence of a window. contaminated: n_hit > 0 and 20 * n_hit >= n_words.
-    items: sorted ids, as strings, of the items that occur. A null text has no words. Rows that repeat are each judged.
-    Rows that share an id but not the text are judged apart. Columns of ``docs`` named like the added ones are replaced.
+    items: sorted ids, as strings, of the items that occur; an item without an id occurs under none. A null text has no words.
+    Rows that repeat are each judged. Rows that share an id but not the text are judged apart. Columns of ``docs`` named like
+    the added ones are replaced. Empty documents give no rows; an empty benchmark hits nothing.
     """
     added = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     rest = [c for c in docs.columns if c not in added]
-    items = written(
-        benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t"))
-        .withColumns({"ikey": F.xxhash64("item", "t"), "iw": words(F.col("t")), "ir": rough_words(F.col("t"))})
-        .where("size(iw) > 0")
-        .withColumn("len", F.least(F.size("iw"), F.lit(window)))
-        .select("ikey", "item", "iw", "ir", "len")
-        .dropDuplicates(["ikey"]),
-        "items",
-    )
-    # window lengths in use: at most ``window`` different numbers
-    lengths = sorted(r[0] for r in items.select("len").distinct().collect())
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key")
-    cand = docs.select(F.col(doc_id).alias("id"), key, rough_words(F.col(text)).alias("dr"))
-    found = None
-    for n in lengths:
-        kk = min(k, n)
-        w = n - kk + 1
-        prints = small(written(items.where(F.col("len") == n).select(grams(F.col("ir"), kk).alias("h")).select(winnow(F.col("h"), w).alias("fps")).select(F.explode_outer("fps").alias("fp")).where("fp IS NOT NULL").distinct(), "prints"))
-        # each step is a column of its own, and explode_outer lets no filter through: an expression that ends up inside a
-        # lambda is evaluated again for every place
-        kept = cand.select("id", "key", grams(F.col("dr"), kk).alias("h")).select("id", "key", winnow(F.col("h"), w).alias("fps"))
-        hit = kept.select("id", "key", F.explode_outer("fps").alias("fp")).join(prints, "fp").select("id", "key", F.lit(n).alias("len"), "fp")
-        found = hit if found is None else found.unionByName(hit)
-    base = docs.select(*rest).withColumns({"__key": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "n_words": F.size(rough_words(F.col(text))).cast("long")})
-    zero = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)}
-    if found is None:
-        return base.withColumns(zero).select(*rest, *added)
-    found = written(found, "found")
-    spans = _extend(docs, items, found, text, doc_id, window, k)
-    out = base.join(spans.withColumnRenamed("key", "__k").withColumnRenamed("id", "__id"), (F.col("__key") == F.col("__k")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left")
-    return out.withColumns({
-        "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
-        "n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"),
-        "items": F.coalesce("items", F.array().cast("array<string>")),
-    }).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*rest, *added)
-
-
-def _extend(docs: DataFrame, items: DataFrame, found: DataFrame, text: str, doc_id: str, window: int, k: int) -> DataFrame:
-    """Per document with a hit (id, key): n_hit and items."""
-    hot = small(written(found.select("id", "key").distinct(), "hot"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("t"))
-    texts = texts.join(hot.select(F.col("id").alias("i2"), F.col("key").alias("k2")), (F.col("key") == F.col("k2")) & F.col("id").eqNullSafe(F.col("i2")), "left_semi")
-    texts = written(texts.dropDuplicates(["id", "key"]).select("id", "key", words(F.col("t")).alias("dw"), rough_words(F.col("t")).alias("dr")), "hit_texts")
-    # places of the hit k-grams on both sides give the alignments
-    spots, marks = None, None
-    for n in sorted({r[0] for r in items.select("len").distinct().collect()}):
-        kk = min(k, n)
-        d = texts.select("id", "key", F.posexplode_outer(grams(F.col("dr"), kk)).alias("at", "fp")).withColumn("len", F.lit(n))
-        i = items.where(F.col("len") == n).select("ikey", "len", F.posexplode_outer(grams(F.col("ir"), kk)).alias("at", "fp"))
-        spots = d if spots is None else spots.unionByName(d)
-        marks = i if marks is None else marks.unionByName(i)
-    hits = found.select("id", "key", "len", "fp").distinct().select(F.col("id").alias("i2"), F.col("key").alias("k2"), F.col("len").alias("l2"), F.col("fp").alias("f2"))
-    spots = spots.join(hits, (F.col("key") == F.col("k2")) & (F.col("fp") == F.col("f2")) & (F.col("len") == F.col("l2")) & F.col("id").eqNullSafe(F.col("i2")), "left_semi")
-    marks = marks.select("ikey", F.col("len").alias("l3"), F.col("fp").alias("f3"), F.col("at").alias("iat"))
-    pairs = spots.join(marks, (F.col("fp") == F.col("f3")) & (F.col("len") == F.col("l3"))).select("id", "key", "ikey", F.col("len"), (F.col("at") - F.col("iat")).alias("shift")).distinct()
-    pairs = pairs.join(items.select("ikey", "item", "iw"), "ikey")
-    pairs = pairs.join(texts.select(F.col("id").alias("ti"), F.col("key").alias("tk"), "dw"), (F.col("key") == F.col("tk")) & F.col("id").eqNullSafe(F.col("ti")))
-    starts = F.when(F.size("iw") >= F.col("len"), F.sequence(F.lit(1), F.size("iw") - F.col("len") + 1))
-    same = F.filter(starts, lambda s: (s + F.col("shift") >= 1) & (F.slice("iw", s, F.col("len")) == F.slice("dw", F.greatest(s + F.col("shift"), F.lit(1)), F.col("len"))))
-    covered = F.flatten(F.transform(same, lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + F.col("len") - 1)))
-    hit = pairs.withColumn("at", F.explode_outer(F.array_distinct(covered))).where("at IS NOT NULL")
-    words_hit = hit.groupBy("id", "key", "at").agg(F.collect_set("item").alias("of"))
-    per = words_hit.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
-    return per
+    key, own, of, at = free(docs, "__key", "__own", "__of", "__at")
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(*rest, F.xxhash64(body).alias(key), F.col(doc_id).alias(own), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    spans = hits(docs, benchmark, text, doc_id, item_text, item_id, window, k)
+    none, no_items = F.lit(0).cast("long"), F.array().cast("array<string>")
+    if spans is None:
+        return base.withColumns({"n_hit": none, "n_items": none, "items": no_items, "contaminated": F.lit(False)}).select(*rest, *added)
+    spans = small(spans).select(F.col("id").alias(of), F.col("key").alias(at), "n_hit", "items")
+    out = base.join(spans, (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(of)), "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", none), "items": F.coalesce("items", no_items)})
+    out = out.withColumn("n_items", F.size("items").cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(*rest, *added)
 
 
 ORACLE_SQL = """

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,7 +94,7 @@ def test_code_lengths_are_those_of_a_plain_walk():
     texts = {"en": b"the river and the stone and the water", "de": b"der fluss und der stein und das wasser"}
     rows = [(lang, n, int.from_bytes(t[i : i + n], "big"), 1) for lang, t in texts.items() for n in range(1, 5) for i in range(len(t) - n + 1)]
     grams = pd.DataFrame(rows, columns=["lang", "size", "code", "n"]).groupby(["lang", "size", "code"], as_index=False).sum()
-    model = ppm_langid.tables(grams, min_context=1)
+    model = ppm_langid.tables(grams)
 
     def p(lang, context, byte):
         """By recursion on the context, symbols of longer contexts being excluded."""
@@ -113,16 +114,26 @@ def test_code_lengths_are_those_of_a_plain_walk():
     for text in (b"the wasser", b"stone\xc3\xa9", b"z"):
         got = ppm_langid.code_lengths(model, [b"", text])[1]
         for k, lang in enumerate(model["langs"]):
-            def known(c, lang=lang):
-                return any(texts[x].find(c) >= 0 and texts[x].find(c) + len(c) < len(texts[x]) for x in texts)
+            want = sum(-math.log(p(lang, text[max(0, i - 3) : i], b)) for i, b in enumerate(text))
+            assert got[k] == pytest.approx(want)
 
-            want = 0.0
-            for i, b in enumerate(text):
-                c = text[max(0, i - 3) : i]
-                while c and not known(c):
-                    c = c[1:]
-                want -= math.log(p(lang, c, b))
-            assert got[k] == pytest.approx(want, rel=1e-5)
+
+def test_texts_beyond_a_chunk_count_and_score_as_a_whole(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["the river and the stone " * 9, "é", "", "x" * 50 + "the end"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["a", "b", "a", "a"]})
+
+    def counted():
+        parts = pa.Table.from_batches(list(ppm_langid._count([batch]))).to_pandas()
+        return parts.groupby(["lang", "size", "code"], as_index=False)["n"].sum()
+
+    grams = counted()
+    model = ppm_langid.tables(grams)
+    whole = ppm_langid.code_lengths(model, [t.encode() for t in texts])
+    monkeypatch.setattr(ppm_langid, "CHUNK", 7)
+    assert counted().equals(grams)
+    assert ppm_langid.code_lengths(model, [t.encode() for t in texts]) == pytest.approx(whole)
 
 
 def brute_near(rows):
@@ -337,14 +348,30 @@ def test_words_encode_as_the_whole_text(text):
     assert np.frombuffer(tokens.encoder(path).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|>b", "<|endoftext|> <|endoftext|>\n\n", "<|endoftext", "a" + "\n" * 1_000_000 + " b", "\t" * 20_000, " " * 20_000 + "x"])
+def test_added_tokens_and_long_runs_encode_as_in_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    assert np.frombuffer(tokens.encoder(path).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_directory_splits_overfull_buckets():
     leaves = {0: 5, 1: 50, 2: 3, 7: 2}
-    found = exact_dedup.directory(leaves, 10, max_depth=3)
-    assert found == [(0, 3, 5), (1, 3, 50), (1, 2, 3), (1, 1, 2)]  # a leaf that cannot be split further stays overfull
+    found = exact_dedup.directory(leaves, 10, 3)
+    assert found == [(0, 3, 5), (1, 3, 50), (1, 2, 3), (1, 1, 2)]
     covered = sorted(x for p, d, _ in found for x in range(p << (3 - d), (p + 1) << (3 - d)))
     assert covered == list(range(8))
 
 
+def test_index_doubles_until_no_bucket_is_overfull(spark):
+    keys = [(k << 40) + (1 << 62) for k in range(40)] * 2
+    index, slots, depth = exact_dedup.build_index(spark.createDataFrame([(k,) for k in keys], "key long"), capacity=3)
+    sizes = Counter(r.bucket for r in index.collect())
+    assert depth > 20 and max(sizes.values()) <= 3 and sum(sizes.values()) == 40
+    assert {r.n_rows for r in index.collect()} == {2}
+
+
 def test_one_of_repeated_rows_stays(spark):
     rows = [(1, "a", None, None, None)] * 3 + [(None, "a", None, None, None), (None, "b", None, None, None), (2, None, None, None, None), (3, "", None, None, None)]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA), capacity=1).collect()
@@ -444,6 +471,38 @@ def test_empty_tables_and_nulls(spark, name):
     assert len(set(out.columns)) == len(out.columns)
 
 
+def words_of(text):
+    """The contract's words, by plain code."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+
+
+def brute_hits(text, items, window=13):
+    w, hit, of = words_of(text), set(), set()
+    for name, t in items:
+        x = words_of(t)
+        n = min(window, len(x))
+        for s in range(len(x) - n + 1) if n else ():
+            for k in range(len(w) - n + 1):
+                if w[k : k + n] == x[s : s + n]:
+                    hit.update(range(k, k + n))
+                    of.add(str(name))
+    return len(w), len(hit), sorted(of), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_benchmark_words_in_odd_places(spark):
+    """Capital sigma, other case pairs, repeated words, short items, and hits that overlap, against brute force."""
+    long = " ".join(f"w{i}" for i in range(20))
+    items = [(1, "ΑΣ Β"), (2, "x " * 30), (3, long), (4, "É clair"), (5, None), (6, "--"), (7, long), (None, "a lone id")]
+    texts = ["ΑΣ.Β", "ας Β", "ΑΣ", "αΣ Β ΑΣ!Β", "X x " * 40, "x " * 12, "pre " + long.upper() + " w3 w4 post", "é clair", "É Clair", "\u212a a LONE id", None, "", "w0 " + long[3:40]]
+    texts += [" ".join(f"w{i}" for i in range(a, a + 13)) for a in (0, 3, 7, 8)] + ["y " * 300 + long]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = table(decontaminate.decontaminate(docs, bench))
+    for i, t in enumerate(texts):
+        n, hit, of, bad = brute_hits(t, items)
+        assert (got[i].n_words, got[i].n_hit, got[i].items, got[i].contaminated) == (n, hit, [x for x in of if x != "None"], bad), t
+
+
 def test_benchmark_that_is_empty(docs):
     nothing = docs.sparkSession.createDataFrame([(1, None)], "item_id long, text string")
     assert docs.count() == decontaminate.decontaminate(docs, nothing).where("NOT contaminated AND n_hit = 0").count()
