@@ -2,57 +2,83 @@
 
 1. Every text gets a 64-bit key. The index holds one entry per key with its number of rows, so that any number of
    copies takes one entry and a hot text cannot overfill a bucket.
-2. The directory starts with one bucket. While a bucket holds more entries than its capacity, it is split by its next
-   key bit, and the directory doubles when the split needs more bits than it has. Entries are then written to shared
-   files, dealt by bucket, so that each owner task writes one range of keys.
-3. Keys with more than one row are chained: their rows are grouped by key and by the bytes of the text, so that two
-   texts of one key are told apart. Of each group one row stays.
+2. The directory has a slot for every value of the key's first bits. It doubles, by one more bit, until no bucket holds more
+   entries than the capacity; slots that need not be told apart share a bucket. Entries are written to shared files by
+   bucket, so that each owner task writes one range of keys.
+3. Rows find their bucket through the directory and meet its entries there. Those of keys with more than one row are chained:
+   per bucket and key one link for each different text, told apart by its bytes, with its rows counted and its largest id.
+   Copies are folded before they are shuffled. The row with the largest id of a link stays.
 
-Only texts whose key occurs more than once are shuffled, and map-side aggregation folds the copies of a hot text first.
+Only texts whose key occurs more than once are shuffled, one for each task that holds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import forget, small, written
+from isoframe.llm.common import forget, free, small, written
 
-#: Directory depth at which splitting ends: the directory has at most 2**MAX_DEPTH slots, whatever the input.
-MAX_DEPTH = 14
-CAPACITY = 500_000
+#: Entries of a bucket at most. The directory has about four slots for each full bucket.
+CAPACITY = 50_000
 
 
-def directory(leaves: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
-    """Buckets (prefix, depth, entries) from entry counts by the first ``max_depth`` bits of the key."""
-    done, open_ = [], [(0, 0, sum(leaves.values()))]
+def leaf_of(key: Column | str, depth: int) -> Column:
+    """The first ``depth`` bits of the key, as a number."""
+    return F.shiftrightunsigned(key, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
+
+
+def directory(leaves: dict[int, int], capacity: int, depth: int) -> list[tuple[int, int, int]]:
+    """Buckets (prefix, depth, entries) from entry counts by the first ``depth`` bits of the key."""
+    done, open_ = [], [(0, 0, sorted(leaves.items()))]
     while open_:
-        prefix, depth, n = open_.pop()
-        if n <= capacity or depth == max_depth:
-            done.append((prefix, depth, n))
+        prefix, d, held = open_.pop()
+        if sum(n for _, n in held) <= capacity or d == depth:
+            done.append((prefix, d, sum(n for _, n in held)))
             continue
-        low = max_depth - depth - 1
-        one = sum(leaves.get(x, 0) for x in range((2 * prefix + 1) << low, (2 * prefix + 2) << low))
-        open_ += [(2 * prefix, depth + 1, n - one), (2 * prefix + 1, depth + 1, one)]
-    return sorted(done, key=lambda b: b[0] << (max_depth - b[1]))
+        middle = (2 * prefix + 1) << (depth - d - 1)
+        open_ += [(2 * prefix, d + 1, [x for x in held if x[0] < middle]), (2 * prefix + 1, d + 1, [x for x in held if x[0] >= middle])]
+    return sorted(done, key=lambda b: b[0] << (depth - b[1]))
 
 
-def build_index(keyed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The written index (bucket, key, n_rows) of ``keyed`` (a column ``key``)."""
+def build_index(keyed: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The written index (bucket, key, n_rows) of ``keyed`` (a column ``key``), the directory (leaf, bucket) and its depth."""
     spark = keyed.sparkSession
     entries = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "entries")
-    leaf = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    # at most 2**MAX_DEPTH counters reach the driver
-    leaves = {r["leaf"]: r["count"] for r in entries.groupBy(leaf.alias("leaf")).count().collect()}
-    slots = []
-    for bucket, (prefix, depth, _) in enumerate(directory(leaves, capacity)):
-        low = MAX_DEPTH - depth
-        slots += [(x, bucket) for x in range(prefix << low, (prefix + 1) << low)]
-    table = F.broadcast(spark.createDataFrame(slots, "leaf int, bucket int"))
-    dealt = entries.withColumn("leaf", leaf).join(table, "leaf").select("bucket", "key", "n_rows")
+    depth = max(0, (4 * entries.count() // capacity).bit_length() - 1)
+    while True:
+        # about 4 * entries / capacity counters reach the driver; keys differ, so at 64 bits each is alone
+        leaves = {r["leaf"]: r["count"] for r in entries.groupBy(leaf_of("key", depth).alias("leaf")).count().collect()}
+        if depth == 64 or max(leaves.values(), default=0) <= capacity:
+            break
+        depth += 1
+    slots = [(0, 0)]
+    if depth:
+        buckets = directory(leaves, capacity, depth)
+        slots = [(x, at) for at, (prefix, d, _) in enumerate(buckets) for x in (range(prefix << (depth - d), (prefix + 1) << (depth - d)) if depth <= 24 else [y for y in leaves if y >> (depth - d) == prefix])]
+    table = written(spark.createDataFrame(slots, "leaf long, bucket int"), "directory")
+    dealt = entries.withColumn("leaf", leaf_of("key", depth)).join(small(table), "leaf").select("bucket", "key", "n_rows")
     out = written(dealt.repartitionByRange("bucket", "key"), "index")
     forget(entries)
-    return out
+    return out, table, depth
+
+
+def chains_of(docs: DataFrame, text: str, doc_id: str, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, key, sha, keep_id, group_size) for every text on several rows, and the ids that stand on several such rows."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.col(doc_id).alias("id"), body.alias("body"), F.xxhash64(body).alias("key"))
+    index, slots, depth = build_index(keyed.select("key"), capacity)
+    listed = written(index.where("n_rows > 1").select(F.col("bucket").alias("b2"), F.col("key").alias("k2")), "many")
+    many = small(listed)
+    rows = keyed.withColumn("leaf", leaf_of("key", depth)).join(small(slots), "leaf")
+    rows = rows.join(many, (F.col("key") == F.col("k2")) & (F.col("bucket") == F.col("b2")), "left_semi")
+    # the rows of a text are folded within each task before they are shuffled
+    links = rows.groupBy("bucket", "key", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    chains = written(links.select("bucket", "key", F.sha2("body", 256).alias("sha"), "keep_id", "group_size"), "chains")
+    twice = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "twice")
+    for table in (index, slots, listed):
+        forget(table)
+    return chains, twice
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -61,34 +87,25 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     A null text counts as empty. A null id sorts before every other. Of several rows with the same text and the same
     largest id, one stays. Columns of ``docs`` named like the added ones are replaced. An empty table gives no rows.
     """
-    names = ("keep_id", "group_size", "kept", "text_sha256")
+    names = ["keep_id", "group_size", "kept", "text_sha256"]
     rest = [c for c in docs.columns if c not in names]
+    key, own, of, sha, nth = free(docs, "__key", "__own", "__of", "__sha", "__nth")
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(doc_id).alias("id"), body.alias("body"), F.xxhash64(body).alias("key"))
-    index = build_index(keyed.select("key"), capacity)
-    many = small(written(index.where("n_rows > 1").select("key"), "many"))
-    # the chain of a key: one row per different text, told apart by its bytes; n_top: rows that hold the largest id
-    chains = (
-        keyed.join(many, "key", "left_semi")
-        .groupBy("key", "body", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key", "body")
-        .agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", F.coalesce(F.col("id"), F.lit(-(1 << 63)))).alias("n_top"))
-        .where("group_size > 1")
-        .select(F.col("key").alias("__k"), F.sha2("body", 256).alias("__sha"), F.col("keep_id"), F.col("group_size"), F.col("n_top").alias("__top"))
-    )
-    chains = written(chains, "chains")
-    rows = docs.select(*rest).withColumns({"__key": F.xxhash64(body), "text_sha256": F.sha2(body, 256)})
-    out = (
-        rows.join(chains, (F.col("__key") == F.col("__k")) & (F.col("text_sha256") == F.col("__sha")), "left")
-        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-        .withColumn("keep_id", F.when(F.col("__k").isNull(), F.col(doc_id)).otherwise(F.col("keep_id")))
-        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col(doc_id)))
-    )
-    if not chains.where("__top > 1").isEmpty():
-        tied = F.col("kept") & (F.coalesce("__top", F.lit(1)) > 1)
-        nth = F.row_number().over(Window.partitionBy("text_sha256", doc_id).orderBy(F.lit(0)))
-        out = out.where(~tied).unionByName(out.where(tied).withColumn("kept", nth == 1))
+    chains, twice = chains_of(docs, text, doc_id, capacity)
+    found = small(chains).select(F.col("key").alias(of), F.col("sha").alias(sha), "keep_id", "group_size")
+    rows = docs.select(*rest, F.xxhash64(body).alias(key), F.col(doc_id).alias(own), F.sha2(body, 256).alias("text_sha256"))
+    out = rows.join(found, (F.col(key) == F.col(of)) & (F.col("text_sha256") == F.col(sha)), "left").withColumns({
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        "keep_id": F.when(F.col(of).isNull(), F.col(own)).otherwise(F.col("keep_id")),
+    })
+    out = out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(own)))
+    if not twice.isEmpty():
+        # of rows that repeat text and id one stays: the first of each task's, then the first of those
+        also = small(twice).select(F.col("id").alias(nth))
+        out = out.join(also, F.col(own).eqNullSafe(F.col(nth)), "left").withColumn(nth, F.col("kept") & (F.col("group_size") > 1))
+        tied, first = out.where(nth), lambda *by: F.row_number().over(Window.partitionBy("text_sha256", own, *by).orderBy(F.lit(0)))
+        tied = written(tied.withColumn("kept", first(F.spark_partition_id()) == 1), "tied")
+        out = out.where(~F.col(nth)).unionByName(tied.where("NOT kept")).unionByName(tied.where("kept").withColumn("kept", first() == 1))
     return out.select(*rest, *names)
 
 
