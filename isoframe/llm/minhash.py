@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import small, slices, written
+from isoframe.llm.common import Scratch, free, small, slices, written
 from isoframe.llm.components import connected_components
 from isoframe.llm.shingles import mix, shingle_sets
 
@@ -215,35 +215,27 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return full.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``docs`` with n_shingles, component_id and kept added.
-
-    A set: the distinct shingles of ``words`` words (A-Z lower-cased), all words as one shingle where there are fewer, empty
-    without words or text. Documents of an empty set are linked with nothing. component_id: the least id that links reach,
-    the document's own included; kept: it is that document. Rows of one id are one document of the graph, each with its own
-    set size. A row without an id is linked with nothing: its component_id is null and it is kept. Columns of ``docs``
-    named like the added ones are replaced. An empty table gives no rows.
-    """
-    added = ["n_shingles", "component_id", "kept"]
-    rest = [c for c in docs.columns if c not in added]
+def components_of(docs: DataFrame, text: str, doc_id: str, percent: int, words: int) -> DataFrame:
+    """(__id, __t, n, c) for each different id and key of a text: the size of its set and its component's least id."""
+    scratch = Scratch()
     kind = dict(docs.dtypes)[doc_id]
     body = F.coalesce(F.col(text), F.lit(""))
-    sk = written(sketches(docs, text, doc_id, words), "sketches")
+    sk = scratch.written(sketches(docs, text, doc_id, words), "sketches")
     # a node is a distinct set, named by its least id
     first = F.min_by(F.struct("tkey", "n", "bands", "bytes"), "id")
     nodes = sk.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), first.alias("f")).select("id", "sig", "f.*")
-    nodes = written(nodes, "nodes")
+    nodes = scratch.written(nodes, "nodes")
     bands = nodes.select("id", F.explode("bands").alias("k"))
-    buckets = written(bands.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    shared = written(bands.join(buckets, "k"), "shared")  # k, id, a, m
-    texts_of = lambda ids: _texts(docs, doc_id, body, nodes, ids)
-    pairs = written(_alike(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), nodes, percent), "star_pairs")
+    buckets = scratch.written(bands.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    shared = scratch.written(bands.join(buckets, "k"), "shared")  # k, id, a, m
+    texts_of = lambda ids: _texts(docs, doc_id, body, nodes, ids, scratch)
+    pairs = scratch.written(_alike(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), nodes, percent), "star_pairs")
     texts = texts_of(pairs)
-    links = written(_verify(pairs, texts, percent, words), "star_links")
-    comps = written(connected_components(links), "star_components")
+    links = scratch.written(_verify(pairs, texts, percent, words), "star_links")
+    comps = scratch.written(connected_components(links), "star_components")
     # nodes of a bucket that are still apart
     at = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    at = written(at.select("k", "id", "comp"), "placed")
+    at = scratch.written(at.select("k", "id", "comp"), "placed")
     # those of its largest component need no comparison with each other: they meet only the blocks of the rest
     sizes = at.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("c"), F.sum("c").alias("m")).where("m > c")
@@ -258,32 +250,58 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     group = ["k", "i", "j"]
     place = f"k long, i int, j int, part int, id {kind}, comp {kind}, n long"
     live = apart.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda rows: _live(rows, percent), place)
-    live = written(live, "live")
+    live = scratch.written(live, "live")
     if not live.isEmpty():
         sets = _sets(texts_of(live.select(F.col("id").alias("a"), F.col("id").alias("b"))), words)
         full = live.join(sets, "id").select("k", "i", "j", "part", "id", "comp", "n", "set")
         extra = full.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda rows: _links(rows, percent), f"a {kind}, b {kind}")
-        extra = written(extra.distinct(), "more_links")
-        comps = written(connected_components(links.unionByName(extra)), "components")
+        extra = scratch.written(extra.distinct(), "more_links")
+        comps = scratch.written(connected_components(links.unionByName(extra)), "components")
     named = nodes.select("sig", F.col("id").alias("node")).join(comps, "node", "left").select(F.col("sig").alias("s2"), F.coalesce("component", "node").alias("c"))
     per = sk.join(named, F.col("sig") == F.col("s2"), "left").select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
     per = per.where("__id IS NOT NULL").groupBy("__id", "__t").agg(F.max("n").alias("n"), F.min("c").alias("c"))
     none = sk.where("id IS NULL").groupBy("tkey").agg(F.max("n").alias("n")).select(F.lit(None).cast(kind).alias("__id"), F.col("tkey").alias("__t"), "n", F.lit(None).cast(kind).alias("c"))
-    found = per.unionByName(none)
-    found = found.withColumnsRenamed({"n": "__n", "c": "__c"})  # a column of docs may have any plain name
-    on = (F.xxhash64(body) == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    return docs.select(*rest).join(found, on, "left").select(
+    found = written(per.unionByName(none), "found")
+    scratch.forget()
+    return found
+
+
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``docs`` with n_shingles, component_id and kept added.
+
+    A set: the distinct shingles of ``words`` words (A-Z lower-cased), all words as one shingle where there are fewer, empty
+    without words or text. Documents of an empty set are linked with nothing. component_id: the least id that links reach,
+    the document's own included; kept: it is that document. Rows of one id are one document of the graph, each with its own
+    set size. A row without an id is linked with nothing: its component_id is null and it is kept. Columns of ``docs``
+    named like the added ones are replaced. An empty table gives no rows.
+    """
+    added = ["n_shingles", "component_id", "kept"]
+    rest = [c for c in docs.columns if c not in added]
+    key, own, of, at, n, c = free(docs, "__key", "__own", "__of", "__at", "__n", "__c")
+    found = components_of(docs, text, doc_id, percent, words).select(F.col("__id").alias(of), F.col("__t").alias(at), F.col("n").alias(n), F.col("c").alias(c))
+    # the key is a column of its own, so that the join needs no text
+    rows = docs.select(*rest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(key), F.col(doc_id).alias(own))
+    return rows.join(found, (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(of)), "left").select(
         *rest,
-        F.col("__n").alias("n_shingles"),
-        F.coalesce("__c", F.col(doc_id)).alias("component_id"),
-        F.coalesce(F.col("__c"), F.col(doc_id)).eqNullSafe(F.col(doc_id)).alias("kept"),
+        F.col(n).alias("n_shingles"),
+        F.coalesce(c, own).alias("component_id"),
+        F.coalesce(c, own).eqNullSafe(F.col(own)).alias("kept"),
     )
 
 
-def _texts(docs: DataFrame, doc_id: str, body, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps: only the ids of those that go are looked up, so texts stay where they are."""
+    key, own, of, at = free(docs, "__key", "__own", "__of", "__at")
+    gone = components_of(docs, text, doc_id, percent, words).where("c <> __id")
+    gone = small(written(gone.select(F.col("__id").alias(of), F.col("__t").alias(at)), "gone"))
+    rows = docs.select(*docs.columns, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(key), F.col(doc_id).alias(own))
+    return rows.join(gone, (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(of)), "left_anti").select(*docs.columns)
+
+
+def _texts(docs: DataFrame, doc_id: str, body, nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, body) of the nodes that the pairs name."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = small(written(nodes.select("id", "tkey").join(ids, "id").select(F.col("id").alias("i2"), F.col("tkey").alias("t2")), "wanted"))
+    wanted = small(scratch.written(nodes.select("id", "tkey").join(ids, "id").select(F.col("id").alias("i2"), F.col("tkey").alias("t2")), "wanted"))
     rows = docs.select(F.col(doc_id).alias("id"), body.alias("body")).withColumn("tkey", F.xxhash64("body"))
     rows = rows.join(wanted, (F.col("id") == F.col("i2")) & (F.col("tkey") == F.col("t2")), "left_semi")
-    return written(rows.dropDuplicates(["id", "tkey"]).select("id", "body"), "texts")
+    return scratch.written(rows.dropDuplicates(["id", "tkey"]).select("id", "body"), "texts")
