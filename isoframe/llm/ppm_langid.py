@@ -3,11 +3,11 @@
 For each language a tree of byte contexts of 0 to ORDER bytes holds how often each byte followed. A byte's probability is
 that of its longest known context: seen successors share n / (n + q) of the mass (n occurrences, q different successors),
 the rest escapes to the next shorter context, where bytes already seen in the longer one are excluded; below the empty
-context all bytes are equal. Statistics are frozen, so the code length of a byte depends on its context alone and is
-tabled once; a text's code length under a language is a sum of table entries, and the shortest names the language.
+context all bytes are equal. Statistics are frozen, so the code length of a seen byte in its context is tabled, and so is what
+an escape from a context costs; a text's code length under a language is a sum of those, and the shortest names the language.
 
-The trees are fitted on a bounded sample of labelled rows: about SAMPLE_ROWS per language, drawn by a hash of the id. The
-model holds at most MAX_CELLS code lengths, whatever the input.
+The trees are fitted on a bounded sample of labelled rows: about SAMPLE_ROWS per language, drawn by a hash of the id. All
+contexts of the sample are kept, so no language's tree depends on another's; only the sample bounds the model.
 """
 
 from __future__ import annotations
@@ -20,37 +20,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import crc_of_id, forget, small, written
+from isoframe.llm.common import crc_of_id, forget, free, slices, small, written
 
 ORDER = 3
 SAMPLE_ROWS = 3000
-MAX_CELLS = 8 << 20
-#: Counted n-grams that reach the driver at most, the most frequent first; and the occurrences a context needs.
-MAX_GRAMS = 400_000
-MIN_CONTEXT = 16
-CHUNK = 1 << 20
+#: Bytes of text that are counted or scored at once.
+CHUNK = 1 << 18
 
 
 def held_out(doc_id) -> F.Column:
     return crc_of_id(doc_id) % 5 == 0
 
 
+def _parts(texts: list[bytes], lead: int) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """(text, bytes, lead bytes) of parts of the texts, about CHUNK bytes at once; a later part leads in with the end of the one before."""
+    of, parts, leads, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK):
+            begin = max(0, at - lead)
+            of.append(i)
+            parts.append(text[begin : at + CHUNK])
+            leads.append(at - begin)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield of, parts, leads
+                of, parts, leads, size = [], [], [], 0
+    if parts:
+        yield of, parts, leads
+
+
+def _codes(parts: list[bytes], size: int) -> np.ndarray:
+    """The number that each ``size`` bytes of the parts, laid end to end, make, by the last of them."""
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    code = data.copy()
+    for k in range(1, size):
+        code[k:] += data[:-k] << (8 * k)
+    return code
+
+
+def _places(parts: list[bytes]) -> np.ndarray:
+    lengths = np.array([len(p) for p in parts])
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of 1 to ORDER + 1 bytes by language, packed into a number."""
-    for batch in batches:
+    for batch in slices(batches):
         frame = batch.to_pandas()
         for lang, texts in frame.groupby("lang")["text"]:
-            # a separator byte that no UTF-8 text holds keeps n-grams from spanning two texts
-            data = np.frombuffer(b"\xff".join(t.encode() for t in texts), np.uint8).astype(np.uint64)
-            for n in range(1, ORDER + 2):
-                if len(data) < n:
-                    continue
-                code, ok = np.zeros(len(data) - n + 1, np.uint64), np.ones(len(data) - n + 1, bool)
-                for i in range(n):
-                    part = data[i : len(data) - n + 1 + i]
-                    code, ok = code * np.uint64(256) + part, ok & (part != 255)
-                codes, times = np.unique(code[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(np.full(len(codes), n, np.int32)), pa.array(codes.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "size", "code", "n"])
+            for _, parts, leads in _parts([t.encode() for t in texts], ORDER):
+                place, lengths = _places(parts), [len(p) for p in parts]
+                first = np.repeat(leads, lengths)
+                for n in range(1, ORDER + 2):
+                    code = _codes(parts, n)[(place >= n - 1) & (place >= first)]
+                    codes, times = np.unique(code, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(np.full(len(codes), n, np.int32)), pa.array(codes), pa.array(times.astype(np.int64))], ["lang", "size", "code", "n"])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -60,80 +84,73 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     draw = F.pmod("h", F.lit(1 << 20)) < F.lit(float((1 << 20) * sample_rows)) / F.col("count")
     sample = rows.join(sizes, "lang").where(draw).select("text", "lang")
     grams = written(sample.mapInArrow(_count, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")), "grams")
-    got = grams.orderBy(F.desc("n"), "lang", "size", "code").limit(MAX_GRAMS).toArrow().to_pandas()
+    got = grams.toArrow().to_pandas()  # what the sample holds
     forget(grams)
     return tables(got)
 
 
-def tables(grams: pd.DataFrame, order: int = ORDER, max_cells: int = MAX_CELLS, min_context: int = MIN_CONTEXT) -> dict:
-    """child[node, byte]: the node whose context is one byte longer, else -1; cost[node, byte, language] in nats."""
-    langs = sorted(set(grams["lang"]))
-    counts: list[dict[bytes, dict[int, int]]] = [{} for _ in langs]
-    index = {x: i for i, x in enumerate(langs)}
-    totals: dict[bytes, int] = {}
-    for lang, size, code, n in grams[["lang", "size", "code", "n"]].itertuples(index=False):
-        gram = int(code).to_bytes(int(size), "big")
-        counts[index[lang]].setdefault(gram[:-1], {})[gram[-1]] = int(n)
-        totals[gram[:-1]] = totals.get(gram[:-1], 0) + int(n)
-    limit = max(1, max_cells // (256 * max(1, len(langs))))
-    # contexts in order of length, so that the shorter context a node falls back to comes first
-    known = [b""] + sorted((c for c, n in totals.items() if c and n >= min_context and len(c) <= order), key=lambda c: (-totals[c], c))
-    kept, node = [], {}
-    for c in known:
-        if len(kept) >= limit:
-            break
-        kept.append(c)
-    chosen = set(kept)
-    kept = sorted((c for c in kept if all(c[i:] in chosen for i in range(len(c) + 1))), key=lambda c: (len(c), c))
-    child = np.full((len(kept), 256), -1, np.int32)
-    p = np.zeros((len(kept), 256, len(langs)))
-    for i, c in enumerate(kept):
-        node[c] = i
-        if c:
-            child[node[c[1:]], c[0]] = i
-        for k in range(len(langs)):
-            below = p[node[c[1:]], :, k] if c else np.full(256, 1 / 256)
-            seen = counts[k].get(c)
-            if not seen:
-                p[i, :, k] = below
-                continue
-            at, n = np.fromiter(seen, np.int64), np.fromiter(seen.values(), np.float64)
-            total = n.sum() + len(at)
-            rest = np.ones(256, bool)
-            rest[at] = False
-            left = below[rest].sum()
-            p[i, at, k] = n / (total if left > 0 else n.sum())
-            if left > 0:
-                p[i, rest, k] = len(at) / total * below[rest] / left
-    return {"langs": langs, "child": child, "cost": (-np.log(np.maximum(p, 1e-300))).astype(np.float32), "order": order}
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def _cost(tree: dict, codes: np.ndarray, size: int) -> np.ndarray:
+    """Nats of the last byte of each number of ``size`` bytes after the others."""
+    out, todo, now = np.zeros(len(codes)), np.arange(len(codes)), codes
+    while size and len(todo):
+        grams, costs, contexts, escapes = tree[size]
+        at, seen = _find(grams, now)
+        out[todo[seen]] += costs[at[seen]]
+        todo, now = todo[~seen], now[~seen]
+        at, known = _find(contexts, now >> 8)
+        out[todo[known]] += escapes[at[known]]
+        size -= 1
+        now = now & ((1 << 8 * size) - 1)
+    out[todo] += np.log(256)
+    return out
+
+
+def tables(grams: pd.DataFrame, order: int = ORDER) -> dict:
+    """A tree for each language: by size of n-gram, the sorted n-grams and their nats, the sorted contexts and those of an escape."""
+    trees = {}
+    for lang, own in grams.groupby("lang"):
+        tree: dict[int, tuple] = {}
+        for size in range(1, order + 2):
+            level = own[own["size"] == size].sort_values("code")
+            code, n = level["code"].to_numpy(np.int64), level["n"].to_numpy(np.float64)
+            if not len(code):
+                break
+            contexts, begin = np.unique(code >> 8, return_index=True)
+            q = np.diff(np.append(begin, len(code)))
+            total = np.add.reduceat(n, begin)
+            # what the shorter context gives to bytes not seen here
+            below = np.exp(-_cost(tree, code & ((1 << 8 * (size - 1)) - 1), size - 1)) if size > 1 else np.full(len(code), 1 / 256)
+            left = np.where(q < 256, np.maximum(1 - np.add.reduceat(below, begin), 1e-12), 0)
+            share = np.where(left > 0, total + q, total)
+            with np.errstate(divide="ignore"):
+                escapes = -np.log(q / share) + np.log(left)
+            tree[size] = (code, -np.log(n / np.repeat(share, q)), contexts, escapes)
+        trees[lang] = tree
+    return {"langs": sorted(trees), "trees": trees, "order": order}
 
 
 def code_lengths(model: dict, texts: list[bytes]) -> np.ndarray:
     """Nats of each text under each language."""
-    langs, child, cost = model["langs"], model["child"], model["cost"]
+    langs, order = model["langs"], model["order"]
     out = np.zeros((len(texts), len(langs)))
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-            size += len(texts[end])
-            end += 1
-        lengths = np.array([len(t) for t in texts[at:end]])
-        data = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(data)) - begin
-        node, live = np.zeros(len(data), np.int32), np.ones(len(data), bool)
-        for k in range(1, model["order"] + 1):
-            longer = np.full(len(data), -1, np.int32)
-            longer[k:] = child[node[k:], data[:-k]] if len(data) > k else -1
-            live &= (place >= k) & (longer >= 0)
-            node = np.where(live, longer, node)
-        full = lengths > 0
-        starts = (np.cumsum(lengths) - lengths)[full]
-        if len(starts):
-            for lo in range(len(langs)):
-                out[at:end, lo][full] = np.add.reduceat(cost[node, data, lo].astype(np.float64), starts)
-        at = end
+    for of, parts, leads in _parts(texts, order):
+        lengths = np.array([len(p) for p in parts])
+        place, first = _places(parts), np.repeat(leads, lengths)
+        text = np.repeat(of, lengths)
+        for size in range(1, order + 2):
+            here = (place == size - 1 if size <= order else place >= order) & (place >= first)
+            if not here.any():
+                continue
+            of_code, codes = pd.factorize(_codes(parts, size)[here])
+            at = text[here]
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            for k, lang in enumerate(langs):
+                out[at[begin], k] += np.add.reduceat(_cost(model["trees"][lang], codes, min(size, len(model["trees"][lang])))[of_code], begin)
     return out
 
 
@@ -156,18 +173,24 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 def identify(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with held_out, lang_pred and score (the share of the predicted language, all languages being equal before).
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Whole texts are scored.
+    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Whole texts are scored. Of
+    languages with equal code lengths the first by name is taken. Rows are judged one by one; an empty table gives no rows.
     Columns of ``docs`` named like the added ones are replaced.
     """
     added = ["held_out", "lang_pred", "score"]
     rest = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            names, scores = predict(shared.value, [None if t is None or t is pd.NA or t != t else t for t in part])
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    judged = docs.select(*rest, held_out(doc_id).alias("held_out"), judge(F.col(text)).alias("__p"))
-    return judged.select(*rest, "held_out", F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+            names, scores = [], []
+            for at in range(0, len(part), 256):
+                found = predict(shared.value, part.slice(at, 256).to_pylist())
+                names += found[0]
+                scores += found[1]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    (p,) = free(docs, "__p")
+    judged = docs.select(*rest, held_out(doc_id).alias("held_out"), judge(F.col(text)).alias(p))
+    return judged.select(*rest, "held_out", F.col(p)["lang_pred"].alias("lang_pred"), F.col(p)["score"].alias("score"))
