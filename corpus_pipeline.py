@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.llm.common import written
+from isoframe.llm.common import forget, written
 from isoframe.llm.decontaminate import decontaminate
 from isoframe.llm.exact_dedup import exact_dedup
-from isoframe.llm.minhash import near_dedup
+from isoframe.llm.minhash import keep_one
 from isoframe.llm.packing import pack_documents
 from isoframe.llm.ppm_langid import fit, identify
 from isoframe.llm.queries import table, tokenizer_path
@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return near_dedup(docs).where("kept").select(*docs.columns)
+    return keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
