@@ -1,7 +1,6 @@
 """Registered queries of the interval and splicing engine, each with the SQL it is held against.
 
-All run over whole tables, on the interval frames of ``plans.views``, but for the four queries of TRANSCRIPTS, whose SQL makes
-transcripts of every fifth part; their ``_whole`` forms make them of all.
+All run over whole tables, on the interval frames of ``plans.views``.
 """
 
 from __future__ import annotations
@@ -312,8 +311,12 @@ def _(spark, sf):
 
 
 BLOCKS = """blocks AS (SELECT CAST(1 + l_suppkey % 5 AS VARCHAR) AS chromosome, CAST(l_partkey * 40 AS INT) AS s, CAST(l_partkey * 40 + l_quantity AS INT) AS e FROM lineitem)"""
-DEPTH = """pos AS (SELECT r.region, r.side, unnest(range(greatest(r.s, b.s), least(r.e, b.e) + 1)) AS x FROM rg r JOIN blocks b ON r.chromosome = b.chromosome AND r.s <= b.e AND r.e >= b.s),
-dep AS (SELECT region, side, avg(n) AS depth FROM (SELECT region, side, x, count(*) AS n FROM pos GROUP BY ALL) GROUP BY ALL)"""
+#: Depth by position, then its running sums, so that a region takes two look-ups and not a row for each of its positions.
+DEPTH = """cov AS (SELECT chromosome, x, count(*) AS n FROM (SELECT chromosome, unnest(range(s, e + 1)) AS x FROM blocks) GROUP BY ALL),
+cum AS (SELECT chromosome, x, sum(n) OVER w AS total, count(*) OVER w AS covered FROM cov WINDOW w AS (PARTITION BY chromosome ORDER BY x)),
+cut AS (SELECT r.region, r.side, c.total, c.covered FROM rg r ASOF JOIN cum c ON r.chromosome = c.chromosome AND r.e >= c.x
+  UNION ALL SELECT r.region, r.side, -c.total, -c.covered FROM rg r ASOF JOIN cum c ON r.chromosome = c.chromosome AND r.s > c.x),
+dep AS (SELECT region, side, CAST(sum(total) AS DOUBLE) / CAST(sum(covered) AS DOUBLE) AS depth FROM cut GROUP BY ALL HAVING sum(covered) > 0)"""
 
 
 @register("coverage_mean", f"""WITH {EXONS}, {BLOCKS}, rg AS (SELECT DISTINCT chromosome || ':' || exon_id AS region, 0 AS side, chromosome, "start" - 20 AS s, "end" + 20 AS e FROM exons), {DEPTH} SELECT region, round(depth, 6) AS depth FROM dep""")
@@ -338,16 +341,16 @@ def _(spark, sf):
 
 
 #: Transcripts of runs of parts, so that reads of a few neighbouring parts can match them.
-TRANSCRIPTS = """tr AS (SELECT a.p_partkey || '.' || k || '|' || chromosome || '|' || strand AS transcript, chromosome, strand, range(a.p_partkey, a.p_partkey + k) AS ps FROM part a, (VALUES (20), (60), (140)) v(k), (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) c(chromosome), (VALUES ('+'), ('-')) s(strand) WHERE a.p_partkey % 5 = 0),
+TRANSCRIPTS = """tr AS (SELECT a.p_partkey || '.' || k || '|' || chromosome || '|' || strand AS transcript, chromosome, strand, range(a.p_partkey, a.p_partkey + k) AS ps FROM part a, (VALUES (20), (60), (140)) v(k), (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) c(chromosome), (VALUES ('+'), ('-')) s(strand)),
 tx AS (SELECT transcript, chromosome, strand, CAST(ps[1] * 40 + 91 AS INT) AS s, CAST(ps[-1] * 40 + 99 AS INT) AS e, ps FROM tr),
 cp AS (SELECT r.sample, r.name, t.transcript, r.parts, r.chromosome, r.strand, (least(r."end", t.e) - greatest(r."start", t.s)) * 100.0 / (greatest(r."end", t.e) - least(r."start", t.s)) AS pc FROM reads r JOIN tx t ON r.chromosome = t.chromosome AND r.strand = t.strand AND r."start" <= t.e AND r."end" >= t.s
   WHERE (least(r."end", t.e) - greatest(r."start", t.s)) * 100.0 >= 60 * (greatest(r."end", t.e) - least(r."start", t.s)) AND len(list_intersect(r.parts, t.ps)) >= 1)"""
 READ_PERCENT = 60.0
 
 
-def part_transcripts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Transcripts from every fifth part, as TRANSCRIPTS has them, or from all."""
-    rows = views.table(spark, sf, "part").where(F.lit(whole) | F.expr("p_partkey % 5 = 0")).select("p_partkey", F.explode(F.array(F.lit(20), F.lit(60), F.lit(140))).alias("k"))
+def part_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcripts of 20, 60 and 140 parts from every part on."""
+    rows = views.table(spark, sf, "part").select("p_partkey", F.explode(F.array(F.lit(20), F.lit(60), F.lit(140))).alias("k"))
     rows = rows.withColumn("chromosome", F.explode(F.array(*[F.lit(str(c)) for c in range(1, 6)]))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
     name = F.concat_ws("|", F.concat_ws(".", "p_partkey", "k"), "chromosome", "strand")
     exon = lambda p: F.struct((p * 40 + 91).cast("int").alias("start"), (p * 40 + 99).cast("int").alias("end"), F.concat(F.lit("E"), p.cast("string")).alias("exon_id"))
@@ -355,8 +358,8 @@ def part_transcripts(spark: SparkSession, sf: str, whole: bool = False) -> DataF
     return rows.select(name.alias("transcript"), F.col("p_partkey").cast("string").alias("gene"), "chromosome", "strand", F.element_at("exons", 1)["start"].alias("start"), F.element_at("exons", -1)["end"].alias("end"), "exons")
 
 
-def coupled(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return coupling.couple(part_transcripts(spark, sf, whole), views.reads(spark, sf), 3, READ_PERCENT, 4096)
+def coupled(spark: SparkSession, sf: str) -> DataFrame:
+    return coupling.couple(part_transcripts(spark, sf), views.reads(spark, sf), 3, READ_PERCENT, 4096)
 
 
 @register("read_transcript_coupling", f"WITH {READS}, {TRANSCRIPTS} SELECT sample, name, transcript, round(pc, 6) AS overlap FROM cp")
@@ -381,37 +384,21 @@ def _(spark, sf):
     return shown(coupling.template_events(coupled(spark, sf)).withColumn("sample", F.concat_ws("|", "sample", "transcript")))
 
 
-# The same four over the transcripts of all parts. They have no SQL; a test holds the first three against brute force.
-@register("read_transcript_coupling_whole", None)
-def _(spark, sf):
-    return coupled(spark, sf, True).select("sample", "name", "transcript", F.round("overlap", 6).alias("overlap"))
-
-
-@register("novel_reads_whole", None)
-def _(spark, sf):
-    return coupling.novel_reads(views.reads(spark, sf), coupled(spark, sf, True)).select("sample", "name")
-
-
-@register("template_sizes_whole", None)
-def _(spark, sf):
-    return coupling.templates(coupled(spark, sf, True)).select("sample", "transcript", "n_reads")
-
-
-@register("template_events_whole", None)
-def _(spark, sf):
-    return shown(coupling.template_events(coupled(spark, sf, True)).withColumn("sample", F.concat_ws("|", "sample", "transcript")))
-
-
-@register("isoform_unify", f"""WITH RECURSIVE {READS}, o AS (SELECT sample, name, chromosome, strand, "start", "end", n, parts, row_number() OVER (PARTITION BY sample, chromosome, "start" ORDER BY "end", n, parts, strand, name) AS k FROM reads),
+UNIFY = f"""WITH RECURSIVE {READS}, o AS (SELECT sample, name, chromosome, strand, "start", "end", n, parts, row_number() OVER (PARTITION BY sample, chromosome, "start" ORDER BY "end", n, parts, strand, name) AS k FROM reads),
 f AS (SELECT sample, chromosome, "start", k, name, name AS leader, strand AS ls, "end" AS le, n AS ln, parts AS lp FROM o WHERE k = 1
   UNION ALL SELECT o.sample, o.chromosome, o."start", o.k, o.name, CASE WHEN same THEN leader ELSE o.name END, CASE WHEN same THEN ls ELSE o.strand END, CASE WHEN same THEN le ELSE o."end" END, CASE WHEN same THEN ln ELSE o.n END, CASE WHEN same THEN lp ELSE o.parts END
-  FROM (SELECT o.*, f.leader, f.ls, f.le, f.ln, f.lp, f.ls = o.strand AND f.ln = o.n AND abs(f.le - o."end") < 3 AND (o.n = 1 OR len(list_filter(range(1, o.n), lambda i: f.lp[i] = o.parts[i])) > 0) AS same FROM f JOIN o ON f.sample = o.sample AND f.chromosome = o.chromosome AND f."start" = o."start" AND o.k = f.k + 1) o)
-SELECT sample, name, leader FROM f""")
+  FROM (SELECT o.*, f.leader, f.ls, f.le, f.ln, f.lp, f.ls = o.strand AND f.ln = o.n AND abs(f.le - o."end") < 3 AND (o.n = 1 OR len(list_filter(range(1, o.n), lambda i: f.lp[i] = o.parts[i])) > 0) AS same FROM f JOIN o ON f.sample = o.sample AND f.chromosome = o.chromosome AND f."start" = o."start" AND o.k = f.k + 1) o)"""
+
+
+@register("isoform_unify", f"{UNIFY} SELECT sample, name, leader FROM f")
 def _(spark, sf):
     return isoforms.unify(views.reads(spark, sf)).select("sample", "name", "leader")
 
 
-@register("isoform_gtf", None)
+@register("isoform_gtf", f"""{UNIFY}, top AS (SELECT o.* FROM o JOIN f ON o.name = f.name WHERE f.leader = f.name),
+each AS (SELECT *, CAST(unnest(range(0, n + 1)) AS INT) AS i FROM top)
+SELECT concat_ws(chr(9), chromosome, 'isoframe', CASE i WHEN 0 THEN 'transcript' ELSE 'exon' END, CASE i WHEN 0 THEN "start" ELSE parts[i] * 40 + 91 END, CASE i WHEN 0 THEN "end" ELSE parts[i] * 40 + 99 END, '.', strand, '.',
+  'gene_id "' || name || '"; transcript_id "' || name || '";' || CASE i WHEN 0 THEN '' ELSE ' exon_id "' || name || '.' || i || '";' END) AS value FROM each""")
 def _(spark, sf):
     return isoforms.to_gtf(isoforms.isoforms(isoforms.unify(views.reads(spark, sf)))).select("value")
 
@@ -438,9 +425,9 @@ def cigars(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("cigar_introns", f"""WITH {CIGARS} SELECT k, n, CAST(1000 + p + a AS INT) || '-' || CAST(1000 + p + a + b - 1 AS INT) || ',' || CAST(1000 + p + 2 * a + b + d + 10 AS INT) || '-' || CAST(1000 + p + 2 * a + b + d + 59 AS INT) AS introns, CAST(1000 + p + 2 * a + b + d + 64 AS INT) AS read_end FROM c""")
 def _(spark, sf):
-    rows = cigars(spark, sf)
-    shown_ = F.array_join(F.transform(cg.introns(F.col("cigar"), F.col("pos")), lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
-    return rows.select("k", "n", shown_.alias("introns"), cg.read_end(F.col("cigar"), F.col("pos")).alias("read_end"))
+    rows = cigars(spark, sf).select("k", "n", cg.walk(F.col("cigar"), F.col("pos")).alias("walk"))
+    shown_ = F.array_join(F.transform("walk.found", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
+    return rows.select("k", "n", shown_.alias("introns"), (F.col("walk.pos") - 1).alias("read_end"))
 
 
 @register("cigar_blocks", f"""WITH {CIGARS} SELECT k, n, 1000 + p || '-' || (1000 + p + a - 1) || ',' || (1000 + p + a + b) || '-' || (1000 + p + 2 * a + b - 1) || ',' || (1000 + p + 2 * a + b + d) || '-' || (1000 + p + 2 * a + b + d + 9) || ',' || (1000 + p + 2 * a + b + d + 60) || '-' || (1000 + p + 2 * a + b + d + 64) AS blocks FROM c""")

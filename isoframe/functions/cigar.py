@@ -9,36 +9,34 @@ from pyspark.sql import functions as F
 CONSUMES, SKIP = ("M", "D", "N", "=", "X"), "N"
 
 
-def _ops(cigar: Column) -> Column:
-    lengths = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    codes = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.zip_with(lengths, codes, lambda n, op: F.struct(n.cast("int").alias("n"), op.alias("op")))
+def walk(cigar: Column, pos: Column, kinds: tuple[str, ...] = (SKIP,)) -> Column:
+    """``found``, the intervals of the operations of these kinds, and ``pos``, the place after the last base.
 
-
-def _walk(cigar: Column, pos: Column, takes) -> Column:
-    """The intervals of the operations that ``takes`` picks, and the place after the last base."""
+    One pass over the operations; keep the result as a column where both are used.
+    """
     start = F.struct(pos.cast("int").alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
     def step(acc, x):
-        here = F.struct(acc["pos"].alias("start"), (acc["pos"] + x["n"] - 1).alias("end"))
-        after = acc["pos"] + F.when(x["op"].isin(*CONSUMES), x["n"]).otherwise(0)
-        return F.struct(after.alias("pos"), F.when(takes(x["op"]), F.concat(acc["found"], F.array(here))).otherwise(acc["found"]).alias("found"))
+        op, n = F.substring(x, -1, 1), F.rtrim(x, F.lit("MIDNSHP=X")).cast("int")
+        here = F.struct(acc["pos"].alias("start"), (acc["pos"] + n - 1).alias("end"))
+        after = acc["pos"] + F.when(op.isin(*CONSUMES), n).otherwise(0)
+        return F.struct(after.alias("pos"), F.when(op.isin(*kinds), F.concat(acc["found"], F.array(here))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(_ops(cigar), start, step)
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), start, step)
 
 
 def introns(cigar: Column, pos: Column) -> Column:
     """Skipped regions as an array of (start, end), first and last skipped base."""
-    return _walk(cigar, pos, lambda op: op == SKIP)["found"]
+    return walk(cigar, pos)["found"]
 
 
 def read_end(cigar: Column, pos: Column) -> Column:
-    return _walk(cigar, pos, lambda op: op == SKIP)["pos"] - 1
+    return walk(cigar, pos)["pos"] - 1
 
 
 def blocks(cigar: Column, pos: Column) -> Column:
     """Aligned stretches (M, =, X), deletions and skips being gaps."""
-    return _walk(cigar, pos, lambda op: op.isin("M", "=", "X"))["found"]
+    return walk(cigar, pos, ("M", "=", "X"))["found"]
 
 
 def exons_of(start: Column, end: Column, gaps: Column) -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from isoframe.functions.cigar import fuzzy_matches, sites_of
 from isoframe.functions.intervals import overlap_percent, overlaps_within
+from isoframe.operators.annotate import annotate
 from isoframe.operators.events import ERROR, all_events
 from isoframe.operators.interval_join import BIN, interval_join
-from isoframe.schemas import GRAPH
+from isoframe.schemas import EVENT_KEY, GRAPH
+from isoframe.sources.annotation import exon_sets
 
 
 def assemble_transcripts(transcript_exons: DataFrame) -> DataFrame:
@@ -50,6 +52,17 @@ def template_events(pairs: DataFrame, error: int = ERROR) -> DataFrame:
     return all_events(junctions, error, keys)
 
 
+def annotated_template_events(pairs: DataFrame, transcript_exons: DataFrame, error: int = ERROR) -> DataFrame:
+    """Template events, each annotated with the exons of its own transcript; of an event of several, the first that knows it."""
+    own = transcript_exons.select(F.concat_ws("\x01", "chromosome", "transcript").alias("chromosome"), "start", "end", "strand", "transcript", "gene", "exon_id")
+    # the transcript is part of the place, so that an event meets no other's exons
+    placed = template_events(pairs, error).withColumn("chromosome", F.concat_ws("\x01", "chromosome", "transcript"))
+    found = annotate(placed.drop("transcript"), exon_sets(own)).withColumn("chromosome", F.substring_index("chromosome", "\x01", 1))
+    event = EVENT_KEY
+    first = F.min_by(F.struct(*[c for c in found.columns if c not in event]), F.struct("is_novel", "transcripts", "exons"))
+    return found.groupBy(*event).agg(first.alias("f")).select(*event, "f.*")
+
+
 def prefer_graph(graph: DataFrame, template: DataFrame, key: list[str]) -> DataFrame:
     """Events of both routes; where both have one, that of the graph."""
     return graph.unionByName(template.join(graph.select(*key), key, "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from isoframe.operators.ordered import with_next
 from isoframe.operators.psi import with_psi
 from isoframe.schemas import GRAPH
+from isoframe.scratch import written
 
 ERROR = 3
 
@@ -68,12 +69,9 @@ def mutually_exclusive(j: DataFrame, error: int = ERROR, keys: list[str] = GRAPH
 
     E lies beyond every end of S. Only starts and ends that took part in another event are tried.
     """
-    starts = same_start_pairs(j, keys)
-    ends = same_end_pairs(j, keys)
-    live_starts = starts.where(F.col("e2") - F.col("e1") >= error).select(*keys, "S").distinct()
-    live_ends = ends.where(F.col("s2") - F.col("s1") > error).select(*keys, "E").distinct()
-    starts = starts.join(live_starts, [*keys, "S"], "left_semi").select(*keys, "S", "e1", "e2", "max_end", F.col("psi2").alias("pa"))
-    ends = ends.join(live_ends, [*keys, "E"], "left_semi").select(*keys, "E", "s1", "s2", F.col("psi2").alias("pb"))
+    # a site took part in another event if its partners lie that far apart
+    starts = same_start_pairs(j.where(F.col("max_end") - F.col("min_end") >= error), keys).select(*keys, "S", "e1", "e2", "max_end", F.col("psi2").alias("pa"))
+    ends = same_end_pairs(j.where(F.col("max_start") - F.col("min_start") > error), keys).select(*keys, "E", "s1", "s2", F.col("psi2").alias("pb"))
     order = site_order(j, keys).select(*keys, F.col("site").alias("s1"), F.col("next_site").alias("e2"))
     found = starts.join(order, [*keys, "e2"]).where("e1 <= s1").join(ends, [*keys, "s1"]).where("e2 <= s2 AND E > max_end")
     return _out(found, keys, F.lit("MXE"), "S", "E", ["S", "e1", "s1", "e2", "s2", "E"], (F.col("pa") + F.col("pb")) / 2)
@@ -81,7 +79,7 @@ def mutually_exclusive(j: DataFrame, error: int = ERROR, keys: list[str] = GRAPH
 
 def all_events(junctions: DataFrame, error: int = ERROR, keys: list[str] = GRAPH) -> DataFrame:
     """SE, A3, A5 and MXE of plain junctions, each event once."""
-    j = with_psi(junctions, keys)
+    j = written(with_psi(junctions, keys), "ratios")  # every kind of event reads it
     parts = [f(j, error, keys) for f in (skipped_exons, alternative_ends, alternative_starts, mutually_exclusive)]
     out = parts[0]
     for p in parts[1:]:

@@ -10,12 +10,12 @@ from isoframe.schemas import GRAPH
 
 
 def with_psi(junctions: DataFrame, keys: list[str] = GRAPH) -> DataFrame:
-    """Adds psi_start, psi_end (null where the node has no counts), n_start, n_end (fan-outs), max_end and min_start."""
+    """Adds psi_start, psi_end (null where the node has no counts), n_start, n_end (fan-outs), and the range of the partners."""
     at_start, at_end = Window.partitionBy(*keys, "start"), Window.partitionBy(*keys, "end")
     share = lambda w: F.try_divide(F.col("count").cast("double"), F.sum("count").over(w).cast("double"))
     one = F.lit(1)
-    out = junctions.withColumns({"psi_start": share(at_start), "n_start": F.count(one).over(at_start), "max_end": F.max("end").over(at_start)})
-    return out.withColumns({"psi_end": share(at_end), "n_end": F.count(one).over(at_end), "min_start": F.min("start").over(at_end)})
+    out = junctions.withColumns({"psi_start": share(at_start), "n_start": F.count(one).over(at_start), "max_end": F.max("end").over(at_start), "min_end": F.min("end").over(at_start)})
+    return out.withColumns({"psi_end": share(at_end), "n_end": F.count(one).over(at_end), "min_start": F.min("start").over(at_end), "max_start": F.max("start").over(at_end)})
 
 
 def psi_matrix(junctions: DataFrame, side: str = "start", samples: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from isoframe.operators.events import ERROR, all_events
 from isoframe.operators.retention import retained_introns, with_depth
 from isoframe.operators.terminal import with_terminal
 from isoframe.plans import inputs
+from isoframe.scratch import written
 from isoframe.sources import alignments
 from isoframe.sources.annotation import exon_sets, read_annotation
 from isoframe.sources.companions import companions
@@ -29,7 +30,7 @@ def filtered(found: DataFrame, min_count: int, overall: int | None) -> DataFrame
 
 def graph_events(found: DataFrame, transcript_exons: DataFrame, error: int, percent: float, blocks: DataFrame | None) -> DataFrame:
     """Events of junctions, annotated, with terminal subtypes, and retained introns with their ratio if there is depth."""
-    detected = all_events(found, error)
+    detected = written(all_events(found, error), "events")  # annotation and retention both read it
     events = with_terminal(annotate(detected, exon_sets(transcript_exons)), transcript_exons)
     retained = retained_introns(detected, transcript_exons, percent)
     if blocks is not None:
@@ -40,16 +41,21 @@ def graph_events(found: DataFrame, transcript_exons: DataFrame, error: int, perc
     return events.unionByName(retained.withColumns({"is_novel": F.lit(False), "subtype": F.lit("NA")}))
 
 
-def depth_blocks(spark: SparkSession, paths: list[str], bam: str | None) -> DataFrame | None:
-    """Alignment blocks under the sample names of the inputs."""
-    pairs = {p: b for p, b in companions(paths, bam).items() if b}
+def is_bam(path: str) -> bool:
+    return path.lower().endswith(".bam")
+
+
+def depth_blocks(spark: SparkSession, paths: list[str], bam: str | None, own: bool = False) -> DataFrame | None:
+    """Alignment blocks under the sample names of the inputs; with ``own``, a BAM input has its own."""
+    pairs = companions(paths, bam) | ({p: p for p in paths if is_bam(p)} if own else {})
+    pairs = {p: b for p, b in pairs.items() if b}
     if not pairs:
         return None
     from isoframe.sources.files import sample_names
 
-    own, theirs = sample_names(paths), sample_names(list(pairs.values()))
+    names_of, theirs = sample_names(paths), sample_names(list(pairs.values()))
     blocks = alignments.to_blocks(alignments.read_bam(spark, sorted(set(pairs.values()))))
-    names = spark.createDataFrame([(theirs[b], own[p]) for p, b in pairs.items()], "bam_sample string, name string")
+    names = spark.createDataFrame([(theirs[b], names_of[p]) for p, b in pairs.items()], "bam_sample string, name string")
     return blocks.join(names, F.col("sample") == F.col("bam_sample")).select(F.col("name").alias("sample"), "chromosome", "r_start", "r_end")
 
 
@@ -65,10 +71,10 @@ def long(spark: SparkSession, paths: list[str], reference: str, min_count: int =
     reads = inputs.reads(spark, paths)
     transcript_exons = read_annotation(spark, reference)
     found = filtered(junctions.count_junctions(reads), min_count, overall)
-    blocks = depth_blocks(spark, paths, bam)
+    blocks = depth_blocks(spark, paths, bam, own=True)
     graph = graph_events(found, transcript_exons, error, percent, blocks)
     pairs = coupling.couple(coupling.assemble_transcripts(transcript_exons), reads, error, read_percent)
-    own = annotate(coupling.template_events(pairs, error).drop("transcript").dropDuplicates(report.EVENT + ["sample"]), exon_sets(transcript_exons))
+    own = coupling.annotated_template_events(pairs, transcript_exons, error)
     return coupling.prefer_graph(graph, own, ["sample", *report.EVENT])
 
 

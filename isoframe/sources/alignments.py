@@ -29,10 +29,10 @@ def unique_only(records: DataFrame) -> DataFrame:
 
 def to_reads(records: DataFrame) -> DataFrame:
     """Reads (sample, name, chromosome, start, end, strand, introns, exons) of uniquely mapped records."""
-    ok = unique_only(records).where("cigar <> '*' AND chromosome <> '*' AND pos > 0")
+    ok = unique_only(records).where("cigar <> '*' AND chromosome <> '*' AND pos > 0").withColumn("walk", cg.walk(F.col("cigar"), F.col("pos")))
     place = ok.select(
         "sample", "name", chromosome(F.col("chromosome")).alias("chromosome"), F.col("pos").alias("start"),
-        cg.read_end(F.col("cigar"), F.col("pos")).alias("end"), cg.read_strand(F.col("flag")).alias("strand"), cg.introns(F.col("cigar"), F.col("pos")).alias("introns"),
+        (F.col("walk.pos") - 1).alias("end"), cg.read_strand(F.col("flag")).alias("strand"), F.col("walk.found").alias("introns"),
     )
     return place.withColumn("exons", cg.exons_of(F.col("start"), F.col("end"), F.col("introns")))
 

@@ -46,8 +46,8 @@ def test_transcripts_of_all_parts(spark, con):
                     explained.add((sample, name))
     assert any(int(t.split(".")[0]) % 5 for _, _, t in want)
     run = lambda name: catalog.queries()[name](spark, SF).collect()
-    got = {(r.sample, r.name, r.transcript): r.overlap for r in run("read_transcript_coupling_whole")}
+    got = {(r.sample, r.name, r.transcript): r.overlap for r in run("read_transcript_coupling")}
     assert got == pytest.approx(want, abs=1e-6)
-    assert {(r.sample, r.name) for r in run("novel_reads_whole")} == {(r[0], r[1]) for r in reads} - explained
+    assert {(r.sample, r.name) for r in run("novel_reads")} == {(r[0], r[1]) for r in reads} - explained
     sizes = Counter((s, t) for s, _, t in want)
-    assert {(r.sample, r.transcript): r.n_reads for r in run("template_sizes_whole")} == sizes
+    assert {(r.sample, r.transcript): r.n_reads for r in run("template_sizes")} == sizes
