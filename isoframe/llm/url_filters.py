@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import ascii_lower
+from isoframe.llm.common import ascii_lower, free
 
 #: Hex digits of the digest that the join compares first.
 PREFIX = 8
@@ -50,6 +50,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rest = [c for c in pages.columns if c not in added]
     # the lengths that rule paths have (a few dozen at most: a length is below the longest rule's)
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect() if r[0] is not None)
+    # and the numbers of labels that rule hosts have: only such suffixes can fit
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect() if r[0] is not None and r[0] > 0)
     digest = lambda h, p: F.sha2(F.concat(h, p), 256)
     coded = rules.select("verdict", "rule_host", "rule_path", digest(F.col("rule_host"), F.col("rule_path")).alias("full"))
     coded = coded.withColumn("short", F.substring("full", 1, PREFIX))
@@ -57,20 +59,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     urls = pages.select(F.col(url).alias("u")).where(F.col("u").isNotNull()).distinct()
     urls = urls.withColumns({"h": host_of(F.col("u")), "p": path_of(F.col("u"))}).where("h <> ''")
     labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in depths])) if depths else F.array().cast("array<string>")
     prefixes = F.array_distinct(F.array(*[F.substring("p", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
     expanded = urls.select("u", "h", F.explode(suffixes).alias("sh"), "p").select("u", "sh", F.explode(prefixes).alias("sp"))
     expanded = expanded.withColumn("full", digest(F.col("sh"), F.col("sp"))).withColumn("short", F.substring("full", 1, PREFIX))
     fits = expanded.alias("e").join(coded.alias("r"), "short").where("e.full = r.full AND e.sh = r.rule_host AND e.sp = r.rule_path")
     weight = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.col("verdict"))
     best = fits.groupBy("u").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict")), weight).alias("b"))
-    best = best.select(F.col("u").alias("__u"), F.col("b.rule").alias("rule"), F.col("b.verdict").alias("__v"))
-    return (
-        pages.select(*rest)
-        .join(best, F.col(url) == F.col("__u"), "left")
-        .withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "verdict": F.coalesce("__v", F.lit(default))})
-        .select(*rest, *added)
-    )
+    own, of, said = free(pages, "__own", "__of", "__said")
+    best = best.select(F.col("u").alias(of), F.col("b.rule").alias("rule"), F.col("b.verdict").alias(said))
+    rows = pages.select(*rest, F.col(url).alias(own)).join(best, F.col(own) == F.col(of), "left")
+    return rows.withColumns({"host": host_of(F.col(own)), "path": path_of(F.col(own)), "verdict": F.coalesce(said, F.lit(default))}).select(*rest, *added)
 
 
 ORACLE_SQL = """
