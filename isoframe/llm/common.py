@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoframe.scratch import new_path, shared_dir, written  # noqa: F401
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest table, as written, that is sent to every executor; beyond it joins shuffle both sides.
 BROADCAST_BYTES = 32 << 20
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, which the cluster names; in local mode, where it may be unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master.startswith("local[") or master == "local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="isoframe-"))
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/isoframe/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives a lost executor, is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
-    out.isoframe_path = path
-    return out
-
-
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Like ``written``, in buckets of ``key``: later groupings by it shuffle nothing of this table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)

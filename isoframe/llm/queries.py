@@ -71,8 +71,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     op9.write_archive(table(spark, sf_dir, "pages"), path)
-    out = op9.resolve(op9.read_archive(spark, path))
-    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return op9.reconstruct(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

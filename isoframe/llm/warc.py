@@ -1,9 +1,11 @@
 """Content-addressed WARC archive.
 
-A page becomes a WARC record: its exact header block and its payload bytes. Payload bytes are stored once, under their
-strong digest (SHA-256, checked against length and SHA-1); headers are stored apart. Written out, the record of the
-smallest id among equal payloads is a ``response`` with the bytes, the others are ``revisit`` records that name it.
-Reading parses the files, checks digests, and joins revisits to the payload they refer to.
+A page becomes a WARC record: its exact header block and its payload bytes. Payload bytes are stored once, in the WARC record
+of the smallest id among equal payloads, a ``response``; the others are ``revisit`` records without bytes that name it.
+Header blocks are kept apart as well, each with the strong digest (SHA-256) of its payload.
+
+Reading takes the payloads from the WARC files, digests the bytes that are there, and joins headers to payloads on the strong
+digest: a payload that is not what a header says meets no header. So every original record is put together again.
 
 Files are gzipped WARC 1.1, each of a bounded number of records, so that a task reads a whole file.
 """
@@ -42,12 +44,12 @@ def describe(pages: DataFrame, record_id: str, payload: str, url: str | None, mi
     target = F.col(url) if url else F.lit(None).cast("string")
     rows = pages.select(F.col(record_id).alias("id"), target.alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.withColumns({"sha256": F.sha2("body", 256), "digest": base32_sha1(F.sha1("body")), "bytes": F.octet_length("body").cast("long")})
-    shared = rows.where(F.col("bytes") >= min_shared).groupBy("sha256", "digest", "bytes").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    shared = small(written(shared.where("n > 1").select(F.col("sha256").alias("s2"), F.col("bytes").alias("b2"), "first_id"), "first_ids"))
-    rows = rows.join(shared, (F.col("sha256") == F.col("s2")) & (F.col("bytes") == F.col("b2")), "left").drop("s2", "b2")
-    is_first = F.col("first_id").isNull() | F.col("first_id").eqNullSafe(F.col("id"))
+    shared = rows.where(F.col("bytes") >= min_shared).groupBy("sha256", "digest", "bytes").agg(F.min(F.struct("id")).alias("f"), F.count(F.lit(1)).alias("n"))
+    shared = small(written(shared.where("n > 1").select(F.col("sha256").alias("s2"), F.col("bytes").alias("b2"), F.col("f.id").alias("first_id")), "first_ids"))
+    rows = rows.join(shared, (F.col("sha256") == F.col("s2")) & (F.col("bytes") == F.col("b2")), "left")
+    is_first = F.col("s2").isNull() | F.col("first_id").eqNullSafe(F.col("id"))
     rows = rows.withColumns({"record_type": F.when(is_first, "response").otherwise("revisit"), "refers_to": F.when(~is_first, F.col("first_id"))})
-    return rows.withColumn("header", header_block("url"))
+    return rows.withColumn("header", header_block("url")).drop("s2", "b2")
 
 
 def header_block(url: str | None):
@@ -71,14 +73,13 @@ def header_block(url: str | None):
 
 
 def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", payload: str = "html", url: str | None = "url", min_shared: int = MIN_SHARED) -> None:
-    """Writes ``path/payloads`` (each payload once, by digest), ``path/headers`` (exact headers) and ``path/warc`` (files).
+    """Writes ``path/headers`` (exact headers, each with its payload's digest) and ``path/warc`` (files, each payload once).
 
-    A null payload is empty. Every row gives a record; of rows that share both payload and smallest id, each is a response.
-    An empty table writes empty folders.
+    A null payload is empty. Every row gives a record, one without an id too; it sorts before all others. Of rows that share
+    both payload and smallest id, each is a response. An empty table writes empty folders.
     """
     rows = describe(pages, record_id, payload, url, min_shared)
     response = F.col("record_type") == "response"
-    rows.where(response).select("sha256", "digest", "bytes", "body").write.parquet(f"{path}/payloads")
     rows.select("id", "header", "sha256", "digest", "bytes", "record_type", "refers_to").write.parquet(f"{path}/headers")
     size = pages.select(F.avg(F.coalesce(F.octet_length(F.col(payload).cast("binary")), F.lit(0)) + 300)).first()[0] or 300
     # the text sink ends every record with the two CRLF that WARC asks for; no shuffle: a task cuts its rows into files
@@ -144,10 +145,24 @@ def resolve(records: DataFrame) -> DataFrame:
     return responses.unionByName(revisits)
 
 
+def payloads(records: DataFrame) -> DataFrame:
+    """(sha256, payload_bytes, payload_digest, payload): each payload once, under digests of the bytes that were read."""
+    found = records.where("record_type = 'response' AND payload_digest = declared_digest")
+    found = found.select(F.sha2("payload", 256).alias("sha256"), "payload_bytes", "payload_digest", "payload")
+    # responses of one payload that share their id too hold the same bytes
+    return found.dropDuplicates(["sha256"])
+
+
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Original records (id, header, payload) by joining stored headers to stored payloads on the digest."""
-    payloads = spark.read.parquet(f"{path}/payloads").groupBy("sha256").agg(F.first("body").alias("payload"))
-    return spark.read.parquet(f"{path}/headers").join(payloads, "sha256", "left").select("id", "header", "payload")
+    """Original records by joining kept headers to stored payloads on the strong digest.
+
+    id, header, record_type, refers_to, payload_bytes, payload_digest and payload; the last three are null where no stored
+    bytes have the digest, length and SHA-1 of the header.
+    """
+    headers = spark.read.parquet(f"{path}/headers").select("id", "header", "record_type", "refers_to", F.col("sha256").alias("s2"), "digest", "bytes")
+    stored = payloads(read_archive(spark, path))
+    on = (F.col("s2") == F.col("sha256")) & (F.col("digest") == F.col("payload_digest")) & (F.col("bytes") == F.col("payload_bytes"))
+    return headers.join(stored, on, "left").select("id", "header", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
 
 
 ORACLE_SQL = """

@@ -387,12 +387,33 @@ def test_warc_round_trip(spark, sf, tmp_path):
     for r in warc.read_archive(spark, path).collect():
         assert bytes(r.payload) == (want[r.id] if r.record_type == "response" else b"")
         assert bytes(r.header).startswith(b"WARC/1.1\r\n")
-    assert spark.read.parquet(f"{path}/payloads").count() == len(set(want.values()))
+    assert warc.payloads(warc.read_archive(spark, path)).count() == len(set(want.values()))
     # a payload that is not what its header says is found out
     bad = warc.read_archive(spark, path).withColumn("payload_digest", F.lit("X"))
     assert {r.payload_bytes for r in warc.resolve(bad).collect()} == {None}
 
 
+def test_warc_of_odd_pages(spark, tmp_path):
+    schema = "page_id long, url string, html string, id int, header string, sha256 string"
+    rows = [(None, None, "x", 1, "h", "s"), (5, "http://a\r\nb", "x", 1, "h", "s"), (7, "u", None, 1, "h", "s"), (8, "u", "", 1, "h", "s"), (9, "u", "\r\n\r\n" * 400_000, 1, "h", "s"), (9, "u", "\r\n\r\n" * 400_000, 1, "h", "s")]
+    for k, some in enumerate((rows, [])):
+        path = f"file://{tmp_path}/archive{k}"
+        warc.write_archive(spark.createDataFrame(some, schema), path)
+        got = warc.reconstruct(spark, path).collect()
+        assert sorted((str(r.id), bytes(r.payload)) for r in got) == sorted((str(r[0]), (r[2] or "").encode()) for r in some)
+        assert sorted((str(r.id), r.record_type, r.refers_to) for r in got) == ([("5", "revisit", None), ("7", "response", None), ("8", "revisit", 7), ("9", "response", None), ("9", "response", None), ("None", "response", None)] if some else [])
+
+
+def test_url_rules_on_odd_pages(spark):
+    rules = url_filters.rules_table(spark)
+    schema = "page_id long, url string, h string, p string, u string, verdict int"
+    assert url_filters.judge_urls(spark.createDataFrame([], schema), rules).count() == 0
+    deep = "http://" + "a." * 20_000 + "net/es/x"
+    rows = [(1, None), (None, deep), (2, "x://EXAMPLE.com/en/" + "y" * 1_000_000), (2, "x://EXAMPLE.com/en/" + "y" * 1_000_000), (3, ""), (4, "net/es/")]
+    got = url_filters.judge_urls(spark.createDataFrame([(*r, "h", "p", "u", 1) for r in rows], schema), rules).collect()
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in got) == [("1", None, "allow"), ("2", "example.com/en/", "block"), ("2", "example.com/en/", "block"), ("3", None, "allow"), ("4", None, "allow"), ("None", "net/es/", "block")]
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(1, 4, n) for n in (1, 9, 30, 30, 2)]
