@@ -31,12 +31,9 @@ DATE = "2026-01-01T00:00:00Z"
 
 
 def base32_sha1(hex_sha1):
-    """Upper-case base32 of a SHA-1 given as hex: every five hex digits are four base32 digits."""
-    out = []
-    for g in range(8):
-        v = F.conv(F.substring(hex_sha1, 5 * g + 1, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(BASE32), 1, 32).substr((F.shiftright(v, s).bitwiseAND(31) + 1), F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+    """Upper-case base32 of a SHA-1 given as hex: every five hex digits are four digits to base 32, which Spark writes 0-9A-V."""
+    part = lambda at, n: F.lpad(F.conv(F.substring(hex_sha1, at, n), 16, 32), 4 * n // 5, "0")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def describe(pages: DataFrame, record_id: str, payload: str, url: str | None, min_shared: int = MIN_SHARED) -> DataFrame:
@@ -44,7 +41,7 @@ def describe(pages: DataFrame, record_id: str, payload: str, url: str | None, mi
     target = F.col(url) if url else F.lit(None).cast("string")
     rows = pages.select(F.col(record_id).alias("id"), target.alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.withColumns({"sha256": F.sha2("body", 256), "digest": base32_sha1(F.sha1("body")), "bytes": F.octet_length("body").cast("long")})
-    shared = rows.where(F.col("bytes") >= min_shared).groupBy("sha256", "digest", "bytes").agg(F.min(F.struct("id")).alias("f"), F.count(F.lit(1)).alias("n"))
+    shared = rows.where(F.col("bytes") >= min_shared).groupBy("sha256", "bytes").agg(F.min(F.struct("id")).alias("f"), F.count(F.lit(1)).alias("n"))
     shared = small(written(shared.where("n > 1").select(F.col("sha256").alias("s2"), F.col("bytes").alias("b2"), F.col("f.id").alias("first_id")), "first_ids"))
     rows = rows.join(shared, (F.col("sha256") == F.col("s2")) & (F.col("bytes") == F.col("b2")), "left")
     is_first = F.col("s2").isNull() | F.col("first_id").eqNullSafe(F.col("id"))
@@ -81,7 +78,9 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", paylo
     rows = describe(pages, record_id, payload, url, min_shared)
     response = F.col("record_type") == "response"
     rows.select("id", "header", "sha256", "digest", "bytes", "record_type", "refers_to").write.parquet(f"{path}/headers")
-    size = pages.select(F.avg(F.coalesce(F.octet_length(F.col(payload).cast("binary")), F.lit(0)) + 300)).first()[0] or 300
+    # the average record, from the headers just written
+    stored = F.col("bytes") * response.cast("int") + 300
+    size = pages.sparkSession.read.parquet(f"{path}/headers").select(F.avg(stored)).first()[0] or 300
     # the text sink ends every record with the two CRLF that WARC asks for; no shuffle: a task cuts its rows into files
     value = F.concat(F.col("header"), F.when(response, F.col("body").cast("string")).otherwise(""))
     options = {"lineSep": "\r\n\r\n", "compression": "gzip", "maxRecordsPerFile": str(max(1, int(FILE_BYTES / size)))}
