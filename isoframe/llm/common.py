@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest table, as written, that is sent to every executor; beyond it joins shuffle both sides.
 BROADCAST_BYTES = 32 << 20
+#: An Arrow batch of texts; executors hold some copies of one outside their heap for each task.
+ARROW_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> Iterator[None]:
+    """What is run within it hands batches of about ``limit`` bytes to Python; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Like ``written``, in buckets of ``key``: later groupings by it shuffle nothing of this table."""

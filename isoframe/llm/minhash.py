@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import Scratch, free, small, slices, written
+from isoframe.llm.common import Scratch, free, slices, small, small_batches, written
 from isoframe.llm.components import connected_components
 from isoframe.llm.shingles import mix, shingle_sets
 
@@ -216,7 +216,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
 
 
 def components_of(docs: DataFrame, text: str, doc_id: str, percent: int, words: int) -> DataFrame:
-    """(__id, __t, n, c) for each different id and key of a text: the size of its set and its component's least id."""
+    """(__id, __t, n, c), written, for each different id and key of a text: the size of its set and its component's least id."""
+    with small_batches(docs.sparkSession):
+        return _components_of(docs, text, doc_id, percent, words)
+
+
+def _components_of(docs: DataFrame, text: str, doc_id: str, percent: int, words: int) -> DataFrame:
     scratch = Scratch()
     kind = dict(docs.dtypes)[doc_id]
     body = F.coalesce(F.col(text), F.lit(""))
