@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.llm import decontaminate as op5
 from isoframe.llm import exact_dedup as op8
 from isoframe.llm import lm_automaton as op4
+from isoframe.llm import merkle as op12
 from isoframe.llm import minhash as op2
 from isoframe.llm import packing as op7
 from isoframe.llm import ppm_langid as op1
@@ -79,8 +80,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    # tampering adds one to n_chars where 7 divides the crc of the id; decimals cannot overflow
+    changed = [F.col(c) if c != "n_chars" else F.col(c).cast("decimal(20,0)") + 1 for c in fields]
+    tampered = F.when(op12_tampered("doc_id"), op12.leaf(changed)).otherwise(op12.leaf([F.col(c) for c in fields]))
+    out = op12.manifest(docs, fields, "lang", "doc_id", {"presented": tampered})
+    out = out.withColumn("folded_root", op12.folded("presented", "path"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(op12.proof("path"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_tampered(doc_id: str) -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 0, F.lit(False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup, op12_merkle]
     return {f.__name__: f for f in found}
 
 
@@ -91,4 +106,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": op8.ORACLE_SQL,
         "op9_warc": op9.ORACLE_SQL,
         "op10_substring_dedup": op10.ORACLE_SQL,
+        "op12_merkle": op12.ORACLE_SQL,
     }
