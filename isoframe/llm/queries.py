@@ -13,6 +13,7 @@ from isoframe.llm import lm_automaton as op4
 from isoframe.llm import merkle as op12
 from isoframe.llm import minhash as op2
 from isoframe.llm import packing as op7
+from isoframe.llm import pieces as op13
 from isoframe.llm import ppm_langid as op1
 from isoframe.llm import sharding as op6
 from isoframe.llm import substring_dedup as op10
@@ -90,12 +91,20 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(op12.proof("path"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    found = op13.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    found = op13.decode(found.select("doc_id", "ids", F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256")), model)
+    n_tokens = F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "spans_sha256")
+
+
 def op12_tampered(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 0, F.lit(False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup, op12_merkle]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup, op12_merkle, op13_pieces]
     return {f.__name__: f for f in found}
 
 
