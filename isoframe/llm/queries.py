@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoframe.llm import collocations as op11
 from isoframe.llm import decontaminate as op5
 from isoframe.llm import exact_dedup as op8
 from isoframe.llm import lm_automaton as op4
@@ -81,6 +82,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
     # tampering adds one to n_chars where 7 divides the crc of the id; decimals cannot overflow
@@ -104,7 +109,7 @@ def op12_tampered(doc_id: str) -> Column:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup, op12_merkle, op13_pieces]
+    found = [op1_ppm_langid, op2_minhash, op3_url_filters, op4_lm_automaton, op5_decontaminate, op6_sharding, op7_packing, op8_exact_dedup, op9_warc, op10_substring_dedup, op11_collocations, op12_merkle, op13_pieces]
     return {f.__name__: f for f in found}
 
 
@@ -115,5 +120,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": op8.ORACLE_SQL,
         "op9_warc": op9.ORACLE_SQL,
         "op10_substring_dedup": op10.ORACLE_SQL,
+        "op11_collocations": op11.ORACLE_SQL,
         "op12_merkle": op12.ORACLE_SQL,
     }
