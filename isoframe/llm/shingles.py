@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 #: Texts are hashed in blocks of about this many bytes.
 BLOCK = 1 << 20
-_rng = np.random.default_rng(20260101)
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+#: Words whose digests are kept, each of at most LONG bytes.
+CACHE, LONG = 200_000, 64
+_KEY = b"word shingles"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(0, np.uint64)
-_INVERSE = np.ones(0, np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,25 +22,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        size = max(n, BLOCK + (1 << 16))
-        inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        ones = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64)
-        _POWERS, _INVERSE = ones(_STEP), ones(inverse)
-    return _POWERS[:n], _INVERSE[:n]
+class Digests(dict):
+    """word -> 64 bits of its keyed digest, so that no words with equal numbers can be built from the words themselves."""
 
+    def __missing__(self, word: bytes) -> int:
+        number = int.from_bytes(blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        if len(word) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = number
+        return number
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end) of each run of bytes that are not white space."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)]
-    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), begin, end
+
+_digests = Digests()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Its runs of bytes that are not white space, A-Z lower-cased."""
+    return text.lower().split()
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
@@ -51,16 +47,16 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
     salts = mix(np.arange(1, k + 2, dtype=np.uint64) * _STEP) | np.uint64(1)
     at = 0
     while at < len(texts):
-        end, size = at, 0
+        end, size, found, cuts = at, 0, [], [0]
         while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
             size += len(texts[end]) + 1
+            found += words_of(texts[end])
+            cuts.append(len(found))
             end += 1
-        words, begin, _ = word_hashes(b" ".join(texts[at:end]))
-        lengths = np.array([len(t) + 1 for t in texts[at:end]])
-        cuts = np.searchsorted(begin, np.r_[0, np.cumsum(lengths)])
+        words = np.fromiter(map(_digests.__getitem__, found), np.uint64, len(found))
         grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
-        for i in range(k):
-            grams += words[i : len(words) - k + 1 + i] * salts[i]
+        for i in range(k if len(grams) else 0):
+            grams += words[i : i + len(grams)] * salts[i]
         grams = mix(grams)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             n = hi - lo

@@ -190,6 +190,54 @@ def test_shingles_count_like_words():
     assert sets[2][0] != sets[3][0]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6])
+def test_few_words_alone_in_a_block(spark, n):
+    text = " ".join("xyzuvw"[:n])
+    assert [len(x) for x in shingles.shingle_sets([text.encode()])] == [0 if not n else max(1, n - 4)]
+    got = minhash.near_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_shingles, got.component_id, got.kept) == (0 if not n else max(1, n - 4), 1, True)
+
+
+def test_words_built_to_collide_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 take a long word of this kind and its complement for one."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} b c d e f"), (4, f"{other} b c d e f"), (5, word)]
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_near_duplicates_with_string_ids(spark, docs):
+    own = docs.select(F.format_string("d%05d", "doc_id").alias("doc_id"), "text")
+    want = {f"d{r.doc_id:05d}": f"d{r.component_id:05d}" for r in minhash.near_dedup(docs).collect()}
+    assert {r.doc_id: r.component_id for r in minhash.near_dedup(own).collect()} == want
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs with similarities from 0.75 to 0.80, each apart from all others: none is missed."""
+    rng, rows, pairs = random.Random(17), [], 2000
+    for i in range(pairs):
+        base = [f"{i}.{j}" for j in range(rng.randrange(60, 160))]
+        copy, n = list(base), len(base) - 4
+        # k changed shingles of n: similarity (n - k) / (n + k)
+        k = int(n * (1 - 0.75) / 1.75)
+        copy[-1] = f"x{i}"
+        for j in range(4, k + 1):
+            copy[j - 4 - len(base)] = f"y{i}.{j}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    near = {}
+    for i in range(pairs):
+        a, b = shingles.shingle_sets([rows[2 * i][1].encode(), rows[2 * i + 1][1].encode()])
+        both = len(np.intersect1d(a, b))
+        near[i] = both / (len(a) + len(b) - both)
+    asked = [i for i, s in near.items() if 0.75 <= s <= 0.80]
+    assert len(asked) > 1500
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in asked) == len(asked)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
