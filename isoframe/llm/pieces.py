@@ -12,7 +12,9 @@ cache of words gives the same pieces as merging whole texts. Spark deals the tex
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 #: Words whose pieces are kept, each shorter than LONG characters.
 CACHE, LONG = 200_000, 40
+#: Below every score.
+NEVER = -math.inf
 #: Texts are taken in parts of about so many characters, and batches in slices of about so many bytes.
-PART, SLICE = 1 << 20, 4 << 20
+PART, SLICE = 1 << 20, 1 << 20
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _CUT = re.compile(r"(?<=[^ ]) ")
 
@@ -62,7 +66,10 @@ class CharMap:
 
 
 class Codec(dict):
-    """word -> (ids, normalised bytes of each piece, source bytes of each piece), the words beginning with U+2581."""
+    """word -> (ids, bytes of each piece), the words beginning with U+2581.
+
+    Bytes are those of the source where the model has plain rules, else those of the normalised text.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -88,6 +95,21 @@ class Codec(dict):
 
     def merged(self, word: str) -> list[str]:
         """The symbols that are left when, again and again, the neighbours with the best score (the first of them) are joined."""
+        if len(word) >= LONG:
+            return self._merged_long(word)
+        at, get = list(word), self.scores.get
+        found = [get(a + b, NEVER) for a, b in zip(at, at[1:])]
+        while found and (best := max(found)) != NEVER:
+            i = found.index(best)
+            at[i : i + 2] = [at[i] + at[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = get(at[i - 1] + at[i], NEVER)
+            if i < len(found):
+                found[i] = get(at[i] + at[i + 1], NEVER)
+        return at
+
+    def _merged_long(self, word: str) -> list[str]:
         at, after, before = list(word), [*range(1, len(word)), -1], [*range(-1, len(word) - 1)]
         heap: list[tuple[float, int, str, str]] = []
 
@@ -111,25 +133,25 @@ class Codec(dict):
                 offer(before[i], i)
         return [x for x in at if x]
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes]:
-        ids, lengths, source = [], [], []
+    def made(self, word: str, source: bool) -> tuple[bytes, bytes]:
+        ids, sizes = array("I"), array("H")
         for piece in self.merged(word):
             n = len(piece.encode())
-            own = n - 2 * piece.count(SPACE)
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-                lengths.append(n)
-                source.append(own)
+            own = n - 2 * piece.count(SPACE) if source else n
+            if (i := self.ids.get(piece)) is not None:
+                ids.append(i)
+                sizes.append(own)
             elif self.bytes:
                 # the last byte stands for the whole character, the others for nothing
-                ids += [self.bytes[b] for b in piece.encode()]
-                lengths += [0] * (n - 1) + [n]
-                source += [0] * (n - 1) + [own]
+                ids.extend(self.bytes[b] for b in piece.encode())
+                sizes.extend([0] * (n - 1) + [own])
             else:
                 ids.append(self.unk)
-                lengths.append(n)
-                source.append(own)
-        out = np.array(ids, "<u4").tobytes(), np.array(lengths, "<u2").tobytes(), np.array(source, "<u2").tobytes()
+                sizes.append(own)
+        return ids.tobytes(), sizes.tobytes()
+
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        out = self.made(word, self.plain)
         if len(self) < CACHE and len(word) < LONG:
             self[word] = out
         return out
@@ -183,7 +205,8 @@ class Codec(dict):
             starts = np.r_[0, ends[:-1]] if len(ends) else ends
         else:
             norm, align = self.normalised(text)
-            got = [self[w] for w in (_WORD.findall(norm) if self.apart else [norm] if norm else [])]
+            words = _WORD.findall(norm) if self.apart else [norm] if norm else []
+            got = [self.made(w, False) if self.plain else self[w] for w in words]
             ids, n = b"".join(x[0] for x in got), np.frombuffer(b"".join(x[1] for x in got), "<u2").astype(np.int64)
             at = np.cumsum(n)
             starts, ends = align[at - n], align[at]
@@ -196,7 +219,7 @@ class Codec(dict):
             cut = _CUT.search(text, at + PART) if len(text) > at + PART else None
             end = cut.start() if cut else len(text)
             part = text[at:end].replace(" ", SPACE)
-            for x, _, n in map(self.__getitem__, _WORD.findall(part if at else SPACE + part)):
+            for x, n in map(self.__getitem__, _WORD.findall(part if at else SPACE + part)):
                 ids.append(x)
                 lengths.append(n)
             at = end
@@ -263,39 +286,55 @@ def parts_of(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE)
                 yield batch.slice(lo, hi - lo)
 
 
+ENCODED = ["ids", "starts", "ends"]
+
+
 def _added(df: DataFrame, names: list[str], kind) -> tuple[list[str], StructType]:
     rest = [c for c in df.columns if c not in names]
     return rest, StructType([df.schema[c] for c in rest] + [StructField(n, kind) for n in names])
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids, starts and ends added: little-endian unsigned 32-bit numbers, the begin and end ids included.
-
-    starts and ends are bytes of the text's UTF-8. A piece made of the space in front alone, and all but the last of the byte
-    pieces of a character, have an empty span. A null text counts as empty, and has the begin and end ids only. Rows that
-    repeat are each encoded. Columns of ``docs`` named like the added ones are replaced. An empty table gives no rows.
-    """
-    names = ["ids", "starts", "ends"]
-    rest, schema = _added(docs, names, BinaryType())
-
+def _encoding(rest: list[str], text: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in parts_of(batches, text):
             got = [own.encode(t or "") for t in batch.column(text).to_pylist()]
             more = [pa.array([g[i] for g in got], pa.binary()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], [*rest, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], [*rest, *ENCODED])
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """``df`` with ``decoded`` added: the text of the ids. Null ids count as none. A column ``decoded`` is replaced."""
-    rest, schema = _added(df, ["decoded"], StringType())
-
+def _decoding(rest: list[str], ids: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in parts_of(batches, ids):
             got = pa.array([own.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), got], [*rest, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids, starts and ends added: little-endian unsigned 32-bit numbers, the begin and end ids included.
+
+    starts and ends are bytes of the text's UTF-8. A piece made of the space in front alone, and all but the last of the byte
+    pieces of a character, have an empty span. A null text counts as empty, and has the begin and end ids only. Rows that
+    repeat are each encoded. Columns of ``docs`` named like the added ones are replaced. An empty table gives no rows.
+    """
+    rest, schema = _added(docs, ENCODED, BinaryType())
+    return docs.mapInArrow(_encoding(rest, text, model), schema)
+
+
+def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """``df`` with ``decoded`` added: the text of the ids. Null ids count as none. A column ``decoded`` is replaced."""
+    rest, schema = _added(df, ["decoded"], StringType())
+    return df.mapInArrow(_decoding(rest, ids, model), schema)
+
+
+def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, in one pass through Python; the text itself is left out."""
+    rest, schema = _added(docs, [*ENCODED, text, "decoded"], BinaryType())
+    schema = schema.fields[: len(rest)] + _added(docs, ENCODED, BinaryType())[1].fields[-3:] + [StructField("decoded", StringType())]
+    encoded, decoded = _encoding(rest, text, model), _decoding([*rest, *ENCODED], "ids", model)
+    return docs.mapInArrow(lambda batches: decoded(encoded(batches)), StructType(schema))

@@ -97,11 +97,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    found = op13.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    found = op13.decode(found.select("doc_id", "ids", F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256")), model)
+    found = op13.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    spans = F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256")
     n_tokens = F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens")
-    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "spans_sha256")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), spans)
 
 
 def op12_tampered(doc_id: str) -> Column:

@@ -132,4 +132,7 @@ def test_clashing_names_and_empty_tables(spark):
     out = pieces.decode(pieces.encode(docs, MODEL), MODEL)
     assert out.columns == ["doc_id", "text", "ids", "starts", "ends", "decoded"]
     assert sorted(r.decoded for r in out.collect()) == ["", "a b"]
+    both = pieces.round_trip(docs, MODEL)
+    assert both.columns == ["doc_id", "ids", "starts", "ends", "decoded"]
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, out.drop("text").collect()))
     assert pieces.decode(pieces.encode(docs.where("false"), MODEL), MODEL).count() == 0
