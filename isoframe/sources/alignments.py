@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import cigar as cg
 from isoframe.functions.intervals import chromosome
-from isoframe.sources.bam import BamDataSource
+from isoframe.operators.interval_join import interval_join
+from isoframe.sources.bam import SPLIT, WINDOW_BITS, BamDataSource
 from isoframe.sources.files import lines
 from isoframe.sources.sniff import LINE_FORMATS
 
@@ -48,11 +49,52 @@ def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return sam_lines(lines(spark, paths))
 
 
-def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of BAM files, one task for each file, streamed block by block."""
+def windows_of(regions: DataFrame) -> list[tuple[str, int, int]]:
+    """The stretches of windows (2**14 bases) that regions (chromosome, start, end) touch; a genome has some 200,000 windows."""
+    number = lambda c: F.shiftright(F.greatest(F.col(c), F.lit(1)) - 1, WINDOW_BITS)
+    touched = regions.where("end >= start AND end > 0").select(chromosome(F.col("chromosome")).alias("c"), F.explode(F.sequence(number("start"), number("end"))).alias("w")).distinct()
+    before = F.lag("w").over(Window.partitionBy("c").orderBy("w"))
+    first = touched.withColumn("opens", F.coalesce(before < F.col("w") - 1, F.lit(True)).cast("int"))
+    runs = first.withColumn("run", F.sum("opens").over(Window.partitionBy("c").orderBy("w"))).groupBy("c", "run").agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    return [(r["c"], (r["a"] << WINDOW_BITS) + 1, (r["b"] + 1) << WINDOW_BITS) for r in runs.collect()]
+
+
+def read_bam(spark: SparkSession, paths: str | list[str], regions: list[tuple[str, int, int]] | DataFrame | None = None, split: int = SPLIT) -> DataFrame:
+    """Records of BAM files, a task for each range of ``split`` bytes.
+
+    With ``regions`` (chromosome, first and last base; ``chr`` aside) only records that touch one, of a DataFrame those that touch
+    a window of 2**14 bases that one touches; where a file has an index (``.bai``), only their blocks are read. A filter of the
+    result by one chromosome and by pos is such a region, too.
+    """
     spark.dataSource.register(BamDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses sources that can push filters down
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("isoframe_bam").option("paths", "\n".join(paths)).load()
+    found = spark.read.format("isoframe_bam").option("paths", "\n".join(paths)).option("split", split)
+    if regions is not None:
+        listed = windows_of(regions) if isinstance(regions, DataFrame) else regions
+        found = found.option("regions", "\n".join(f"{c}\t{a}\t{b}" for c, a, b in listed))
+    return found.load()
+
+
+def write_bam(records: DataFrame, path: str, references: list[tuple[str, int]]) -> None:
+    """BAM files with their indexes in a folder, one for each range of (chromosome, pos); records as ``read_bam`` gives them.
+
+    References are in the order of ``references``; records of others are written without a place.
+    """
+    records.sparkSession.dataSource.register(BamDataSource)
+    order = F.create_map(*[x for i, (n, _) in enumerate(references) for x in (F.lit(n), F.lit(i))])
+    rows = records.select("name", "flag", "chromosome", "pos", "cigar", "nh").withColumn("nth", F.coalesce(F.try_element_at(order, F.col("chromosome")), F.lit(len(references))))
+    rows = rows.repartitionByRange("nth", "pos").sortWithinPartitions("nth", "pos").drop("nth")
+    rows.write.format("isoframe_bam").option("path", path).option("references", "\n".join(f"{n}\t{size}" for n, size in references)).mode("append").save()
+
+
+def region_records(spark: SparkSession, paths: str | list[str], regions: DataFrame) -> DataFrame:
+    """Records (with ``end``, their last base) that touch a region (chromosome, start, end), each once."""
+    found = read_bam(spark, paths, regions).where("cigar <> '*' AND chromosome <> '*' AND pos > 0")
+    found = found.withColumn("end", cg.read_end(F.col("cigar"), F.col("pos"))).withColumn("uid", F.monotonically_increasing_id())
+    left = found.select("uid", chromosome(F.col("chromosome")).alias("place"), F.col("pos").alias("start"), "end")
+    right = regions.select(chromosome(F.col("chromosome")).alias("place"), F.col("start").alias("r_start"), F.col("end").alias("r_end")).distinct()
+    return found.join(interval_join(left, right, ["place"]).select("uid").distinct(), "uid", "left_semi").drop("uid")
 
 
 def _from_introns(df: DataFrame) -> DataFrame:
