@@ -3,8 +3,9 @@
 1. Every task counts all n-grams of its texts, words included, in a sketch of fixed size: DEPTH rows of CELLS saturating
    counters. Sketches are cut into chunks, dealt by chunk and added. A merged counter is never less than the count of any n-gram
    that falls on it; only whether it reaches the threshold is kept, a bit for each counter, and broadcast (4 MB at most).
-2. The second pass emits the n-grams whose counters, and those of all their parts, reach the threshold, folded within blocks of
-   text, and adds them up by their words. So no n-gram that is frequent is lost, and what is not is dropped by its exact count.
+2. The second pass takes the n-grams whose counters, and those of all their parts, reach the threshold, folds them within blocks
+   of text, and deals them to buckets by their hash, a row for each block and bucket; each bucket adds them up by their words.
+   So no n-gram that is frequent is lost, and what is not is dropped by its exact count.
 3. Every cut of a phrase looks its two parts up among the exact counts; the lowest score counts. Phrases within a longer one
    that is as frequent go. The first ones of each language are found in salted parts first, so that none is sorted whole.
 
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import Scratch, small, written
+from isoframe.llm.common import Scratch, small, small_batches, written
 from isoframe.llm.pieces import parts_of
 from isoframe.llm.shingles import mix
 
@@ -32,7 +33,9 @@ LONGEST, MIN_COUNT, TOP, SUBSUMED = 5, 100, 2000, 100
 CELLS, DEPTH = 1 << 24, 2
 FULL = (1 << 15) - 1
 #: Bytes of a chunk of counters, and of the text that is folded at once.
-CHUNK, BLOCK = 1 << 18, 4 << 20
+CHUNK, BLOCK = 1 << 18, 2 << 20
+#: Buckets in which n-grams are added up, for each shuffle partition and in all at least; a task holds those of one.
+BUCKETS, LEAST_BUCKETS = 4, 64
 #: Parts of a language that are ranked apart, first.
 SALTS = 64
 #: Between pieces and between words; only A-Z are lower-cased.
@@ -141,7 +144,7 @@ def sketched(docs: DataFrame, longest: int, cells: int, depth: int) -> DataFrame
 
     # about eight parts of the input share a sketch, where they are more than the cluster has room for
     parts = docs.rdd.getNumPartitions()
-    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // 8)
+    few = max(4 * docs.sparkSession.sparkContext.defaultParallelism, parts // 8)
     return docs.select("lang", "text").coalesce(min(few, parts) or 1).mapInArrow(run, "chunk int, counters binary")
 
 
@@ -167,8 +170,8 @@ def merged(sketches: DataFrame, threshold: int) -> DataFrame:
     return sketches.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, bits binary")
 
 
-def survivors(docs: DataFrame, bits: DataFrame, longest: int, cells: int, depth: int) -> DataFrame:
-    """(lang, phrase, n, f) of n-grams that may be frequent, folded by block; and the words of each language, as phrase null."""
+def survivors(docs: DataFrame, bits: DataFrame, longest: int, cells: int, depth: int, buckets: int) -> DataFrame:
+    """(bucket, lang, phrases, counts): n-grams that may be frequent, folded by block, a line each; and the words, as an empty line."""
     table = np.zeros(depth * cells // 8, np.uint8)
     for chunk, part in ((r["chunk"], r["bits"]) for r in bits.toLocalIterator()):  # of fixed size, whatever the corpus
         table[chunk * CHUNK // 16 : chunk * CHUNK // 16 + len(part)] = np.frombuffer(part, np.uint8)
@@ -186,23 +189,30 @@ def survivors(docs: DataFrame, bits: DataFrame, longest: int, cells: int, depth:
 
         for lang, texts in _by_language(batches):
             for block in blocks(texts, longest):
-                yield from _folded(block, lang, longest, frequent)
+                names, counts, h = _folded(block, lang, longest, frequent)
+                dealt = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(dealt, kind="stable")
+                found, starts = np.unique(dealt[order], return_index=True)
+                parts = list(zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True))
+                lines = [b"\n".join([names[i] for i in order[lo:hi].tolist()]) for _, lo, hi in parts]
+                numbers = [counts[order[lo:hi]].tobytes() for _, lo, hi in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([lang] * len(parts), pa.string()), pa.array(lines, pa.binary()), pa.array(numbers, pa.binary())], ["bucket", "lang", "phrases", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n int, f long")
+    return docs.select("lang", "text").mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
 
 
-def _folded(block: Block, lang: str, longest: int, frequent) -> Iterator[pa.RecordBatch]:
+def _folded(block: Block, lang: str, longest: int, frequent) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Names, counts and hashes of a block's n-grams that may be frequent, and first of its words, under no name."""
     own = hashes(block, lang)
     size = len(own)
-    rows = lambda phrase, n, f: pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array([n] * len(phrase), pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "n", "f"])
-    yield rows([None], 0, [int((block.new <= 1).sum())])
     # a hash of one word is the first step of every longer one
     first = mix(own * _SALT[9])
     known = frequent(first)
     at = np.flatnonzero(known[block.ids])  # places at which a phrase that may be frequent begins
-    h, which, names = first[block.ids[at]], block.ids[at], block.names
+    h, which, names, each = first[block.ids[at]], block.ids[at], block.names, first
     alive = np.zeros(len(block.ids) + 1, bool)
     alive[at] = True
+    all_names, all_counts, all_hashes = [b""], [np.array([(block.new <= 1).sum()], np.int64)], [np.array([xxhash.xxh3_64_intdigest(lang.encode())], np.uint64)]
     for n in range(1, longest + 1):
         if n > 1:
             fits = (block.room[at] >= n) & alive[np.minimum(at + 1, len(alive) - 1)]
@@ -210,24 +220,56 @@ def _folded(block: Block, lang: str, longest: int, frequent) -> Iterator[pa.Reco
             word = block.ids[at + n - 1]
             h = mix(h + own[word] * _SALT[n + 8])
             ok = frequent(h)
-            at, pairs = at[ok], which[ok] * size + word[ok]
-            h = h[ok]
-            seen, which = np.unique(pairs, return_inverse=True)
+            at, h, pairs = at[ok], h[ok], which[ok] * size + word[ok]
+            seen, place, which = np.unique(pairs, return_index=True, return_inverse=True)
+            each = h[place]
             names = [names[a] + b" " + block.names[b] for a, b in zip((seen // size).tolist(), (seen % size).tolist(), strict=True)]
             alive[:] = False
             alive[at] = True
         counts = np.bincount(which[block.new[at] <= n], minlength=len(names))
         used = np.flatnonzero(counts)
-        for lo in range(0, len(used), 20_000):
-            some = used[lo : lo + 20_000]
-            yield rows([names[i] for i in some.tolist()], n, counts[some])
+        all_names += [names[i] for i in used.tolist()]
+        all_counts.append(counts[used].astype(np.int64))
+        all_hashes.append(each[used])
+    return all_names, np.concatenate(all_counts), np.concatenate(all_hashes)
+
+
+def added_up(folded: DataFrame, min_count: int) -> DataFrame:
+    """(lang, phrase, n, f) of all n-grams that occur ``min_count`` times; phrase null: the words of the language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            kept = [(p, f) for p, f in held.items() if f >= min_count or not p]
+            for lo in range(0, len(kept), 20_000):
+                some = kept[lo : lo + 20_000]
+                phrase = pa.array([p.decode() if p else None for p, _ in some], pa.string())
+                n = pa.array([p.count(b" ") + 1 if p else 0 for p, _ in some], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(some), pa.string()), phrase, n, pa.array([f for _, f in some], pa.int64())], ["lang", "phrase", "n", "f"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column("bucket")[i].as_py(), batch.column("lang")[i].as_py()
+                if key != now:
+                    yield from out()
+                    now, held = key, {}
+                counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int64).tolist()
+                for p, f in zip(batch.column("phrases")[i].as_py().split(b"\n"), counts, strict=True):
+                    held[p] = held.get(p, 0) + f
+        yield from out()
+
+    keys = ["bucket", "lang"]
+    return folded.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "lang string, phrase string, n int, f long")
 
 
 def counted(docs: DataFrame, longest: int, min_count: int, cells: int, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Written: (lang, phrase, n, f) of all n-grams that occur ``min_count`` times, and (lang, n), the words of each language."""
-    bits = scratch.written(merged(sketched(docs, longest, cells, depth), min_count), "bits")
-    exact = survivors(docs, bits, longest, cells, depth).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= min_count))
-    exact = scratch.written(exact, "phrases")
+    spark = docs.sparkSession
+    buckets = max(LEAST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with small_batches(spark):
+        bits = scratch.written(merged(sketched(docs, longest, cells, depth), min_count), "bits")
+        exact = scratch.written(added_up(survivors(docs, bits, longest, cells, depth, buckets), min_count), "phrases")
     return exact.where("phrase IS NOT NULL"), scratch.written(exact.where("phrase IS NULL").select("lang", F.col("f").alias("n")), "words")
 
 
