@@ -17,6 +17,7 @@ from isoframe.operators import annotate, coupling, events, isoforms, junctions,
 from isoframe.operators.interval_join import interval_join
 from isoframe.plans import views
 from isoframe.schemas import GRAPH
+from isoframe.scratch import new_path
 from isoframe.sources import alignments, annotation, junction_files
 
 BIN = 256
@@ -306,7 +307,7 @@ IR_PERCENT = 50.0
 
 @register("gap_ir", f"""WITH {ALL}, {PSI}, {SE}, {EXONS}, {GAPS} SELECT sample, chromosome, strand, "start", "end", array_to_string(sites, '-') AS sites, intron_start, intron_end, transcript, exon_id FROM ir""")
 def _(spark, sf):
-    found = retention.retained_introns(events.skipped_exons(with_psi(spark, sf)), views.transcript_exons(spark, sf), IR_PERCENT, BIN)
+    found = retention.retained_introns(events.skipped_exons(with_psi(spark, sf)), views.transcript_exons(spark, sf), IR_PERCENT)
     return found.select(*GRAPH, "start", "end", F.array_join("sites", "-").alias("sites"), "intron_start", "intron_end", "transcript", "exon_id")
 
 
@@ -322,7 +323,7 @@ dep AS (SELECT region, side, CAST(sum(total) AS DOUBLE) / CAST(sum(covered) AS D
 @register("coverage_mean", f"""WITH {EXONS}, {BLOCKS}, rg AS (SELECT DISTINCT chromosome || ':' || exon_id AS region, 0 AS side, chromosome, "start" - 20 AS s, "end" + 20 AS e FROM exons), {DEPTH} SELECT region, round(depth, 6) AS depth FROM dep""")
 def _(spark, sf):
     regions = views.exons(spark, sf).select(F.concat_ws(":", "chromosome", "exon_id").alias("region"), "chromosome", (F.col("start") - 20).alias("start"), (F.col("end") + 20).alias("end")).distinct()
-    return retention.mean_depth(regions, views.blocks(spark, sf), BIN).select("region", F.round("depth", 6).alias("depth"))
+    return retention.mean_depth(regions, views.blocks(spark, sf)).select("region", F.round("depth", 6).alias("depth"))
 
 
 @register("ir_psi", f"""WITH {ALL}, {BLOCKS}, iv AS (SELECT DISTINCT chromosome, "start" AS s, "end" AS e FROM junctions),
@@ -331,7 +332,7 @@ SELECT r.region, round(i.depth / o.depth, 6) AS psi FROM (SELECT DISTINCT region
 def _(spark, sf):
     name = F.concat("chromosome", F.lit(":"), "start", F.lit("-"), "end")
     regions = views.junctions(spark, sf).select(name.alias("region"), "chromosome", "start", "end").distinct()
-    return retention.depth_ratio(regions, views.blocks(spark, sf), bin_size=BIN).select("region", F.round("psi", 6).alias("psi"))
+    return retention.depth_ratio(regions, views.blocks(spark, sf)).select("region", F.round("psi", 6).alias("psi"))
 
 
 @register("read_introns_to_exons", f"""WITH {READS} SELECT name, unnest(range(1, n + 1)) AS nth, CAST(unnest(parts) * 40 + 91 AS INT) AS "start", CAST(unnest(parts) * 40 + 99 AS INT) AS "end" FROM reads""")
@@ -359,7 +360,7 @@ def part_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coupled(spark: SparkSession, sf: str) -> DataFrame:
-    return coupling.couple(part_transcripts(spark, sf), views.reads(spark, sf), 3, READ_PERCENT, 4096)
+    return coupling.couple(part_transcripts(spark, sf), views.reads(spark, sf), 3, READ_PERCENT)
 
 
 @register("read_transcript_coupling", f"WITH {READS}, {TRANSCRIPTS} SELECT sample, name, transcript, round(pc, 6) AS overlap FROM cp")
@@ -445,6 +446,18 @@ def _(spark, sf):
     return found.select("name", "chromosome", "start", "end", "strand", F.size("introns").alias("n_introns"))
 
 
+@register("bam_region_reads", f"""WITH {CIGARS}, r AS (SELECT 'r' || k || '.' || n AS name, 'chr' || (1 + d % 5) AS chromosome, CAST(1000 + p * 40 AS INT) AS "start", CAST(1000 + p * 40 + 2 * a + b + d + 64 AS INT) AS "end" FROM c),
+g AS (SELECT 'chr' || (1 + s_suppkey % 5) AS chromosome, s_suppkey * 700 AS a, s_suppkey * 700 + 300 AS b FROM supplier)
+SELECT name, chromosome, "start", "end" FROM r WHERE EXISTS (SELECT 1 FROM g WHERE g.chromosome = r.chromosome AND r."start" <= g.b AND r."end" >= g.a)""")
+def _(spark, sf):
+    # line items as alignments in indexed BAM files; suppliers name the regions
+    rows = cigars(spark, sf).selectExpr("concat('r', k, '.', n) AS name", "CAST(16 * (n % 2) AS INT) AS flag", "concat('chr', 1 + d % 5) AS chromosome", "CAST(1000 + 40 * (pos - 1000) AS INT) AS pos", "cigar", "1 AS nh")
+    path = new_path(spark, "alignments")
+    alignments.write_bam(rows, path, [(f"chr{i}", 1 << 29) for i in range(1, 6)])
+    regions = views.table(spark, sf, "supplier").selectExpr("concat('chr', 1 + s_suppkey % 5) AS chromosome", "CAST(s_suppkey * 700 AS INT) AS start", "CAST(s_suppkey * 700 + 300 AS INT) AS end")
+    return alignments.region_records(spark, path, regions).select("name", "chromosome", F.col("pos").alias("start"), "end")
+
+
 @register("gtf_attributes", """SELECT DISTINCT p_brand AS gene, p_brand || '.' || (p_size % 3) AS transcript, 'E' || p_partkey AS exon_id, CAST(p_partkey * 40 + 91 AS INT) AS "start", CAST(p_partkey * 40 + 99 AS INT) AS "end" FROM part""")
 def _(spark, sf):
     rows = views.table(spark, sf, "part").selectExpr("concat_ws('\t', 'chr1', 'x', 'exon', p_partkey * 40 + 91, p_partkey * 40 + 99, '.', '+', '.', concat('gene_id \"', p_brand, '\"; transcript_id \"', p_brand, '.', p_size % 3, '\"; note \"a; b c\"; exon_id \"E', p_partkey, '\";')) AS value")

@@ -9,7 +9,7 @@ from isoframe.functions.cigar import fuzzy_matches, sites_of
 from isoframe.functions.intervals import overlap_percent, overlaps_within
 from isoframe.operators.annotate import annotate
 from isoframe.operators.events import ERROR, all_events
-from isoframe.operators.interval_join import BIN, interval_join
+from isoframe.operators.interval_join import similar_join
 from isoframe.schemas import EVENT_KEY, GRAPH
 from isoframe.sources.annotation import exon_sets
 
@@ -20,7 +20,7 @@ def assemble_transcripts(transcript_exons: DataFrame) -> DataFrame:
     return transcript_exons.groupBy("transcript", "gene", "chromosome", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(exon)).alias("exons"))
 
 
-def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent: float = 90.0, bin_size: int = BIN) -> DataFrame:
+def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent: float = 90.0) -> DataFrame:
     """Pairs of a read and a transcript of its strand that overlap by ``percent`` of their hull and share two sites.
 
     reads: sample, name, chromosome, strand, start, end, exons; sites match within ``error``.
@@ -30,7 +30,7 @@ def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent
     left = reads.withColumn("__sites", sites_of(F.col("exons")))
     ratio = overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")
     test = overlaps_within(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), error) & (ratio >= percent) & (fuzzy_matches(F.col("__sites"), F.col("r_sites"), error) >= 2)
-    pairs = interval_join(left, right, ["chromosome", "strand"], bin_size, slack=error, condition=test)
+    pairs = similar_join(left, right, ["chromosome", "strand"], percent, test)
     return pairs.withColumn("overlap", overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")).drop("r_start", "r_end", "r_sites", "__sites")
 
 

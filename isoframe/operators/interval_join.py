@@ -1,35 +1,85 @@
-"""Interval join by coordinate bins: an equi-join that hash-partitions, where a range condition alone would not."""
+"""Interval join by bins of several widths: an equi-join that hash-partitions, where a range condition alone would not.
+
+Bins of a level are FACTOR times as wide as those of the level below. An interval's own level is the first whose bins are as
+long as it is, so that it touches two of them at most, there and above. A pair meets at the higher of its two levels. So an
+interval is dealt to two bins at most for each level that the data has from its own on: one of a whole chromosome is two rows,
+not one for every bin of the narrowest.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 4096
+#: Width of the narrowest bins.
+BIN = 256
+FACTOR_BITS, LEVELS = 4, 7
+
+
+def level_of(length: Column, bin_size: int = BIN) -> Column:
+    """The first level whose bins have ``length`` bases or more."""
+    steps = [(length > (bin_size << FACTOR_BITS * k)).cast("int") for k in range(LEVELS - 1)]
+    out = steps[0]
+    for s in steps[1:]:
+        out = out + s
+    return out
+
 
+def bin_of(place: Column, level: Column, bin_size: int = BIN) -> Column:
+    return F.floor(place / (F.lit(bin_size).cast("long") * F.pow(F.lit(1 << FACTOR_BITS), level).cast("long")))
 
-def choose_bin(df: DataFrame, start: str = "start", end: str = "end") -> int:
-    """Twice the median length, as a power of two, so that most intervals fall into one bin or two."""
-    median = df.select(F.percentile_approx(F.col(end) - F.col(start), 0.5, 100)).first()[0] or 1
-    return max(16, 1 << int(2 * median).bit_length())
+
+def dealt(df: DataFrame, lo: Column, hi: Column, found: Column, bin_size: int) -> DataFrame:
+    """``df`` with __lo, __hi, __own (its level), and a row for each __level of ``found`` from there on and __bin it touches."""
+    out = df.withColumns({"__lo": lo, "__hi": hi}).withColumn("__own", level_of(F.col("__hi") - F.col("__lo") + 1, bin_size))
+    out = out.withColumn("__level", F.explode(found)).where("__level >= __own")
+    first, last = bin_of(F.col("__lo"), F.col("__level"), bin_size), bin_of(F.col("__hi"), F.col("__level"), bin_size)
+    return out.withColumn("__bin", F.explode(F.sequence(first, last)))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int = BIN, slack: int = 0, condition: Column | None = None) -> DataFrame:
     """Pairs whose intervals, the left one widened by ``slack``, share a base and that agree on ``on``.
 
-    Left needs start and end, right r_start and r_end, and no other common column than ``on``. Both are dealt to the bins
-    they touch; a pair is kept only in the bin where both are first together, so none is repeated. ``condition`` is any
-    further test. Invalid or null intervals meet nothing. Skewed keys are split by the adaptive sort-merge join.
+    Left needs start and end, right r_start and r_end, and no other common column than ``on``. A pair is kept only in the bin
+    where both are first together, so none is repeated. ``condition`` is any further test. Invalid or null intervals meet
+    nothing. Which levels the data has is found by a subquery over both sides' lengths, so a side that is dear to make should
+    be written first. Skewed keys are split by the adaptive sort-merge join.
     """
+    a, b = left.where("end >= start"), right.where("r_end >= r_start")
     lo, hi = F.col("start") - slack, F.col("end") + slack
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-    a = left.where("end >= start").withColumns({"__lo": lo, "__hi": hi}).withColumn("__bin", bins(F.col("__lo"), F.col("__hi")))
-    b = right.where("r_end >= r_start").withColumn("__bin", bins(F.col("r_start"), F.col("r_end")))
-    joined = a.join(b, [*on, "__bin"]).where("__lo <= r_end AND __hi >= r_start")
-    joined = joined.where(F.col("__bin") == F.floor(F.greatest("__lo", "r_start") / bin_size))
+    levels = a.select(level_of(hi - lo + 1, bin_size).alias("x")).unionAll(b.select(level_of(F.col("r_end") - F.col("r_start") + 1, bin_size).alias("x")))
+    found = levels.agg(F.collect_set("x")).scalar()
+    a = dealt(a, lo, hi, found, bin_size)
+    b = dealt(b, F.col("r_start"), F.col("r_end"), found, bin_size).drop("__lo", "__hi").withColumnRenamed("__own", "__other")
+    joined = a.join(b, [*on, "__level", "__bin"]).where("__lo <= r_end AND __hi >= r_start AND __level = greatest(__own, __other)")
+    joined = joined.where(F.col("__bin") == bin_of(F.greatest("__lo", "r_start"), F.col("__level"), bin_size))
     if condition is not None:
         joined = joined.where(condition)
-    return joined.drop("__lo", "__hi", "__bin")
+    return joined.drop("__lo", "__hi", "__own", "__other", "__level", "__bin")
+
+
+def similar_join(left: DataFrame, right: DataFrame, on: list[str], percent: float, condition: Column) -> DataFrame:
+    """Pairs that share ``percent`` (more than 0) of their hull, or a little less, and pass ``condition``.
+
+    Columns as in ``interval_join``; lengths are end - start. What shares a part p of its hull differs in length by 1/p at most,
+    and its starts lie within (1/p - 1) times either length. So the left side is dealt to one (band of lengths, cell of starts)
+    each, and the right side looks into the bands and cells next to its own: nine, whatever else overlaps there.
+    """
+    p = min(percent, 99.0) / 100
+    step = -math.log(p) * (1 + 1e-6)  # so that rounding cannot put a pair two bands apart
+    length = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1))
+    band = lambda a, b: F.floor(F.log(length(a, b).cast("double")) / step).cast("int")
+    # cells of a band are as wide as starts of its longest may lie apart
+    width = lambda k: F.ceil(F.exp((k + 1) * step) * (1 / p - 1)).cast("long") + 1
+    cell = lambda place, k: F.floor(F.col(place) / width(k)).cast("long")
+    a = left.where("end >= start").withColumn("__band", band("start", "end"))
+    a = a.withColumn("__cell", cell("start", F.col("__band")))
+    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    b = right.where("r_end >= r_start").withColumn("__band", around(band("r_start", "r_end")))
+    b = b.withColumn("__cell", around(cell("r_start", F.col("__band"))))
+    return a.join(b, [*on, "__band", "__cell"]).where(condition).drop("__band", "__cell")
 
 
 def both_strands(df: DataFrame) -> DataFrame:

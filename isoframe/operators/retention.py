@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.functions.intervals import overlap_percent
-from isoframe.operators.interval_join import BIN, both_strands, interval_join
+from isoframe.operators.coverage import depth_sums
+from isoframe.operators.interval_join import both_strands, similar_join
 from isoframe.operators.ordered import with_next
 from isoframe.schemas import GRAPH
 
@@ -27,7 +28,7 @@ def exon_gaps(transcript_exons: DataFrame) -> DataFrame:
     return gaps.select("chromosome", "strand", F.col("end").alias("r_start"), F.col("next_start").alias("r_end"), "transcript", "gene", "exon_id")
 
 
-def retained_introns(events: DataFrame, transcript_exons: DataFrame, percent: float = 90.0, bin_size: int = BIN) -> DataFrame:
+def retained_introns(events: DataFrame, transcript_exons: DataFrame, percent: float = 90.0) -> DataFrame:
     """IR events: an event gap and an exon gap whose overlap is more than ``percent`` of their hull.
 
     intron_start and intron_end are the annotated intron's first and last base; psi is null until depth is known.
@@ -35,7 +36,7 @@ def retained_introns(events: DataFrame, transcript_exons: DataFrame, percent: fl
     left = both_strands(event_gaps(events).distinct())
     right = exon_gaps(transcript_exons).withColumnRenamed("strand", "join_strand")
     ratio = overlap_percent(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end"), "hull")
-    pairs = interval_join(left, right, ["chromosome", "join_strand"], bin_size, condition=ratio > percent)
+    pairs = similar_join(left, right, ["chromosome", "join_strand"], percent, ratio > percent)
     return pairs.select(
         *GRAPH,
         F.lit("IR").alias("event"),
@@ -49,38 +50,44 @@ def retained_introns(events: DataFrame, transcript_exons: DataFrame, percent: fl
     ).distinct()
 
 
-def mean_depth(regions: DataFrame, blocks: DataFrame, bin_size: int = BIN) -> DataFrame:
+def _keys(*frames: DataFrame) -> list[str]:
+    return ["chromosome"] + (["sample"] if all("sample" in f.columns for f in frames) else [])
+
+
+def mean_depth(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """(region, depth): mean coverage of the covered positions of every region that has any.
 
     regions: region, chromosome, start, end; blocks: chromosome, r_start, r_end (and sample in both, if there are several).
-    The sum of depths is the sum of overlap lengths and the covered positions are the length of their union, so positions
-    are never listed.
     """
-    on = ["chromosome"] + (["sample"] if "sample" in regions.columns and "sample" in blocks.columns else [])
-    pairs = interval_join(regions, blocks, on, bin_size).select("region", F.greatest("start", "r_start").alias("a"), F.least("end", "r_end").alias("b"))
-    spans = pairs.groupBy("region", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = F.max("b").over(Window.partitionBy("region").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.col("reach") + 1, F.col("a"))) + 1)
-    per = spans.withColumn("reach", before).groupBy("region").agg(F.sum((F.col("b") - F.col("a") + 1) * F.col("n")).alias("total"), F.sum(new).alias("covered"))
-    return per.select("region", (F.col("total") / F.col("covered")).alias("depth"))
+    sums = depth_sums(regions.where("end >= start"), blocks, _keys(regions, blocks), ["region"]).where("covered > 0")
+    return sums.select("region", (F.col("total") / F.col("covered")).alias("depth"))
 
 
-def depth_ratio(introns: DataFrame, blocks: DataFrame, flank: int = FLANK, bin_size: int = BIN) -> DataFrame:
-    """(region, psi): depth inside introns (region, chromosome, start, end) over that of ``flank`` bases on both sides.
+def depth_ratio(introns: DataFrame, blocks: DataFrame, flank: int = FLANK, by: list[str] | None = None) -> DataFrame:
+    """(by, psi): depth inside introns (chromosome, start, end, and ``by``, a region's name unless told) over that of ``flank``
+    bases on both sides.
 
     Means are over covered positions; without any inside or in the flanks psi is null.
     """
-    inside = mean_depth(introns, blocks, bin_size).withColumnRenamed("depth", "inside")
-    # the flanks lie apart, so their union counts each side's positions once
-    left = introns.withColumns({"end": F.col("start") - 1, "start": F.col("start") - flank})
-    right = introns.withColumns({"start": F.col("end") + 1, "end": F.col("end") + flank})
-    outside = mean_depth(left.unionByName(right), blocks, bin_size).withColumnRenamed("depth", "outside")
-    return introns.select("region").join(inside, "region", "left").join(outside, "region", "left").select("region", F.try_divide("inside", "outside").alias("psi"))
+    by = by or ["region"]
+    sides = F.array(*[F.struct(F.lit(x).alias("__side"), a.alias("__a"), b.alias("__b")) for x, a, b in (
+        ("in", F.col("start"), F.col("end")), ("out", F.col("start") - flank, F.col("start") - 1), ("out", F.col("end") + 1, F.col("end") + flank),
+    )])
+    rows = introns.withColumn("__s", F.explode(sides)).select(*[c for c in introns.columns if c not in ("start", "end")], "__s.*")
+    rows = rows.withColumnsRenamed({"__a": "start", "__b": "end"})
+    sums = depth_sums(rows, blocks, _keys(introns, blocks), [*by, "__side"])
+    of = lambda c, side: F.sum(F.when(F.col("__side") == side, F.col(c)))
+    mean = lambda side: F.try_divide(of("total", side), of("covered", side))
+    return sums.groupBy(*by).agg(F.try_divide(mean("in"), mean("out")).alias("psi"))
+
+
+def depth_regions(retained: DataFrame, flank: int = FLANK) -> DataFrame:
+    """(chromosome, start, end) within which ``with_depth`` looks at blocks."""
+    return retained.select("chromosome", (F.col("intron_start") - flank).alias("start"), (F.col("intron_end") + flank).alias("end"))
 
 
-def with_depth(retained: DataFrame, blocks: DataFrame, flank: int = FLANK, bin_size: int = BIN) -> DataFrame:
+def with_depth(retained: DataFrame, blocks: DataFrame, flank: int = FLANK) -> DataFrame:
     """IR events with psi from alignment blocks (sample, chromosome, r_start, r_end)."""
-    name = F.xxhash64("sample", "chromosome", "intron_start", "intron_end")
-    named = retained.withColumn("region", name)
-    introns = named.select("region", "sample", "chromosome", F.col("intron_start").alias("start"), F.col("intron_end").alias("end")).where("end >= start").distinct()
-    return named.drop("psi").join(depth_ratio(introns, blocks, flank, bin_size), "region", "left").drop("region")
+    by = ["sample", "chromosome", "intron_start", "intron_end"]
+    introns = retained.select(*by).distinct().where("intron_end >= intron_start").withColumns({"start": F.col("intron_start"), "end": F.col("intron_end")})
+    return retained.drop("psi").join(depth_ratio(introns, blocks, flank, by), by, "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.operators import coupling, isoforms, junctions, psi, report
 from isoframe.operators.annotate import annotate
 from isoframe.operators.events import ERROR, all_events
-from isoframe.operators.retention import retained_introns, with_depth
+from isoframe.operators.retention import depth_regions, retained_introns, with_depth
 from isoframe.operators.terminal import with_terminal
 from isoframe.plans import inputs
 from isoframe.scratch import written
@@ -28,13 +30,16 @@ def filtered(found: DataFrame, min_count: int, overall: int | None) -> DataFrame
     return junctions.at_least(kept, min_count)
 
 
-def graph_events(found: DataFrame, transcript_exons: DataFrame, error: int, percent: float, blocks: DataFrame | None) -> DataFrame:
-    """Events of junctions, annotated, with terminal subtypes, and retained introns with their ratio if there is depth."""
+def graph_events(found: DataFrame, transcript_exons: DataFrame, error: int, percent: float, blocks: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+    """Events of junctions, annotated, with terminal subtypes, and retained introns with their ratio if there is depth.
+
+    ``blocks`` gives alignment blocks, all that lie in the regions it is given, or None.
+    """
     detected = written(all_events(found, error), "events")  # annotation and retention both read it
     events = with_terminal(annotate(detected, exon_sets(transcript_exons)), transcript_exons)
-    retained = retained_introns(detected, transcript_exons, percent)
-    if blocks is not None:
-        retained = with_depth(retained, blocks)
+    retained = written(retained_introns(detected, transcript_exons, percent), "retained")
+    if (depth := blocks(depth_regions(retained))) is not None:
+        retained = with_depth(retained, depth)
     by = [c for c in retained.columns if c in ("sample", "event", "chromosome", "start", "end", "strand", "sites")]
     each = lambda c, name: F.sort_array(F.collect_set(c)).alias(name)
     retained = retained.groupBy(*by).agg(F.first("psi").alias("psi"), each("gene", "genes"), each("transcript", "transcripts"), each("exon_id", "exons"))
@@ -45,8 +50,11 @@ def is_bam(path: str) -> bool:
     return path.lower().endswith(".bam")
 
 
-def depth_blocks(spark: SparkSession, paths: list[str], bam: str | None, own: bool = False) -> DataFrame | None:
-    """Alignment blocks under the sample names of the inputs; with ``own``, a BAM input has its own."""
+def depth_blocks(spark: SparkSession, paths: list[str], bam: str | None, own: bool = False, regions: DataFrame | None = None) -> DataFrame | None:
+    """Alignment blocks under the sample names of the inputs; with ``own``, a BAM input has its own.
+
+    With ``regions`` at least those that lie in them: files with an index are read there only.
+    """
     pairs = companions(paths, bam) | ({p: p for p in paths if is_bam(p)} if own else {})
     pairs = {p: b for p, b in pairs.items() if b}
     if not pairs:
@@ -54,7 +62,7 @@ def depth_blocks(spark: SparkSession, paths: list[str], bam: str | None, own: bo
     from isoframe.sources.files import sample_names
 
     names_of, theirs = sample_names(paths), sample_names(list(pairs.values()))
-    blocks = alignments.to_blocks(alignments.read_bam(spark, sorted(set(pairs.values()))))
+    blocks = alignments.to_blocks(alignments.read_bam(spark, sorted(set(pairs.values())), regions))
     names = spark.createDataFrame([(theirs[b], names_of[p]) for p, b in pairs.items()], "bam_sample string, name string")
     return blocks.join(names, F.col("sample") == F.col("bam_sample")).select(F.col("name").alias("sample"), "chromosome", "r_start", "r_end")
 
@@ -63,7 +71,7 @@ def short(spark: SparkSession, paths: list[str], reference: str, min_count: int
     """Annotated events of short reads, one row for each sample and event."""
     count = min_count if min_count is not None else (1 if overall else 3)
     found = filtered(inputs.junctions(spark, paths), count, overall)
-    return graph_events(found, read_annotation(spark, reference), error, percent, depth_blocks(spark, paths, bam))
+    return graph_events(found, read_annotation(spark, reference), error, percent, lambda regions: depth_blocks(spark, paths, bam, regions=regions))
 
 
 def long(spark: SparkSession, paths: list[str], reference: str, min_count: int = 0, overall: int | None = None, error: int = ERROR, read_percent: float = 90.0, percent: float = 90.0, bam: str | None = None) -> DataFrame:
@@ -71,8 +79,7 @@ def long(spark: SparkSession, paths: list[str], reference: str, min_count: int =
     reads = inputs.reads(spark, paths)
     transcript_exons = read_annotation(spark, reference)
     found = filtered(junctions.count_junctions(reads), min_count, overall)
-    blocks = depth_blocks(spark, paths, bam, own=True)
-    graph = graph_events(found, transcript_exons, error, percent, blocks)
+    graph = graph_events(found, transcript_exons, error, percent, lambda regions: depth_blocks(spark, paths, bam, own=True, regions=regions))
     pairs = coupling.couple(coupling.assemble_transcripts(transcript_exons), reads, error, read_percent)
     own = coupling.annotated_template_events(pairs, transcript_exons, error)
     return coupling.prefer_graph(graph, own, ["sample", *report.EVENT])

@@ -60,7 +60,7 @@ def windows_of(regions: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def read_bam(spark: SparkSession, paths: str | list[str], regions: list[tuple[str, int, int]] | DataFrame | None = None, split: int = SPLIT) -> DataFrame:
-    """Records of BAM files, a task for each range of ``split`` bytes.
+    """Records of BAM files, a task for each range of ``split`` bytes; a folder of them is one sample.
 
     With ``regions`` (chromosome, first and last base; ``chr`` aside) only records that touch one, of a DataFrame those that touch
     a window of 2**14 bases that one touches; where a file has an index (``.bai``), only their blocks are read. A filter of the

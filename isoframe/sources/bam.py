@@ -43,6 +43,20 @@ def _open(path: str):
     return system, inner
 
 
+def _files(path: str) -> list[tuple[str, int]]:
+    """The file with its size, or the BAM files of a folder."""
+    from pyarrow import fs
+
+    system, inner = _open(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        found = [x for x in system.get_file_info(fs.FileSelector(inner)) if x.base_name.endswith(".bam")]
+        return sorted((f"{path.rstrip('/')}/{x.base_name}", x.size) for x in found)
+    if not info.size:
+        raise FileNotFoundError(path)
+    return [(path, info.size)]
+
+
 def block_size(data: bytes, at: int) -> int:
     """Bytes of the block that begins at ``at``, or 0 if none does."""
     if data[at : at + 4] != MAGIC or len(data) < at + 18:
@@ -380,12 +394,9 @@ class BamReader(DataSourceReader):
 
         names, out = sample_names(self.paths), []
         for p in self.paths:
-            system, inner = _open(p)
-            size = system.get_file_info(inner).size
-            if not size:
-                raise FileNotFoundError(p)
-            n = -(-size // self.split)
-            out += [BamRange(p, names[p], size * i // n, size * (i + 1) // n, size) for i in range(n)]
+            for path, size in _files(p):
+                n = -(-size // self.split)
+                out += [BamRange(path, names[p], size * i // n, size * (i + 1) // n, size) for i in range(n)]
         return out
 
     def read(self, partition: BamRange) -> Iterator[pa.RecordBatch]:

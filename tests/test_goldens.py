@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoframe.functions import cigar as cg
 from isoframe.functions import intervals as iv
 from isoframe.operators import annotate, coupling, events, isoforms, junctions, psi, report, retention
-from isoframe.operators.interval_join import choose_bin, interval_join
+from isoframe.operators.interval_join import dealt, interval_join, similar_join
 from isoframe.operators.ordered import island_start, with_next
 from isoframe.schemas import EXONS, JUNCTIONS
 
@@ -147,6 +147,47 @@ def test_interval_join_is_the_plain_one(spark, left, right, bin_size, slack):
     assert sorted((r.i, r.j) for r in interval_join(a, b, ["c"], bin_size, slack).collect()) == want
 
 
+def test_a_long_interval_is_a_few_rows(spark):
+    """One of 250 Mb beside short ones: two bins at most for each level in use, and every pair."""
+    short = [(1 + 50_000 * i, 1 + 50_000 * i + 90) for i in range(4000)]
+    a = spark.createDataFrame([(1, 250_000_000), *short[:50]], "start int, end int").withColumn("c", F.lit("1"))
+    b = spark.createDataFrame([*short, (5, 249_000_000)], "r_start int, r_end int").withColumn("c", F.lit("1"))
+    assert interval_join(a, b, ["c"]).count() == 4001 + 50 + 50
+    levels = spark.range(1).select(F.array(F.lit(0), F.lit(5)).alias("x")).select(F.explode("x").alias("x")).agg(F.collect_set("x")).scalar()
+    rows = dealt(a.where("end - start > 1000000"), F.col("start"), F.col("end"), levels, 256)
+    assert rows.count() <= 2
+    assert dealt(b.where("r_start > 1000"), F.col("r_start"), F.col("r_end"), levels, 256).count() <= 4 * 4000
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 400), st.sampled_from([0, 1, 9, 10, 90, 99, 100, 101, 111, 300])), max_size=30), st.lists(st.tuples(st.integers(1, 400), st.sampled_from([0, 1, 8, 9, 81, 90, 100, 110, 280])), max_size=30), st.sampled_from([1.0, 50.0, 60.0, 90.0, 99.0, 100.0]))
+def test_similar_intervals_are_all_found(spark, left, right, percent):
+    a = spark.createDataFrame([(i, s, s + n) for i, (s, n) in enumerate(left)], "i int, start int, end int").withColumn("c", F.lit("1"))
+    b = spark.createDataFrame([(i, s, s + n) for i, (s, n) in enumerate(right)], "j int, r_start int, r_end int").withColumn("c", F.lit("1"))
+    inner = F.least("end", "r_end") - F.greatest("start", "r_start")
+    hull = F.greatest("end", "r_end") - F.least("start", "r_start")
+    share = lambda s, n, x, m: 100 * (min(s + n, x + m) - max(s, x)) >= percent * (max(s + n, x + m) - min(s, x)) and max(n, m) > 0
+    want = sorted((i, j) for i, (s, n) in enumerate(left) for j, (x, m) in enumerate(right) if share(s, n, x, m))
+    found = similar_join(a, b, ["c"], percent, (100 * inner >= percent * hull) & (hull > 0))
+    assert sorted((r.i, r.j) for r in found.collect()) == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 120), st.integers(-1, 40)), max_size=25), st.lists(st.tuples(st.integers(1, 150), st.integers(0, 60)), max_size=8), st.sampled_from([7, 64, 1 << 20]))
+def test_depth_by_sweep_is_that_of_every_base(spark, blocks, regions, stretch):
+    from isoframe.operators import coverage
+
+    keep, coverage.STRETCH = coverage.STRETCH, stretch
+    try:
+        b = spark.createDataFrame([("1", s, s + n) for s, n in blocks], "chromosome string, r_start int, r_end int")
+        r = spark.createDataFrame([(i, "1", s, s + n) for i, (s, n) in enumerate(regions)], "region int, chromosome string, start int, end int")
+        got = {x.region: (x.total, x.covered) for x in coverage.depth_sums(r, b, ["chromosome"], ["region"]).collect()}
+    finally:
+        coverage.STRETCH = keep
+    depth = [sum(s <= x <= s + n for s, n in blocks) for x in range(300)]
+    assert got == {i: (sum(depth[s : s + n + 1]), sum(d > 0 for d in depth[s : s + n + 1])) for i, (s, n) in enumerate(regions)}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 200), min_size=1, max_size=30), st.sampled_from([3, 16, 1 << 20]))
 def test_order_over_stretches(spark, places, stretch):
@@ -171,5 +212,4 @@ def test_ratios_of_a_node_sum_to_one(spark, rows):
 
 def test_empty_inputs(spark):
     assert events.all_events(graph(spark, []).limit(0)).count() == 0
-    assert choose_bin(graph(spark, []).limit(0)) >= 16
     assert isoforms.unify(reads(spark, []).limit(0)).count() == 0
