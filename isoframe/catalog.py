@@ -446,6 +446,19 @@ def _(spark, sf):
     return found.select("name", "chromosome", "start", "end", "strand", F.size("introns").alias("n_introns"))
 
 
+@register("alignment_text_reads", f"""WITH {READS} SELECT chromosome, strand, "start", "end", n AS n_exons FROM reads WHERE n > 1""")
+def _(spark, sf):
+    # reads written as alignment text, a header and an exon line each (from the right on the minus strand), and read again
+    b = views.reads(spark, sf)
+    numbers = lambda x: F.when(F.col("strand") == "-", F.concat(x["end"], F.lit("-"), x["start"])).otherwise(F.concat(x["start"], F.lit("-"), x["end"]))
+    line = lambda x: F.concat(F.lit("  "), F.col("strand"), F.col("chromosome"), F.lit(":"), numbers(x), F.lit("  (1-9)   100% ->"))
+    shown_ = F.transform("exons", line)
+    text = b.select(F.concat_ws("\n", F.concat(F.lit(">"), "name"), F.when(F.col("strand") == "-", F.reverse(shown_)).otherwise(shown_)).alias("value"))
+    path = new_path(spark, "alignment_text")
+    text.write.text(path)
+    return alignments.read_alignment_text(spark, path).select("chromosome", "strand", "start", "end", F.size("exons").cast("long").alias("n_exons"))
+
+
 @register("bam_region_reads", f"""WITH {CIGARS}, r AS (SELECT 'r' || k || '.' || n AS name, 'chr' || (1 + d % 5) AS chromosome, CAST(1000 + p * 40 AS INT) AS "start", CAST(1000 + p * 40 + 2 * a + b + d + 64 AS INT) AS "end" FROM c),
 g AS (SELECT 'chr' || (1 + s_suppkey % 5) AS chromosome, s_suppkey * 700 AS a, s_suppkey * 700 + 300 AS b FROM supplier)
 SELECT name, chromosome, "start", "end" FROM r WHERE EXISTS (SELECT 1 FROM g WHERE g.chromosome = r.chromosome AND r."start" <= g.b AND r."end" >= g.a)""")

@@ -14,6 +14,10 @@ from isoframe.schemas import EVENT_KEY, GRAPH
 from isoframe.sources.annotation import exon_sets
 
 
+#: What tells reads apart; a name may have several alignments.
+READ = ["sample", "name", "chromosome", "strand", "start", "end"]
+
+
 def assemble_transcripts(transcript_exons: DataFrame) -> DataFrame:
     """One row for each transcript: its place, gene and exons in order."""
     exon = F.struct("start", "end", "exon_id")
@@ -35,8 +39,8 @@ def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent
 
 
 def novel_reads(reads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Reads that no transcript explains."""
-    return reads.join(pairs.select("sample", "name").distinct(), ["sample", "name"], "left_anti")
+    """Reads that no transcript explains. Alignments of one name are reads of their own."""
+    return reads.join(pairs.select(*READ).distinct(), READ, "left_anti")
 
 
 def templates(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def same_read(a: dict, b: dict, error: int, match: str = "any") -> bool:
 
 
 def unify(reads: DataFrame, error: int = ERROR, match: str = "any") -> DataFrame:
-    """reads (sample, name, chromosome, start, end, strand, exons) with ``leader``, the name of the read that absorbs each.
+    """reads (sample, name, chromosome, start, end, strand, exons) with ``leader``, the name of the read that absorbs each, and
+    ``isoform``, a number for each leader: names may repeat.
 
     Reads are taken by start, end, number of exons, exons, strand and name; a read like the current leader is absorbed,
     any other becomes the leader.
@@ -41,22 +42,32 @@ def unify(reads: DataFrame, error: int = ERROR, match: str = "any") -> DataFrame
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader: dict | None = None
+        nth = 0
         for batch in batches:
-            names = []
+            names, numbers = [], []
             for row in batch.to_pylist():
-                if leader is None or any(leader[k] != row[k] for k in (*keys, "island")) or not same_read(leader, row, error, match):
-                    leader = row
+                if leader is None or any(leader[k] != row[k] for k in (*keys, "island")):
+                    leader, nth = row, 0
+                elif not same_read(leader, row, error, match):
+                    leader, nth = row, nth + 1
                 names.append(leader["name"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string())], [*columns, "leader"])
+                numbers.append(nth)
+            more = [pa.array(names, pa.string()), batch.column("island"), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], [*columns, "leader", "island", "nth"])
 
-    kinds = dict(reads.dtypes)
-    return dealt.select(*columns, "island").mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", leader string")
+    kinds = dict(runs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", leader string, island {kinds['island']}, nth long"
+    found = dealt.select(*columns, "island").mapInArrow(fold, schema)
+    return found.select(*columns, "leader", F.struct("island", "nth").alias("isoform"))
 
 
 def isoforms(unified: DataFrame) -> DataFrame:
     """The leaders, with the number of reads each stands for."""
-    sizes = unified.groupBy("sample", "chromosome", "leader").agg(F.count(F.lit(1)).alias("n_reads"))
-    return unified.where("name = leader").drop("leader").join(sizes.withColumnRenamed("leader", "name"), ["sample", "chromosome", "name"])
+    keys = ["sample", "chromosome"]
+    read = ["start", "end", F.size("exons").alias("n"), "exons", "strand", "name"]
+    # a leader is the first of its reads
+    found = unified.groupBy(*keys, "isoform").agg(F.min(F.struct(*read)).alias("r"), F.count(F.lit(1)).alias("n_reads"))
+    return found.select("sample", "r.name", "chromosome", "r.start", "r.end", "r.strand", "r.exons", "n_reads")
 
 
 def to_gtf(found: DataFrame, source: str = "isoframe") -> DataFrame:

@@ -9,7 +9,7 @@ from isoframe.functions import cigar as cg
 from isoframe.functions.intervals import chromosome
 from isoframe.operators.interval_join import interval_join
 from isoframe.sources.bam import SPLIT, WINDOW_BITS, BamDataSource
-from isoframe.sources.files import lines
+from isoframe.sources.files import lines, placed_lines
 from isoframe.sources.sniff import LINE_FORMATS
 
 PAIRS = "array<struct<start:int,end:int>>"
@@ -112,28 +112,38 @@ def extract_lines(found: DataFrame) -> DataFrame:
 
 
 def alignment_text(found: DataFrame) -> DataFrame:
-    """Reads of alignment text given as (sample, pos, value) lines: exon lines that follow each other are one read.
+    """Reads of alignment text given as placed lines: exon lines that follow each other are one read, across splits too.
 
-    Introns are the gaps between its exons; a read of one exon is skipped. On the minus strand coordinates descend.
+    Introns are the gaps between its exons; a read of one exon is skipped. A read ends where a line is no exon, and where another
+    chromosome or strand begins. On the minus strand coordinates descend. A read's name is its chromosome, and the split and line
+    it begins at. Lines are ordered within their split only; what a split begins and ends with links it to its neighbours.
     """
     part = lambda i: F.regexp_extract("value", r"^\s+([+-])([\w.]+):(\d+)-(\d+)\s+\(\d+-\d+\)\s+\d+%", i)
-    order = Window.partitionBy("sample").orderBy("pos")
-    rows = found.withColumn("is_exon", F.col("value").rlike(LINE_FORMATS["gmap"]))
-    # a block ends where a line is no exon, and where a new path or strand begins
-    rows = rows.withColumns({"strand": part(1), "chrom": part(2)})
-    head = ~F.coalesce(F.lag("is_exon").over(order), F.lit(False)) | (F.lag("chrom").over(order) != F.col("chrom")) | (F.lag("strand").over(order) != F.col("strand"))
-    rows = rows.withColumn("block", F.sum(F.when(F.col("is_exon") & head, 1).otherwise(0)).over(order)).where("is_exon")
-    exon = F.struct(F.least(part(3).cast("int"), part(4).cast("int")).alias("start"), F.greatest(part(3).cast("int"), part(4).cast("int")).alias("end"))
-    reads = rows.groupBy("sample", "block", "chrom", "strand").agg(F.array_sort(F.collect_list(exon)).alias("x")).where(F.size("x") > 1)
+    exons = found.where(F.col("value").rlike(LINE_FORMATS["gmap"])).withColumns({"strand": part(1), "chrom": part(2), "a": part(3).cast("int"), "b": part(4).cast("int")})
+    exons = exons.select("sample", "path", "split", "nth", F.struct("chrom", "strand").alias("on"), F.struct(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end")).alias("exon"))
+    place, file = ["path", "split"], Window.partitionBy("path").orderBy("split")
+    edges = found.groupBy(*place).agg(F.min("nth").alias("first"), F.max("nth").alias("last"))
+    own = Window.partitionBy(*place).orderBy("nth")
+    # the exon that a split ends with, if it does
+    tails = exons.join(edges, place).where("nth = last").select(*place, F.col("on").alias("tail"))
+    edges = edges.join(tails, place, "left").withColumn("before", F.lag("tail").over(file)).select(*place, "first", "before")
+    rows = exons.join(edges, place)
+    follows = F.when(F.col("nth") == F.col("first"), F.col("before") == F.col("on")).otherwise((F.lag("nth").over(own) == F.col("nth") - 1) & (F.lag("on").over(own) == F.col("on")))
+    head = F.when(~F.coalesce(follows, F.lit(False)), F.struct("split", (F.col("nth") - F.col("first")).alias("line")))
+    rows = rows.withColumn("head", head)
+    # a read that goes on from an earlier split begins at the last head before
+    heads = rows.groupBy(*place).agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("nth"))).alias("h"))
+    heads = heads.select(*place, F.last("h", ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.withColumn("read", F.last("head", ignorenulls=True).over(own)).join(heads, place).withColumn("read", F.coalesce("read", "carried"))
+    reads = rows.groupBy("sample", "path", "read", "on").agg(F.array_sort(F.collect_list("exon")).alias("x")).where(F.size("x") > 1)
     introns = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1), lambda a, b: F.struct((a["end"] + 1).alias("start"), (b["start"] - 1).alias("end")))
-    return _from_introns(reads.select("sample", F.concat_ws(".", "chrom", F.col("block").cast("string")).alias("name"), chromosome(F.col("chrom")).alias("chromosome"), F.element_at("x", 1)["start"].alias("start"), F.element_at("x", -1)["end"].alias("end"), "strand", introns.alias("introns")))
+    name = F.concat_ws(".", "on.chrom", F.col("read.split").cast("string"), F.col("read.line").cast("string"))
+    return _from_introns(reads.select("sample", name.alias("name"), chromosome(F.col("on.chrom")).alias("chromosome"), F.element_at("x", 1)["start"].alias("start"), F.element_at("x", -1)["end"].alias("end"), F.col("on.strand").alias("strand"), introns.alias("introns")))
 
 
 def read_alignment_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A file's lines have an order only within the file, so each file is read whole."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_name").alias("sample"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-    return alignment_text(whole)
+    """Reads of alignment text; large files are read in splits, side by side."""
+    return alignment_text(placed_lines(spark, paths))
 
 
 def read_extract(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Files in, files out: formats, the four commands, and the arrival of files in a stream."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -77,6 +78,65 @@ def test_alignments(spark, tmp_path):
     assert rows(counted, "sample", "start", "end", "strand", "count") == [("a.bam", 100, 199, "+", 1), ("a.sam", 100, 199, "+", 1), ("a.sam", 100, 199, "-", 1), ("a.sam", 301, 400, "+", 1)]
 
 
+def gmap_reads(text):
+    """Reads of alignment text, line by line: (chromosome, strand, exons)."""
+    import re
+
+    out, on, exons = [], None, []
+    for line in [*text.split("\n"), ""]:
+        m = re.match(r"^\s+([+-])([\w.]+):(\d+)-(\d+)\s+\(\d+-\d+\)\s+\d+%", line)
+        place = m and (m[2], m[1])
+        if place != on:
+            if len(exons) > 1:
+                out.append((*on, tuple(sorted(exons))))
+            exons = []
+        on = place
+        if m:
+            exons.append(tuple(sorted((int(m[3]), int(m[4])))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("split", [64, 1000, 64 << 10, 1 << 27])
+def test_alignment_text_across_splits(spark, tmp_path, split):
+    rng = random.Random(6)
+    text = []
+    for i in range(400 if split < 1 << 16 else 9000):
+        if rng.random() < 0.6:
+            text.append(f">read{i}")
+        chrom, strand, at = rng.choice("12X"), rng.choice("+-"), rng.randrange(1, 9999)
+        exons = [(at + 100 * k, at + 100 * k + 50) for k in range(rng.choice([1, 1, 2, 3, 30]))]
+        shown = exons if strand == "+" else [(b, a) for a, b in reversed(exons)]
+        text += [f"  {strand}{chrom}:{a}-{b}  (1-51)   100% ->   ...{'x' * rng.randrange(0, 40)}" for a, b in shown]
+        text += rng.choice([[], [""], ["    some alignment", ""]])
+    (tmp_path / "x").mkdir(), (tmp_path / "y").mkdir()
+    paths = [put(tmp_path / "x", "a.txt", "\n".join(text)), put(tmp_path / "y", "a.txt", GMAP)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(split))
+        df = alignments.read_alignment_text(spark, paths)
+        got = [(r.sample, r.chromosome, r.strand, tuple((x.start, x.end) for x in r.exons), r.name) for r in df.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r[1:4] for r in got if r[0] == "x/a.txt") == gmap_reads("\n".join(text))
+    assert sorted(r[1:4] for r in got if r[0] == "y/a.txt") == gmap_reads(GMAP)
+    assert len({(r[0], r[4]) for r in got}) == len(got)
+
+
+def test_alignments_of_one_name_are_reads_of_their_own(spark):
+    from isoframe.operators import coupling, isoforms
+
+    schema = "sample string, name string, chromosome string, start int, end int, strand string, introns array<struct<start:int,end:int>>, exons array<struct<start:int,end:int>>"
+    row = lambda name, at: ("s", name, "1", at, at + 300, "+", [(at + 101, at + 199)], [(at, at + 100), (at + 200, at + 300)])
+    reads = spark.createDataFrame([row("r1", 100), row("r1", 5000), row("r2", 101), row("r1", 101), row("r1", 101)], schema)
+    got = sorted((r.name, r.start, r.n_reads) for r in isoforms.isoforms(isoforms.unify(reads)).collect())
+    assert got == [("r1", 100, 4), ("r1", 5000, 1)]
+    exons = spark.createDataFrame([("T", "G", "1", s, e, "+", f"e{s}") for s, e in ((100, 200), (300, 400))], "transcript string, gene string, chromosome string, start int, end int, strand string, exon_id string")
+    pairs = coupling.couple(coupling.assemble_transcripts(exons), reads)
+    assert sorted((r.name, r.start) for r in coupling.novel_reads(reads, pairs).collect()) == [("r1", 5000)]
+
+
 def test_annotation(spark, tmp_path):
     gtf = annotation.read_annotation(spark, put(tmp_path, "a.gtf", GTF))
     assert rows(gtf, "transcript", "gene", "start", "exon_id") == [("T1", "A", 50, "e1"), ("T1", "A", 201, "T1.2")]
