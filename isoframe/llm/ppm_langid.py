@@ -95,8 +95,8 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cost(tree: dict, codes: np.ndarray, size: int) -> np.ndarray:
-    """Nats of the last byte of each number of ``size`` bytes after the others."""
-    out, todo, now = np.zeros(len(codes)), np.arange(len(codes)), codes
+    """Nats of the last byte of each number after the ``size`` - 1 bytes before it; earlier ones do not count."""
+    out, todo, now = np.zeros(len(codes)), np.arange(len(codes)), codes & ((1 << 8 * size) - 1)
     while size and len(todo):
         grams, costs, contexts, escapes = tree[size]
         at, seen = _find(grams, now)
