@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import ascii_lower, free
+from isoframe.llm.common import ascii_lower, free, small, written
 
 #: Hex digits of the digest that the join compares first.
 PREFIX = 8
@@ -54,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect() if r[0] is not None and r[0] > 0)
     digest = lambda h, p: F.sha2(F.concat(h, p), 256)
     coded = rules.select("verdict", "rule_host", "rule_path", digest(F.col("rule_host"), F.col("rule_path")).alias("full"))
-    coded = coded.withColumn("short", F.substring("full", 1, PREFIX))
+    coded = small(written(coded.withColumn("short", F.substring("full", 1, PREFIX)), "rules"))
 
     urls = pages.select(F.col(url).alias("u")).where(F.col("u").isNotNull()).distinct()
     urls = urls.withColumns({"h": host_of(F.col("u")), "p": path_of(F.col("u"))}).where("h <> ''")
