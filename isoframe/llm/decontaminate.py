@@ -2,7 +2,7 @@
 
 Words are hashed in k-grams; of every run of w k-grams the least hash is its window's fingerprint, on both sides. A shared
 span of k + w - 1 words is the same window on both sides and so has the same fingerprint, hence no window of that many words
-is missed. Windows of documents whose fingerprint an item has are then compared by their words; each that an item holds is a
+is missed. Windows of documents whose fingerprint an item has are then compared by their words, fetched once for a document; each that an item holds is a
 hit, and hits that overlap or follow each other are one extended span.
 
 Documents are read once, whatever lengths items have. Windows of items are joined by their words, each only once, however
@@ -39,27 +39,27 @@ def passage(ws: Column, at: Column, n: Column) -> Column:
     return ascii_lower(F.array_join(F.slice(ws, at, n), " "))
 
 
-def windows(df: DataFrame, keep: list[str], ws: str, hashes: str, lengths: list[int], k: int) -> DataFrame:
-    """keep, ``ws``, at, len and fp for every window of one of the lengths.
+def windows(df: DataFrame, keep: list[str], hashes: str, lengths: list[int], k: int) -> DataFrame:
+    """keep, at, len and fp for every window of one of the lengths.
 
     fp is the least k-gram hash of the window. Each step is a column of its own, so that it is computed once for a place.
     """
     least, most = lengths[0], lengths[-1]
     places = F.when(F.size(hashes) >= least, F.sequence(F.lit(1), F.size(hashes) - (least - 1)))
-    out = df.select(*keep, ws, hashes, F.explode(places).alias("at"))
-    out = out.select(*keep, ws, "at", *[F.try_element_at(hashes, F.col("at") + i).alias(f"w{i}") for i in range(most)])
+    out = df.select(*keep, hashes, F.explode(places).alias("at"))
+    out = out.select(*keep, "at", *[F.try_element_at(hashes, F.col("at") + i).alias(f"w{i}") for i in range(most)])
     grams = {(i, min(k, n)) for n in lengths for i in range(n - min(k, n) + 1)}
-    out = out.select(*keep, ws, "at", f"w{most - 1}", *[f"w{n - 1}" for n in lengths[:-1]], *[F.xxhash64(*[f"w{j}" for j in range(i, i + kk)]).alias(f"g{i}_{kk}") for i, kk in sorted(grams)])
+    out = out.select(*keep, "at", f"w{most - 1}", *[f"w{n - 1}" for n in lengths[:-1]], *[F.xxhash64(*[f"w{j}" for j in range(i, i + kk)]).alias(f"g{i}_{kk}") for i, kk in sorted(grams)])
 
     def fp(n: int) -> Column:
         of = [F.col(f"g{i}_{min(k, n)}") for i in range(n - min(k, n) + 1)]
         return F.least(*of) if len(of) > 1 else of[0]
 
     if least == most:
-        return out.select(*keep, ws, "at", F.lit(least).alias("len"), fp(least).alias("fp"))
+        return out.select(*keep, "at", F.lit(least).alias("len"), fp(least).alias("fp"))
     # a longer window than the text has room for has no last word
     each = F.array(*[F.struct(F.lit(n).alias("len"), F.when(F.col(f"w{n - 1}").isNotNull(), fp(n)).alias("fp")) for n in lengths])
-    return out.select(*keep, ws, "at", F.explode(each).alias("f")).select(*keep, ws, "at", "f.len", "f.fp").where("fp IS NOT NULL")
+    return out.select(*keep, "at", F.explode(each).alias("f")).select(*keep, "at", "f.len", "f.fp").where("fp IS NOT NULL")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, item_text: str, item_id: str, window: int, k: int) -> DataFrame | None:
@@ -70,16 +70,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, item_tex
     # window lengths in use: at most ``window`` different numbers
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())
     if not lengths:
+        scratch.forget()
         return None
-    own = reduce(DataFrame.unionByName, [windows(items.where(F.col("len") == n).drop("len"), ["item"], "iw", "ih", [n], k) for n in lengths])
+    own = reduce(DataFrame.unionByName, [windows(items.where(F.col("len") == n).drop("len"), ["item", "iw"], "ih", [n], k) for n in lengths])
     own = scratch.written(own.select("item", "len", "fp", passage(F.col("iw"), F.col("at"), F.col("len")).alias("passage")).distinct(), "item_windows")
     prints = small(scratch.written(own.select(F.col("fp").alias("f2")).distinct(), "prints"))
     passages = small(scratch.written(own.select(F.col("len").alias("l2"), F.col("passage").alias("p2")).distinct(), "passages"))
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), words(F.col(text)).alias("dw"))
-    rows = rows.select("id", "key", "dw", word_hashes(F.col("dw")).alias("dh"))
-    found = windows(rows, ["id", "key"], "dw", "dh", lengths, k).join(prints, F.col("fp") == F.col("f2"))
-    found = found.select("id", "key", "at", "len", passage(F.col("dw"), F.col("at"), F.col("len")).alias("passage"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), word_hashes(words(F.col(text))).alias("dh"))
+    # what meets is joined by place only; the words of documents in which anything does are fetched once for each
+    met = windows(rows, ["id", "key"], "dh", lengths, k).join(prints, F.col("fp") == F.col("f2")).select("id", "key", "at", "len")
+    met = scratch.written(met.groupBy("id", "key").agg(F.collect_set(F.struct("at", "len")).alias("spots")), "spots")
+    spots = small(met).select(F.col("id").alias("i2"), F.col("key").alias("k2"), "spots")
+    texts = docs.select(F.col(doc_id).alias("id"), key.alias("key"), body.alias("body")).join(spots, (F.col("key") == F.col("k2")) & F.col("id").eqNullSafe(F.col("i2")))
+    texts = texts.select("id", "key", "spots", words(F.col("body")).alias("dw"))
+    each = F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["len"].alias("len"), passage(F.col("dw"), s["at"], s["len"]).alias("passage")))
+    found = texts.select("id", "key", F.explode(each).alias("s")).select("id", "key", "s.*")
     found = found.join(passages, (F.col("passage") == F.col("p2")) & (F.col("len") == F.col("l2")), "left_semi")
     found = scratch.written(found.distinct(), "hits")
     places = found.select("id", "key", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at"))
