@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
     rest = [c for c in docs.columns if c not in names]
-    key, own, of, sha, nth = free(docs, "__key", "__own", "__of", "__sha", "__nth")
+    key, own, of, sha, nth, of2 = free(docs, "__key", "__own", "__of", "__sha", "__nth", "__of2")
     body = F.coalesce(F.col(text), F.lit(""))
     chains, twice = chains_of(docs, text, doc_id, capacity)
     found = small(chains).select(F.col("key").alias(of), F.col("sha").alias(sha), "keep_id", "group_size")
@@ -101,8 +101,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     out = out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(own)))
     if not twice.isEmpty():
         # of rows that repeat text and id one stays: the first of each task's, then the first of those
-        also = small(twice).select(F.col("id").alias(nth))
-        out = out.join(also, F.col(own).eqNullSafe(F.col(nth)), "left").withColumn(nth, F.col("kept") & (F.col("group_size") > 1))
+        also = small(twice).select(F.col("id").alias(of2), F.lit(True).alias(nth))
+        out = out.join(also, F.col(own).eqNullSafe(F.col(of2)), "left").withColumn(nth, F.col("kept") & (F.col("group_size") > 1) & F.coalesce(nth, F.lit(False)))
         tied, first = out.where(nth), lambda *by: F.row_number().over(Window.partitionBy("text_sha256", own, *by).orderBy(F.lit(0)))
         tied = written(tied.withColumn("kept", first(F.spark_partition_id()) == 1), "tied")
         out = out.where(~F.col(nth)).unionByName(tied.where("NOT kept")).unionByName(tied.where("kept").withColumn("kept", first() == 1))
