@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import small, written
+from isoframe.llm.common import slices, small, small_batches, written
 
 #: Payload bytes a WARC file holds, about; and the smallest payload that is stored once.
 FILE_BYTES = 16 << 20
+#: Ends a record.
+END = b"\r\n\r\n"
 MIN_SHARED = 0
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2026-01-01T00:00:00Z"
@@ -78,13 +80,29 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", paylo
     rows = describe(pages, record_id, payload, url, min_shared)
     response = F.col("record_type") == "response"
     rows.select("id", "header", "sha256", "digest", "bytes", "record_type", "refers_to").write.parquet(f"{path}/headers")
-    # the average record, from the headers just written
-    stored = F.col("bytes") * response.cast("int") + 300
-    size = pages.sparkSession.read.parquet(f"{path}/headers").select(F.avg(stored)).first()[0] or 300
-    # the text sink ends every record with the two CRLF that WARC asks for; no shuffle: a task cuts its rows into files
+    # no shuffle: a task joins its records to rows of about FILE_BYTES, and each row is a file; the text sink ends it, and every
+    # record within it ends, with the two CRLF that WARC asks for
     value = F.concat(F.col("header"), F.when(response, F.col("body").cast("string")).otherwise(""))
-    options = {"lineSep": "\r\n\r\n", "compression": "gzip", "maxRecordsPerFile": str(max(1, int(FILE_BYTES / size)))}
-    rows.select(value.alias("value")).write.options(**options).text(f"{path}/warc")
+    options = {"lineSep": END.decode(), "compression": "gzip", "maxRecordsPerFile": "1"}
+    limit = FILE_BYTES
+    with small_batches(pages.sparkSession):
+        rows.select(value.alias("value")).mapInArrow(lambda batches: _bundled(batches, limit), "value string").write.options(**options).text(f"{path}/warc")
+
+
+def _bundled(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Records in rows of at most ``limit`` bytes, or one that is longer."""
+    held, size = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary()).cast(pa.string())], ["value"])
+    for batch in slices(batches):
+        for value in batch.column(0).cast(pa.binary()):
+            record = value.as_py()
+            if held and size + len(record) + len(END) > limit:
+                yield out()
+                held, size = [], 0
+            held.append(record)
+            size += len(record) + len(END)
+    if held:
+        yield out()
 
 
 def parse_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
