@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import slices, small, written
+from isoframe.llm.common import free, slices, small, written
 from isoframe.llm.fm_index import FMIndex, repeated
 from isoframe.llm.shingles import mix
 
@@ -210,11 +210,14 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     A word is removed if a window of ``window`` words that covers it also starts in a document of a smaller id, whatever is
     removed there. Repeats within a document, or between rows of one id, remove nothing; rows without an id neither lose
-    words nor cost any. A null text has no words. Columns of ``docs`` named like the added ones are replaced.
+    words nor cost any. Ids are whole numbers. A null text has no words, an empty table gives no rows. Columns of ``docs`` named like the added ones are replaced.
     """
     added = ["n_words", "n_removed", "kept_text"]
     rest = [c for c in docs.columns if c not in added]
     kind, spark = dict(docs.dtypes)[doc_id], docs.sparkSession
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be whole numbers, not {kind}")
+    own, key, gone_, body_ = free(docs, "__id", "__t", "__spans", "__body")
     scan = _scan(docs, text, doc_id)
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +256,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     whole = rows.select("id", "tkey", F.col("at").alias("from"), (F.col("at") + F.col("len")).alias("to"))
     firsts = segs.join(owner.where("NOT wide").unionByName(owner.where("wide")), (F.col("m") == F.col("cm")) & (F.col("seg") == F.col("cseg"))).where("id = lo")
     part = firsts.join(found, (F.col("m") == F.col("fm")) & (F.col("seg") == F.col("fseg"))).select("id", "tkey", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
-    spans = whole.unionByName(part).groupBy(F.col("id").alias("__id"), F.col("tkey").alias("__t")).agg(F.collect_set(F.struct("from", "to")).alias("__spans"))
+    spans = whole.unionByName(part).groupBy(F.col("id").alias(own), F.col("tkey").alias(key)).agg(F.collect_set(F.struct("from", "to")).alias(gone_))
     spans = small(written(spans, "spans"))
     body = F.coalesce(F.col(text), F.lit(""))
-    full = docs.select(*rest).join(spans, (F.col(doc_id) == F.col("__id")) & (F.xxhash64(body) == F.col("__t")), "left").select(*rest, body.alias("__body"), "__spans")
+    full = docs.select(*rest).join(spans, (F.col(doc_id) == F.col(own)) & (F.xxhash64(body) == F.col(key)), "left").select(*rest, body.alias(body_), gone_)
     width = len(rest)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
