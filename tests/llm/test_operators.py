@@ -118,6 +118,18 @@ def test_code_lengths_are_those_of_a_plain_walk():
             assert got[k] == pytest.approx(want)
 
 
+def test_a_language_of_short_texts_only():
+    import pandas as pd
+
+    short, long = [b"ab", b"ab", b"ac"], [b"the river and the stone"]
+    count = Counter((lang, n, int.from_bytes(t[i : i + n], "big")) for lang, texts in (("A", short), ("B", long)) for t in texts for n in range(1, 5) for i in range(len(t) - n + 1))
+    model = ppm_langid.tables(pd.DataFrame([(*k, c) for k, c in count.items()], columns=["lang", "size", "code", "n"]))
+    got = ppm_langid.code_lengths(model, [b"xab", b"ab"])
+    assert got[0][model["langs"].index("A")] == pytest.approx(8.65, abs=0.01)
+    # what comes before a known context does not change its code
+    assert got[0][0] - ppm_langid.code_lengths(model, [b"x"])[0][0] == pytest.approx(got[1][0])
+
+
 def test_texts_beyond_a_chunk_count_and_score_as_a_whole(monkeypatch):
     import pyarrow as pa
 
@@ -572,6 +584,61 @@ def test_benchmark_words_in_odd_places(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].items, got[i].contaminated) == (n, hit, [x for x in of if x != "None"], bad), t
 
 
+def test_a_long_text_without_any_broadcast(spark, monkeypatch):
+    """Windows are joined by place: their rows do not carry the text."""
+    monkeypatch.setattr(decontaminate, "small", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{i % 997}x{i}" for i in range(150_000)]
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c"), (3, " ".join(words[:13]))], "doc_id long, text string")
+        items = spark.createDataFrame([(1, " ".join(words[500:560])), (2, "b c"), (3, " ".join(words[-40:]))], "item_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {1: (150_000, 100, ["1", "3"]), 2: (3, 2, ["2"]), 3: (13, 0, [])}
+
+
+def test_names_of_own_columns(spark, docs):
+    """Columns named like those the operators use within are kept."""
+    own = ["__bucket", "__at", "__row", "__rows", "__id", "__t", "__spans", "__body", "__key", "__own", "__of", "__nth"]
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in own})
+    results = {
+        "sharding": sharding.shuffle_into_shards(odd), "substring": substring_dedup.drop_repeats(odd), "exact": exact_dedup.exact_dedup(odd),
+        "near": minhash.near_dedup(odd), "language": ppm_langid.identify(odd, ppm_langid.fit(odd)),
+    }
+    for name, out in results.items():
+        rows = out.collect()
+        assert len(rows) == len(ROWS), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own), name
+    with pytest.raises(ValueError, match="whole numbers"):
+        substring_dedup.drop_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_one_repeated_id_beside_many_groups(spark):
+    rows = [(i, f"text {i // 2}") for i in range(40)] + [(39, "text 19"), (39, "other"), (None, "text 0"), (None, "n"), (None, "n")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.text, r.doc_id) for r in got if r.kept and r.doc_id is not None) == sorted([(f"text {i}", 2 * i + 1) for i in range(20)] + [("other", 39)])
+    assert sum(r.kept for r in got if r.doc_id is None) == 1
+
+
+def test_files_of_skewed_pages(spark, tmp_path, monkeypatch):
+    """Large pages among small ones: no file is above its target but by one record."""
+    import glob
+    import gzip as gz
+
+    rng = random.Random(1)
+    pages = [(i, "http://x", ("é" if i % 2 else "b") * rng.choice([5, 50, 400_000 if i % 20 == 0 else 80]) + str(i)) for i in range(300)]
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(table, str(tmp_path / "w"))
+    sizes = [len(gz.decompress(open(f, "rb").read())) for f in glob.glob(f"{tmp_path}/w/warc/part-*")]
+    assert max(sizes) <= (1 << 20) + 4 and len(sizes) >= sum(sizes) // (1 << 20)
+    got = {int(r.id): r.payload_bytes for r in warc.reconstruct(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: len(t.encode()) for i, _, t in pages}
+
+
 def test_benchmark_that_is_empty(docs):
     nothing = docs.sparkSession.createDataFrame([(1, None)], "item_id long, text string")
     assert docs.count() == decontaminate.decontaminate(docs, nothing).where("NOT contaminated AND n_hit = 0").count()
