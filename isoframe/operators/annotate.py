@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from isoframe.operators.interval_join import BIN, both_strands, interval_join
 from isoframe.schemas import EVENT_KEY
+from isoframe.scratch import once
 
 #: How far a splice site may lie from an annotated edge; fixed, whatever the error of the detection.
 NEAR = 3
@@ -36,6 +37,7 @@ def annotate_skipped(events: DataFrame, exons: DataFrame, bin_size: int = BIN, k
     Each exon is exact (both edges next to the site, within a base), part (one edge) or other. One kind and set of
     transcripts gives the kind; several give single (all of one set of transcripts) or multi; none gives NA.
     """
+    events = once(events, "skipped")
     pairs = interval_join(both_strands(events.select(*key)), _right(exons), ["chromosome", "join_strand"], bin_size, condition=(F.col("start") <= F.col("r_start")) & (F.col("end") >= F.col("r_end")))
     at = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= 1).cast("int")
     near = at("start", "r_start") + at("end", "r_end")
@@ -48,6 +50,7 @@ def annotate_skipped(events: DataFrame, exons: DataFrame, bin_size: int = BIN, k
 
 def annotate_alternative(events: DataFrame, exons: DataFrame, bin_size: int = BIN, key: list[str] = EVENT_KEY) -> DataFrame:
     """A3 and A5 events with the exons whose edge lies within NEAR of one of the alternative sites."""
+    events = once(events, "alternative")
     near = lambda i, edge: F.abs(F.element_at("sites", i) - F.col(edge)) <= NEAR
     same_start = F.element_at("sites", 1) == F.element_at("sites", 2)
     test = F.when(same_start, near(3, "r_start") | near(4, "r_start")).otherwise(near(1, "r_end") | near(2, "r_end"))
@@ -61,28 +64,42 @@ def annotate_exclusive(events: DataFrame, exons: DataFrame, bin_size: int = BIN,
 
     Otherwise the exons of the first region, or else of the second, are listed and the event stays novel.
     """
+    events = once(events, "exclusive")
     inside = lambda a, b: (F.element_at("sites", a) <= F.col("r_start")) & (F.element_at("sites", b) >= F.col("r_end"))
     pairs = interval_join(both_strands(events.select(*key)), _right(exons), ["chromosome", "join_strand"], bin_size, condition=inside(2, 3) | inside(4, 5))
-    pairs = pairs.withColumns({"in1": inside(2, 3).cast("int"), "in2": inside(4, 5).cast("int")})
-    by_gene = pairs.withColumn("gene", F.explode("genes")).groupBy(*key, "gene").agg(F.max("in1").alias("in1"), F.max("in2").alias("in2"), *_sets())
-    both = by_gene.where("in1 = 1 AND in2 = 1").groupBy(*key).agg(F.min_by(F.struct(F.array("gene").alias("genes"), "transcripts", "exons"), "gene").alias("g"))
-    region = pairs.groupBy(*key).agg(F.max("in1").alias("first"))
-    # exons of the first region if it has any, else of the second
-    chosen = pairs.join(region, key).where("in1 = first OR first = 0").groupBy(*key).agg(*_sets())
-    found = chosen.join(both, key, "left").select(
-        *key,
-        *[F.coalesce(F.col(f"g.{c}"), F.col(c)).alias(c) for c in ("genes", "transcripts", "exons")],
-        F.lit("NA").alias("subtype"),
-        F.col("g").isNull().alias("is_novel"),
+    pairs = pairs.withColumns({"in1": inside(2, 3), "in2": inside(4, 5)}).withColumn("gene", F.explode_outer("genes"))
+    # of each gene what its exons give, all of them and those of the first region
+    flat = lambda c, test=None: F.array_distinct(F.flatten(F.collect_list(c if test is None else F.when(test, F.col(c)))))
+    only = lambda c, test=None: F.collect_set(c if test is None else F.when(test, F.col(c)))
+    gene = pairs.groupBy(*key, "gene").agg(F.max("in1").alias("in1"), F.max("in2").alias("in2"), flat("transcripts").alias("t"), only("exon_id").alias("x"), flat("transcripts", F.col("in1")).alias("t1"), only("exon_id", F.col("in1")).alias("x1"))
+    one = F.struct(F.array("gene").alias("genes"), F.array_sort("t").alias("transcripts"), F.array_sort("x").alias("exons"))
+    sets = lambda g, t, x: F.struct(F.array_sort(g).alias("genes"), F.array_sort(flat(t)).alias("transcripts"), F.array_sort(flat(x)).alias("exons"))
+    found = gene.groupBy(*key).agg(
+        F.min_by(one, F.when(F.col("in1") & F.col("in2"), F.col("gene"))).alias("both"),
+        F.max("in1").alias("first"),
+        sets(only("gene", F.col("in1")), "t1", "x1").alias("of1"),
+        sets(only("gene"), "t", "x").alias("of"),
     )
-    return _onto(events, found, key)
+    # exons of the first region if it has any, else of the second
+    chosen = F.coalesce("both", F.when(F.col("first"), F.col("of1")).otherwise(F.col("of")))
+    found = found.select(*key, chosen.alias("c"), F.col("both").isNull().alias("is_novel"))
+    return _onto(events, found.select(*key, "c.*", F.lit("NA").alias("subtype"), "is_novel"), key)
+
+
+def _part(written_events: DataFrame, test: str) -> DataFrame:
+    """Some of the events of a written table, which is as cheap to read again."""
+    out = written_events.where(test)
+    out.isoframe_path = written_events.isoframe_path
+    return out
 
 
 def annotate(events: DataFrame, exons: DataFrame, bin_size: int = BIN, key: list[str] = EVENT_KEY) -> DataFrame:
     """Every event by the rule of its type; types without one pass through unannotated, as novel."""
-    out = annotate_skipped(events.where("event = 'SE'"), exons, bin_size, key)
-    out = out.unionByName(annotate_alternative(events.where("event IN ('A3', 'A5')"), exons, bin_size, key))
-    out = out.unionByName(annotate_exclusive(events.where("event = 'MXE'"), exons, bin_size, key))
+    events = once(events, "events")
+    of = lambda test: _part(events, test)
+    out = annotate_skipped(of("event = 'SE'"), exons, bin_size, key)
+    out = out.unionByName(annotate_alternative(of("event IN ('A3', 'A5')"), exons, bin_size, key))
+    out = out.unionByName(annotate_exclusive(of("event = 'MXE'"), exons, bin_size, key))
     rest = events.where("event NOT IN ('SE', 'A3', 'A5', 'MXE')")
     empty = F.lit(None).cast("array<string>")
     return out.unionByName(rest.withColumns({"genes": empty, "transcripts": empty, "exons": empty, "subtype": F.lit("NA"), "is_novel": F.lit(True)}))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.functions import text as tx
+from isoframe.scratch import once
 
 EVENT = ["event", "chromosome", "start", "end", "strand", "sites"]
 
@@ -16,15 +17,17 @@ def event_table(annotated: DataFrame, samples: list[str] | None = None) -> DataF
     Sets are united over samples; a sample without the event shows NA.
     """
     rows = annotated.withColumn("key", F.struct(*EVENT))
-    psi = rows.groupBy("key").pivot("sample", samples).agg(F.first("psi"))
+    if samples is None:
+        rows = once(rows, "annotated")
+        samples = sorted(r[0] for r in rows.select("sample").distinct().collect())
     flat = lambda c: F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))
-    sets = rows.groupBy("key").agg(
+    # ratios by sample are one map, so that sets and ratios come from one grouping
+    named = rows.groupBy("key").agg(
         F.array_sort(F.collect_set(F.nullif("subtype", F.lit("NA")))).alias("subtypes"),
         F.min(F.col("is_novel").cast("int")).alias("novel"),
         *[flat(c).alias(c) for c in ("genes", "transcripts", "exons")],
-    )
-    ratios = [c for c in psi.columns if c != "key"]
-    named = sets.join(psi.withColumnsRenamed({c: f"psi:{c}" for c in ratios}), "key").select("key.*", "*")
+        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("psi").isNotNull(), F.struct("sample", "psi"))))).alias("ratios"),
+    ).select("key.*", "*")
     return named.select(
         tx.event_range().alias("spliceRange"),
         F.col("event").alias("spliceType"),
@@ -34,7 +37,7 @@ def event_table(annotated: DataFrame, samples: list[str] | None = None) -> DataF
         tx.joined(F.col("genes")).alias("gene"),
         tx.joined(F.col("transcripts")).alias("transcript"),
         tx.joined(F.col("exons")).alias("exon"),
-        *[tx.ratio(F.col(f"`psi:{c}`")).alias(c) for c in ratios],
+        *[tx.ratio(F.try_element_at("ratios", F.lit(c))).alias(c) for c in samples],
     )
 
 

@@ -32,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.parquet(path)
     out.isoframe_path = path
     return out
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it is a written table, else written: for plans that read it several times. What is returned lazily reads it, so
+    the table stays until the folder is cleaned."""
+    return df if hasattr(df, "isoframe_path") else written(df, name)
