@@ -373,6 +373,11 @@ def _(spark, sf):
     return coupling.novel_reads(views.reads(spark, sf), coupled(spark, sf)).select("sample", "name")
 
 
+@register("read_summary", f"WITH {READS}, {TRANSCRIPTS} SELECT sample, count(*) AS total, count(*) FILTER (name IN (SELECT name FROM cp)) AS coupled, count(*) FILTER (name NOT IN (SELECT name FROM cp)) AS novel FROM reads GROUP BY sample")
+def _(spark, sf):
+    return coupling.read_summary(views.reads(spark, sf), coupled(spark, sf))
+
+
 @register("template_sizes", f"WITH {READS}, {TRANSCRIPTS} SELECT sample, transcript, count(*) AS n_reads FROM cp GROUP BY ALL")
 def _(spark, sf):
     return coupling.templates(coupled(spark, sf)).select("sample", "transcript", "n_reads")
@@ -494,3 +499,14 @@ def _(spark, sf):
 @register("junction_text_scan", f"""WITH {ALL} SELECT chromosome, "start", "end", strand, "count" FROM junctions""")
 def _(spark, sf):
     return junction_files._tidy(junction_files.junction_lines(views.junctions(spark, sf).select("sample", tx.junction_line().alias("value")))).select("chromosome", "start", "end", "strand", "count")
+
+
+@register("star_last_wins", """WITH l AS (SELECT *, CAST(1 + l_suppkey % 5 AS VARCHAR) AS chromosome, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand, CAST(l_partkey * 40 + 100 AS INT) AS "start" FROM lineitem)
+SELECT chromosome, "start", "start" + 50 AS "end", strand, CAST(arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS BIGINT) AS "count" FROM l GROUP BY chromosome, "start", strand""")
+def _(spark, sf):
+    # a line for each line item, in order; those of one junction are in one file
+    rows = views.table(spark, sf, "lineitem").selectExpr("CAST(1 + l_suppkey % 5 AS STRING) AS c", "l_partkey * 40 + 100 AS s", "CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS t", "CAST(l_quantity AS INT) AS n", "l_orderkey AS k", "l_linenumber AS l")
+    rows = rows.repartition("c", "s", "t").sortWithinPartitions("k", "l")
+    path = new_path(spark, "star")
+    rows.select(F.concat_ws("\t", F.concat(F.lit("chr"), "c"), "s", F.col("s") + 50, "t", F.lit(1), F.lit(0), "n", F.lit(7), F.lit(30)).alias("value")).write.text(path)
+    return junction_files.read_star(spark, path).select("chromosome", "start", "end", "strand", "count")

@@ -64,7 +64,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         options = {"min_count": args.count, "overall": args.overall_count, "error": args.error, "percent": args.overlap_exon_intron, "bam": args.bam}
         if args.command == "short":
-            report.write_table(report.event_table(commands.short(spark, args.input, args.reference, **options)), args.output)
+            report.write_events(commands.short(spark, args.input, args.reference, **options), args.output)
         else:
             found = commands.long(spark, args.input, args.reference, read_percent=args.overlap_ref_reads, **options)
             commands.long_lines(found).write.mode("overwrite").text(args.output)

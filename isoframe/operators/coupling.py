@@ -43,6 +43,13 @@ def novel_reads(reads: DataFrame, pairs: DataFrame) -> DataFrame:
     return reads.join(pairs.select(*READ).distinct(), READ, "left_anti")
 
 
+def read_summary(reads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sample, total, coupled, novel): reads, those that a transcript explains, and the others."""
+    hit = pairs.select(*READ).distinct().withColumn("hit", F.lit(1))
+    per = reads.select(*READ).join(hit, READ, "left").groupBy("sample").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("coupled"))
+    return per.withColumn("novel", F.col("total") - F.col("coupled"))
+
+
 def templates(pairs: DataFrame) -> DataFrame:
     """Number of reads of each transcript, for each sample."""
     return pairs.groupBy("sample", "gene", "transcript").agg(F.count(F.lit(1)).alias("n_reads"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoframe.functions import text as tx
 from isoframe.operators import coupling, isoforms, junctions, psi, report
 from isoframe.operators.annotate import annotate
 from isoframe.operators.events import ERROR, all_events
 from isoframe.operators.retention import depth_regions, retained_introns, with_depth
 from isoframe.operators.terminal import with_terminal
 from isoframe.plans import inputs
-from isoframe.scratch import written
+from isoframe.scratch import once, written
 from isoframe.sources import alignments
 from isoframe.sources.annotation import exon_sets, read_annotation
 from isoframe.sources.companions import companions
@@ -92,8 +93,6 @@ def iso(spark: SparkSession, paths: list[str], error: int = ERROR) -> DataFrame:
 
 def long_lines(annotated: DataFrame) -> DataFrame:
     """One line for each event and annotated exon, sorted and without repeats; events without one show NA."""
-    from isoframe.functions import text as tx
-
     exon = F.explode_outer("exons")
     rows = annotated.select("*", exon.alias("exon"))
     line = F.concat_ws("\t", tx.event_line(F.col("subtype")), F.col("is_novel").cast("int"), tx.joined(F.col("genes")), tx.joined(F.col("transcripts")), F.coalesce("exon", F.lit(tx.MISSING)), tx.ratio(F.col("psi")))
@@ -102,10 +101,10 @@ def long_lines(annotated: DataFrame) -> DataFrame:
 
 def write_tables(found: DataFrame, out: str, counts: bool, ratios: bool, min_count: int) -> None:
     """Count matrix (no filter) and ratio matrices (filter within the sample only) beside the event table."""
+    key = tx.junction_key().alias("key")
     if counts:
-        report.write_table(report.with_missing(junctions.count_matrix(found).withColumnRenamed("junction", "junctions"), "junctions"), f"{out}.junction_counts.tab")
+        report.write_matrix(found.groupBy(key, "sample").agg(F.sum("count").cast("string").alias("v")), f"{out}.junction_counts.tab")
     if ratios:
-        kept = junctions.at_least(found, min_count)
+        kept = once(psi.with_psi(junctions.at_least(found, min_count)), "ratios")
         for side, name in (("start", "sameStart"), ("end", "sameEnd")):
-            matrix = psi.psi_matrix(kept, side).withColumnRenamed("junction", "junctions")
-            report.write_table(report.with_missing(matrix, "junctions", digits=True), f"{out}.{name}.PSI.tab")
+            report.write_matrix(kept.select(key, "sample", F.when(F.col(f"psi_{side}").isNotNull(), tx.ratio(F.col(f"psi_{side}"))).alias("v")), f"{out}.{name}.PSI.tab")

@@ -174,6 +174,26 @@ def test_commands(spark, tmp_path):
         cli.parser().parse_args(["short", star, "-r", gtf, "-o", out, "--overlap-exon-intron", "0"])
 
 
+def test_matrices_of_very_many_samples(spark, tmp_path):
+    from isoframe.operators import report
+
+    n = 12_000
+    samples = [f"s{i:05d}" for i in range(n)]
+    cells = [("1:5-9+", s, str(i)) for i, s in enumerate(samples)] + [("1:1-2", samples[0], "a"), ("2:1-2", samples[-1], "z"), ("3:1-2", samples[5000], "m")]
+    report.write_matrix(spark.createDataFrame(cells, "key string, sample string, v string"), str(tmp_path / "m"))
+    lines = {r.value.split("\t")[0]: r.value.split("\t")[1:] for r in spark.read.text(str(tmp_path / "m")).collect()}
+    assert lines["#junctions"] == samples
+    assert lines["1:5-9+"] == [str(i) for i in range(n)]
+    one = lambda at, v: [v if i == at else "NA" for i in range(n)]
+    assert (lines["1:1-2"], lines["2:1-2"], lines["3:1-2"]) == (one(0, "a"), one(n - 1, "z"), one(5000, "m"))
+
+
+def test_last_line_of_a_key_counts(spark, tmp_path):
+    text = "".join(f"chr1\t100\t200\t1\t1\t0\t{n}\t2\t40\n" for n in (30, 90, 7))
+    assert [r["count"] for r in junction_files.read_star(spark, put(tmp_path, "s.tab", text)).collect()] == [7]
+    assert [r["count"] for r in junction_files.read_junctions(spark, put(tmp_path, "j", "1:1-9\t8\n1:1-9\t2\n")).collect()] == [2]
+
+
 def test_stream(spark, tmp_path):
     from isoframe.streaming.junctions import stream_junctions
 
