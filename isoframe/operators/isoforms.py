@@ -1,7 +1,10 @@
 """Unique isoforms: nearly equal long reads collapse into the first of them.
 
-The fold is sequential, but only within a run of reads whose starts follow each other closely: a leader can absorb no read
-that starts ``error`` or more after it. Runs are dealt to tasks whole and folded in a stream that holds one leader.
+The fold is sequential, as a read is compared with the current leader only. Reads are dealt by range into segments in their
+order, and each segment is folded on its own as if its first read were a leader. Where the leader that a segment ends with
+absorbs the first read of the next one, that one is walked again with it, until both walks have the same leader; from there on
+nothing changes. So only starts of segments are walked twice, and a locus of any depth is shared by many tasks. The driver
+sees two reads of each segment.
 """
 
 from __future__ import annotations
@@ -13,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.operators.events import ERROR
-from isoframe.operators.ordered import island_start
+from isoframe.scratch import written
+
+PLACE = ["sample", "chromosome"]
+COLUMNS = ["sample", "name", "chromosome", "start", "end", "strand", "exons"]
 
 
 def same_read(a: dict, b: dict, error: int, match: str = "any") -> bool:
@@ -28,37 +34,143 @@ def same_read(a: dict, b: dict, error: int, match: str = "any") -> bool:
     return not inner or (any(inner) if match == "any" else all(inner))
 
 
-def unify(reads: DataFrame, error: int = ERROR, match: str = "any") -> DataFrame:
+def absorbs(leader: dict, row: dict, error: int, match: str) -> bool:
+    return all(leader[k] == row[k] for k in PLACE) and same_read(leader, row, error, match)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """(segment, its rows) one after the other; rows that were not taken are passed by."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    row = next(rows, None)
+    while row is not None:
+        now = row["part"]
+
+        def own(now=now) -> Iterator[dict]:
+            nonlocal row
+            while row is not None and row["part"] == now:
+                yield row
+                row = next(rows, None)
+
+        each = own()
+        yield now, each
+        for _ in each:
+            pass
+
+
+def _ends(table: DataFrame, error: int, match: str) -> dict[int, tuple[dict, dict]]:
+    """segment -> its first read, and the leader it ends with on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _segments(batches):
+            first = leader = next(rows)
+            for row in rows:
+                if not absorbs(leader, row, error, match):
+                    leader = row
+            yield pa.RecordBatch.from_pylist([first, leader], schema=batch_schema)
+
+    batch_schema = _arrow(table)
+    found: dict[int, list[dict]] = {}
+    for r in _in_order(table).mapInArrow(run, table.schema).toLocalIterator():
+        found.setdefault(r["part"], []).append(r.asDict(recursive=True))
+    return {k: tuple(v) for k, v in found.items()}
+
+
+def _arrow(table: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(table.schema)
+
+
+def _in_order(table: DataFrame) -> DataFrame:
+    return table.repartition("part").sortWithinPartitions("part", "nth")
+
+
+def _walked(table: DataFrame, asked: dict[int, dict[int, dict]], error: int, match: str) -> dict[tuple[int, int], dict | None]:
+    """(segment, number of the leader before it) -> the leader it ends with then, or None if that is the same as on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _segments(batches):
+            own, todo = None, {n: leader for n, leader in asked[part].items()}
+            for row in rows:
+                own = own if own is not None and absorbs(own, row, error, match) else row
+                for n, leader in list(todo.items()):
+                    if not absorbs(leader, row, error, match):
+                        todo[n] = row
+                    if todo[n]["nth"] == own["nth"]:
+                        del todo[n]
+                if not todo:
+                    break
+            if todo:
+                # the segment and the leader asked with take the places of the read's own
+                out = [leader | {"part": part, "asked": n} for n, leader in todo.items()]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = _arrow(table).append(pa.field("asked", pa.int64()))
+    some = table.where(F.col("part").isin(list(asked)))
+    found = _in_order(some).mapInArrow(run, table.withColumn("asked", F.lit(0).cast("long")).schema)
+    out: dict[tuple[int, int], dict | None] = {(part, n): None for part, leaders in asked.items() for n in leaders}
+    for r in found.collect():
+        row = r.asDict(recursive=True)
+        out[row["part"], row.pop("asked")] = row
+    return out
+
+
+def leaders_before(table: DataFrame, error: int, match: str) -> dict[int, dict]:
+    """segment -> the leader it begins with, where an earlier one reaches into it."""
+    ends, known = _ends(table, error, match), {}
+    while True:
+        missing: dict[int, dict[int, dict]] = {}
+        before, now, parts = {}, None, sorted(ends)
+        for k, part in enumerate(parts):
+            first, own = ends[part]
+            if now is None or not absorbs(now, first, error, match):
+                now = own
+                continue
+            before[part] = now
+            if (part, now["nth"]) in known:
+                now = known[part, now["nth"]] or own
+                continue
+            # asked of all segments that it may run through; then as if it ended within this one
+            for later in parts[k:]:
+                if not absorbs(now, ends[later][0], error, match):
+                    break
+                if (later, now["nth"]) not in known:
+                    missing.setdefault(later, {})[now["nth"]] = now
+            now = own
+        if not missing:
+            return before
+        known |= _walked(table, missing, error, match)
+
+
+def unify(reads: DataFrame, error: int = ERROR, match: str = "any", segments: int | None = None) -> DataFrame:
     """reads (sample, name, chromosome, start, end, strand, exons) with ``leader``, the name of the read that absorbs each, and
     ``isoform``, a number for each leader: names may repeat.
 
     Reads are taken by start, end, number of exons, exons, strand and name; a read like the current leader is absorbed,
-    any other becomes the leader.
+    any other becomes the leader. Reads are written in that order, in ``segments`` parts (else Spark's number).
     """
-    keys = ["sample", "chromosome"]
-    columns = ["sample", "name", "chromosome", "start", "end", "strand", "exons"]
-    runs = island_start(reads.select(*columns), keys, error).withColumn("n", F.size("exons"))
-    dealt = runs.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "start", "end", "n", "exons", "strand", "name")
+    rows = reads.select(*COLUMNS).withColumns({"n": F.size("exons"), "uid": F.monotonically_increasing_id()})
+    by = [*PLACE, "start", "end", "n", "exons", "strand", "name", "uid"]
+    dealt = rows.repartitionByRange(*([segments] if segments else []), *by).sortWithinPartitions(*by)
+    table = written(dealt.select(*COLUMNS, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")), "ordered_reads")
+    before = leaders_before(table, error, match)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader: dict | None = None
-        nth = 0
+        part, leader = None, None
         for batch in batches:
             names, numbers = [], []
             for row in batch.to_pylist():
-                if leader is None or any(leader[k] != row[k] for k in (*keys, "island")):
-                    leader, nth = row, 0
-                elif not same_read(leader, row, error, match):
-                    leader, nth = row, nth + 1
+                if row["part"] != part:
+                    part = row["part"]
+                    leader = before.get(part)
+                if leader is None or not absorbs(leader, row, error, match):
+                    leader = row
                 names.append(leader["name"])
-                numbers.append(nth)
-            more = [pa.array(names, pa.string()), batch.column("island"), pa.array(numbers, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], [*columns, "leader", "island", "nth"])
-
-    kinds = dict(runs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", leader string, island {kinds['island']}, nth long"
-    found = dealt.select(*columns, "island").mapInArrow(fold, schema)
-    return found.select(*columns, "leader", F.struct("island", "nth").alias("isoform"))
+                numbers.append(leader["nth"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(names, pa.string()), pa.array(numbers, pa.int64())], [*COLUMNS, "leader", "isoform"])
+
+    kinds = dict(table.dtypes)
+    return _in_order(table).mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in COLUMNS) + ", leader string, isoform long")
 
 
 def isoforms(unified: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from isoframe.functions import cigar as cg
 from isoframe.functions import intervals as iv
 from isoframe.operators import annotate, coupling, events, isoforms, junctions, psi, report, retention
 from isoframe.operators.interval_join import dealt, interval_join, similar_join
-from isoframe.operators.ordered import island_start, with_next
+from isoframe.operators.ordered import with_next
 from isoframe.schemas import EXONS, JUNCTIONS
 
 
@@ -195,11 +195,39 @@ def test_order_over_stretches(spark, places, stretch):
     ordered = sorted(set(places))
     got = {r.start: r.nxt for r in with_next(df, ["k"], ["start"], "start", "nxt", stretch).collect()}
     assert got == dict(zip(ordered, [*ordered[1:], None], strict=True))
-    island, want = None, {}
-    for i, p in enumerate(ordered):
-        island = p if i == 0 or p - ordered[i - 1] >= 5 else island
-        want[p] = island
-    assert {r.start: r.island for r in island_start(df, ["k"], 5, stretch).collect()} == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 12), st.integers(30, 34), st.sampled_from("+-"), st.integers(1, 3)), min_size=1, max_size=60), st.sampled_from([1, 4, 23]), st.sampled_from(["any", "all"]))
+def test_isoforms_in_segments_are_those_of_one_walk(spark, rows, segments, match):
+    reads_ = []
+    for i, (sample, start, end, strand, n) in enumerate(rows):
+        exons = [(start, end)] if n == 1 else [(start, start + 5), *[(10 + k, 11 + k) for k in range(n - 2)], (end - 3, end)]
+        reads_.append((sample, f"r{i % 7}", "1", start, end, strand, exons))
+    df = spark.createDataFrame(reads_, "sample string, name string, chromosome string, start int, end int, strand string, exons array<struct<start:int,end:int>>")
+    shown = lambda r: {"sample": r[0], "chromosome": r[2], "start": r[3], "end": r[4], "strand": r[5], "exons": [{"start": a, "end": b} for a, b in r[6]], "name": r[1]}
+    want, leader = {}, None
+    for r in map(shown, sorted(reads_, key=lambda r: (r[0], r[2], r[3], r[4], len(r[6]), r[6], r[5], r[1]))):
+        if leader is None or not isoforms.absorbs(leader, r, 3, match):
+            leader = r
+            want[len(want)] = [(r["sample"], r["name"], r["start"], r["end"]), 0]
+        want[len(want) - 1][1] += 1
+    got = isoforms.isoforms(isoforms.unify(df, 3, match, segments)).collect()
+    assert sorted(((r.sample, r.name, r.start, r.end), r.n_reads) for r in got) == sorted(map(tuple, want.values()))
+
+
+def test_one_isoform_through_many_segments(spark):
+    """A locus of equal reads is shared by all segments, and resolved in a few passes."""
+    df = spark.range(3000).selectExpr("'s' AS sample", "concat('r', id) AS name", "'1' AS chromosome", "CAST(100 + id % 2 AS INT) AS start", "CAST(500 AS INT) AS end", "'+' AS strand")
+    df = df.withColumn("exons", F.array(F.struct(F.col("start"), F.lit(200).alias("end")), F.struct(F.lit(300).alias("start"), F.col("end"))))
+    asked, walked = [], isoforms._walked
+    isoforms._walked = lambda table, missing, *more: asked.append(len(missing)) or walked(table, missing, *more)
+    try:
+        got = isoforms.isoforms(isoforms.unify(df, segments=30)).collect()
+    finally:
+        isoforms._walked = walked
+    assert [(r.start, r.n_reads) for r in got] == [(100, 3000)]
+    assert len(asked) <= 2 and max(asked) >= 25
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
