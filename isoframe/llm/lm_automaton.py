@@ -8,7 +8,8 @@ The model grows with the input, so no process holds it. Texts are read as blocks
 distinct n-grams, dealt to buckets by ranges of a 64-bit hash, and each bucket answers every block with the counts of what it
 asked for. Sizes go in turn, and an n-gram is asked for only if its two shorter ones were kept, as no other can be. Each kept
 n-gram has one block that owns it, which tells the bucket of its context what it takes there; the sums are the context's
-backoff. With all answers a block passes over its texts from left to right.
+backoff. From all answers a block builds the states, arcs and failure arcs that its texts can reach, and walks them from left
+to right with a state for each.
 
 With shares given, ``fit`` makes the bounded automaton instead: words of a share of ``word_share`` of all tokens or more, and
 the end, are symbols, the others one class symbol within which a word has its add-one share; n-grams of a share of
@@ -38,6 +39,8 @@ MIN_COUNT = 2
 DISCOUNT = 0.5
 #: Tokens of a block, and characters of text for which there is a bucket.
 BLOCK, BUCKET_CHARS = 750_000, 6_000_000
+#: Tokens of a text that are walked one after the other, beside those of others.
+STRETCH = 1024
 #: The end of a text; no word is empty.
 END = b""
 #: Entries that a task counts before it hands them on, and resolved steps that it remembers.
@@ -429,38 +432,100 @@ def _joined(answers: pa.Table, sign: int) -> dict:
 WALKED = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double"
 
 
+class Automaton:
+    """The part of the model that a block's texts can reach.
+
+    States: 0, no context, and each kept context of up to ``order`` - 1 words that the block has. A kept n-gram is an arc from
+    the state of its first words, with its log10 probability, to the longest kept context that it ends with. A state without an
+    arc for the next word has its failure arc, which costs its backoff and leads to the context without its first word; from
+    state 0 every word has an arc. Arcs are known by the place of their n-gram among those of their size.
+    """
+
+    def __init__(self, block: Block, counts: dict[int, np.ndarray], sums: dict[int, list[np.ndarray]], size: int, order: int):
+        while order > 1 and any(n not in sums for n in range(1, order)):
+            order -= 1
+        self.block, self.order = block, order
+        n_states = np.cumsum([1, *(len(counts[n]) for n in range(1, order))])
+        of = lambda n, places: n_states[n - 1] + places if n else np.zeros(len(places), np.int64)
+        self.length = np.concatenate([[0], *(np.full(len(counts[n]), n) for n in range(1, order))]).astype(np.int8)
+        self.fail, self.weight = np.zeros(n_states[-1], np.int64), np.zeros(n_states[-1])
+        # the last place stands for n-grams that there are not
+        self.cost = {1: np.append(np.log10((counts[1] + 1) / size), 0.0)}
+        self.arc = {1: np.append(np.ones(len(counts[1]), bool), False)}
+        known = np.flatnonzero(counts[1]) if order > 1 else np.zeros(0, np.int64)
+        self.to = {1: np.zeros(len(counts[1]) + 1, np.int64)}
+        self.to[1][known] = of(1, known)
+        for n in range(2, order + 1):
+            context, kept = n - 1, np.flatnonzero(counts[n])
+            self.arc[n], self.to[n], self.cost[n] = np.zeros(len(counts[n]) + 1, bool), np.zeros(len(counts[n]) + 1, np.int64), np.zeros(len(counts[n]) + 1)
+            self.arc[n][kept] = True
+            self.cost[n][kept] = np.log10((counts[n][kept] - DISCOUNT) / counts[context][block.context(n, kept)])
+            self.to[n][kept] = of(n, kept) if n < order else of(context, block.suffix(n, kept))
+            # what falling back from each kept context costs
+            places = np.flatnonzero(counts[context])
+            followers, above, more = sums[context]
+            followed = above + MIN_COUNT * followers
+            lower = followed + more
+            suffix = None if context == 1 else block.suffix(context, places)
+            shorter = float(size) if context == 1 else counts[context - 1][suffix]
+            taken = (followed - DISCOUNT * followers) / counts[context][places]
+            left = (lower + followers if context == 1 else lower - DISCOUNT * followers) / shorter
+            self.weight[of(context, places)] = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - left, 1e-12))
+            if context > 1:
+                self.fail[of(context, places)] = of(context - 1, suffix)
+
+    def walk(self, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text.
+
+        Texts are walked side by side, a token of each at a time, every one with its state. A long text is walked in stretches:
+        a state depends on ``order`` - 1 tokens only, so a stretch first reads those before it, at no cost.
+        """
+        starts = self.block.starts
+        count = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        begin = starts[text] + nth * STRETCH
+        end = np.minimum(begin + STRETCH, starts[text] + sizes[text])
+        at = np.maximum(begin - (self.order - 1), starts[text])
+        longest = np.argsort(at - end, kind="stable")
+        begin, end, at, text = begin[longest], end[longest], at[longest], text[longest]
+        state, total, out = np.zeros(len(at), np.int64), np.zeros(len(at)), np.zeros(len(sizes))
+        left = at - end  # ascending
+        for step in range(int(-left.min(initial=0))):
+            n_live = int(np.searchsorted(left, -step, side="left"))  # the others have ended
+            live = slice(0, n_live)
+            now, i = state[live].copy(), at[live] + step
+            cost, to, waits = np.zeros(n_live), np.zeros(n_live, np.int64), np.ones(n_live, bool)
+            for n in range(self.order, 0, -1):
+                here = waits & (self.length[now] == n - 1)
+                place = self.block.at[n][i]
+                takes = here & self.arc[n][place]
+                cost += np.where(takes, self.cost[n][place], 0)
+                to = np.where(takes, self.to[n][place], to)
+                waits &= ~takes
+                falls = here & ~takes
+                cost += np.where(falls, self.weight[now], 0)
+                now = np.where(falls, self.fail[now], now)
+            state[live] = to
+            total[live] += np.where(i >= begin[live], cost, 0)
+        np.add.at(out, text, total)
+        return out
+
+
 def _walk(order: int, size: int):
-    """Each token's arc from the longest context that was kept; where there is none, the failure arc's backoff is paid and the shorter context asked."""
+    """Scores of a block's texts by its part of the automaton, once all counts and backoffs are known."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         row = blocks.to_pylist()[0]
         counts = _joined(answers, 1)
-        sums = _joined(answers, -1)
         block = Block(row, order, counts)
         counts = {n: np.abs(c) for n, c in counts.items()}
-        base = np.log10((counts[1] + 1) / size)[block.at[1]]
-        score = base.copy()
-        for n in range(2, order + 1):
-            context = n - 1
-            if context not in sums:
-                break
-            # the context of each token that has one, and what falling back from it costs
-            tokens_at = np.flatnonzero((block.within >= context) & np.concatenate([[False], block.seen(context, counts)[:-1]]))
-            places = block.at[context][tokens_at - 1]
-            kept_at, weights = np.flatnonzero(counts[context]), np.zeros(len(counts[context]))
-            followers, above, more = sums[context]
-            followed = above + MIN_COUNT * followers
-            lower = followed + more
-            shorter = float(size) if context == 1 else counts[context - 1][block.suffix(context, kept_at)]
-            kept = (followed - DISCOUNT * followers) / counts[context][kept_at]
-            left = (lower + followers if context == 1 else lower - DISCOUNT * followers) / shorter
-            weights[kept_at] = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - left, 1e-12))
-            score[tokens_at] += weights[places]
-            ends = np.flatnonzero(block.seen(n, counts))
-            score[ends] = np.log10((counts[n][block.at[n][ends]] - DISCOUNT) / counts[context][block.at[context][ends - 1]])
+        automaton = Automaton(block, counts, _joined(answers, -1), size, order)
+        base = automaton.cost[1][block.at[1]]
         known = (counts[1] > 0)[block.at[1]].astype(np.int64)
         kind = blocks.schema.field("ids").type.value_type
-        totals = [np.add.reduceat(x, block.starts) for x in (known, base, score)]
+        totals = [np.add.reduceat(x, block.starts) for x in (known, base)]
+        totals.append(automaton.walk(np.array(row["sizes"], np.int64)))
         return pa.table([pa.array(row["ids"], kind), pa.array(row["tkeys"], pa.int64()), pa.array(row["sizes"], pa.int64()), *map(pa.array, totals)], ["id", "tkey", "n_tokens", "n_known", "base", "walk"])
 
     return run
