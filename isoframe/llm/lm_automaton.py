@@ -10,19 +10,13 @@ asked for. Sizes go in turn, and an n-gram is asked for only if its two shorter
 n-gram has one block that owns it, which tells the bucket of its context what it takes there; the sums are the context's
 backoff. From all answers a block builds the states, arcs and failure arcs that its texts can reach, and walks them from left
 to right with a state for each.
-
-With shares given, ``fit`` makes the bounded automaton instead: words of a share of ``word_share`` of all tokens or more, and
-the end, are symbols, the others one class symbol within which a word has its add-one share; n-grams of a share of
-``gram_share`` or more are states and arcs, states have failure arcs. A share bounds their number by its inverse.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +35,10 @@ DISCOUNT = 0.5
 BLOCK, BUCKET_CHARS = 750_000, 6_000_000
 #: Tokens of a text that are walked one after the other, beside those of others.
 STRETCH = 1024
+#: Buckets of a table that Spark allows; with more input each holds more blocks.
+MOST_BUCKETS = 100_000
 #: The end of a text; no word is empty.
 END = b""
-#: Entries that a task counts before it hands them on, and resolved steps that it remembers.
-HELD, MEMO = 400_000, 1_000_000
 
 
 def held_out(doc_id) -> F.Column:
@@ -55,180 +49,9 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-        counts.clear()
-        return batch
-
-    for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > HELD:
-                yield out()
-    yield out()
-
-
-def symbols_of(words: list[bytes], table: dict[bytes, int], rare: int) -> list[int]:
-    return list(map(table.get, words, repeat(rare)))
-
-
-def _count_grams(shared, size: int):
-    """Counts n-grams of ``size`` symbols whose two shorter n-grams were kept, as a number in base ``width``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, width, kept = shared.value["symbols"], shared.value["width"], shared.value["kept"]
-        held, n_held = [], 0
-
-        def out() -> pa.RecordBatch:
-            codes, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["gram", "n"])
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                ids = np.array(symbols_of(tokens(text), table, width - 1), np.int64)
-                if len(ids) < size:
-                    continue
-                shorter = ids[: len(ids) - size + 2].copy()
-                for i in range(1, size - 1):
-                    shorter = shorter * width + ids[i : len(ids) - size + 2 + i]
-                at = np.minimum(np.searchsorted(kept, shorter), len(kept) - 1)
-                ok = kept[at] == shorter
-                ok = ok[:-1] & ok[1:]
-                held.append((shorter[:-1] * width + ids[size - 1 :])[ok])
-                n_held += int(ok.sum())
-            if n_held > 4 * HELD:
-                yield out()
-                held, n_held = [], 0
-        if n_held:
-            yield out()
-
-    return run
-
-
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, word_share: float | None = None, gram_share: float | None = None) -> dict:
-    """The model of the rows that are not held out; with both shares, the bounded automaton and the full table of words."""
-    if word_share is None or gram_share is None:
-        return {"docs": docs, "text": text, "doc_id": doc_id, "order": order}
-    spark = docs.sparkSession
-    train = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"))
-    words = written(train.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # at most 1 / word_share rows, and the end
-    top = words.where((F.col("c") >= word_share * total) | (F.col("word") == F.lit(END))).orderBy("word").toArrow()
-    frequent = [(w, int(c)) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)]
-    symbols, n_rare = {w: i for i, (w, _) in enumerate(frequent)}, total - sum(c for _, c in frequent)
-    counts = [c for _, c in frequent] + [n_rare]
-    width = len(counts)
-    grams: list[dict[int, int]] = [{i: c for i, c in enumerate(counts)}]
-    for size in range(2, order + 1):
-        kept = np.array(sorted(g for g, c in grams[-1].items() if c >= gram_share * total and c), np.int64)
-        if not len(kept) or width**size >= 1 << 62:
-            break
-        shared = spark.sparkContext.broadcast({"symbols": symbols, "width": width, "kept": kept})
-        level = written(train.mapInArrow(_count_grams(shared, size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= gram_share * total), f"grams{size}")
-        got = level.toArrow()  # at most 1 / gram_share rows
-        forget(level)
-        grams.append(dict(zip(got["gram"].to_pylist(), got["n"].to_pylist(), strict=True)))
-        shared.unpersist()
-    return {"words": words, "total": int(total), "types": int(types), "frequent": frequent, "n_rare": int(n_rare), "width": width, "automaton": automaton(frequent, int(n_rare), int(total), int(types), grams[1:], width)}
-
-
-def automaton(frequent: list[tuple[bytes, int]], n_rare: int, total: int, types: int, grams: list[dict[int, int]], width: int) -> dict:
-    """arcs[state][symbol] = (log10 p, next state), backoff[state] (log10) and fail[state]; state 0 is the empty context."""
-    size = total + types + 1
-    unigram = [(c + 1) / size for _, c in frequent] + [(n_rare + types - len(frequent) + 1) / size]
-    count = {(i,): c for i, (_, c) in enumerate(frequent)} | {(width - 1,): n_rare}
-    levels: list[list[tuple[int, ...]]] = []
-    for n, level in enumerate(grams, 2):
-        names = []
-        for code in sorted(level):
-            rest, name = code, ()
-            for _ in range(n):
-                rest, last = divmod(rest, width)
-                name = (last, *name)
-            count[name] = level[code]
-            names.append(name)
-        levels.append(names)
-    states: dict[tuple[int, ...], int] = {(): 0}
-    for names in levels:
-        for name in names:
-            states.setdefault(name[:-1], len(states))
-
-    def state_of(context: tuple[int, ...]) -> int:
-        while context not in states:
-            context = context[1:]
-        return states[context]
-
-    arcs: list[dict[int, tuple[float, int]]] = [{} for _ in states]
-    backoff, fail = [0.0] * len(states), [0] * len(states)
-    arcs[0] = {s: (math.log10(p), state_of((s,))) for s, p in enumerate(unigram)}
-
-    def p_of(state: int, symbol: int) -> float:
-        log = 0.0
-        while symbol not in arcs[state]:
-            log += backoff[state]
-            state = fail[state]
-        return 10 ** (log + arcs[state][symbol][0])
-
-    for names in levels:
-        own: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
-        for name in names:
-            own.setdefault(name[:-1], []).append(name)
-        for context, followers in own.items():
-            at = states[context]
-            fail[at] = state_of(context[1:])
-            kept = left = 0.0
-            for name in followers:
-                p = (count[name] - DISCOUNT) / count[context]
-                kept += p
-                left += p_of(fail[at], name[-1])
-                arcs[at][name[-1]] = (math.log10(p), state_of(name))
-            backoff[at] = math.log10(max(1 - kept, 1e-12) / max(1 - left, 1e-12))
-    return {"arcs": arcs, "backoff": backoff, "fail": fail}
-
-
-class State(dict):
-    """symbol -> (log10 p, next state); steps through failure arcs are resolved once and remembered, MEMO of them at most."""
-
-    __slots__ = ("arcs", "backoff", "fail", "machine")
-
-    def __missing__(self, symbol: int) -> tuple[float, State]:
-        log, at = 0.0, self
-        while symbol not in at.arcs:
-            log += at.backoff
-            at = at.fail
-        p, to = at.arcs[symbol]
-        step = (log + p, self.machine[to])
-        if self.machine.held < MEMO:
-            self.machine.held += 1
-            self[symbol] = step
-        return step
-
-
-class Machine(list):
-    """The states of an automaton, linked."""
-
-    held = 0
-
-    def __init__(self, machine: dict):
-        super().__init__(State() for _ in machine["arcs"])
-        for i, state in enumerate(self):
-            state.arcs, state.backoff, state.fail, state.machine = machine["arcs"][i], machine["backoff"][i], self[machine["fail"][i]], self
-
-    def walk(self, symbols: list[int]) -> float:
-        total, state = 0.0, self[0]
-        for symbol in symbols:
-            p, state = state[symbol]
-            total += p
-        return total
-
-
-BLOCKS = "block long, ids array<{0}>, tkeys array<long>, held array<boolean>, sizes array<int>, symbols binary, vocabulary binary"
-ASKED = "bucket int, block long, size int, grams binary, sent array<binary>"
-ANSWERS = "block long, bucket int, size int, answer array<binary>, types long"
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> dict:
+    """The model of the rows that are not held out. It is counted where it is asked, so this names its rows only."""
+    return {"docs": docs, "text": text, "doc_id": doc_id, "order": order}
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -543,7 +366,7 @@ def _whole(docs: DataFrame, model: dict, text: str, doc_id: str) -> tuple[DataFr
     chars = rows.agg(F.sum(F.length(model["text"]))).first()[0] or 0
     if same:
         # blocks stay where they are: only answers are shuffled to them
-        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // (6 * BLOCK))
+        n = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // (6 * BLOCK)), MOST_BUCKETS)
         made = bucketed(blocks(0, docs, text, doc_id, held_out(doc_id)), "block", n, "blocks")
         asking, tables = made, [made]
     else:
@@ -577,77 +400,20 @@ def _whole(docs: DataFrame, model: dict, text: str, doc_id: str) -> tuple[DataFr
     return walked, int(total)
 
 
-FIRST = "id {0}, tkey long, n_tokens long, n_known long, base double, walk double, rare array<struct<word:binary,n:int>>"
-
-
 def score(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with held_out, n_tokens, n_known, train_tokens, base_score and score added.
 
     Whole texts are scored; a null text is empty and has the end alone. base_score is the add-one unigram log10
-    probability; score that of the automaton. Rows of equal id and text have equal scores. Columns of ``docs`` named like the
+    probability; score that of the automaton. An empty table gives no rows. Rows of equal id and text have equal scores. Columns of ``docs`` named like the
     added ones are replaced. Without training rows every token is new to both models.
     """
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in added]
-    if "docs" in model:
-        per, total = _whole(docs, model, text, doc_id)
-        per = per.select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("walk").alias("score"))
-    else:
-        per, total = _bounded(docs, model, text, doc_id), model["total"]
+    per, total = _whole(docs, model, text, doc_id)
+    per = per.select(F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("walk").alias("score"))
     key, own, of, at = free(docs, "__key", "__own", "__of", "__at")
     per = per.groupBy(F.col("__id").alias(of), F.col("__t").alias(at)).agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     # the key is a column of its own, so that the join needs no text
     rows = docs.select(*rest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(key), F.col(doc_id).alias(own), held_out(doc_id).alias("held_out"))
     on = (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(of))
     return rows.join(per, on, "left").select(*rest, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _bounded(docs: DataFrame, model: dict, text: str, doc_id: str) -> DataFrame:
-    """Scores of all rows by the bounded automaton."""
-    kind = dict(docs.dtypes)[doc_id]
-    total, types, frequent = model["total"], model["types"], model["frequent"]
-    rare_size = model["n_rare"] + types - len(frequent) + 1
-    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("frequent", "automaton")})
-    size = total + types + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, walk = {w: i for i, (w, _) in enumerate(shared.value["frequent"])}, Machine(shared.value["automaton"]).walk
-        rare = len(table)
-        logs = np.array([math.log10((c + 1) / size) for _, c in shared.value["frequent"]] + [0.0])
-        for batch in slices(batches):
-            out, words, sizes, bounds = [], [], [], [0]
-            for body in batch.column(2).to_pylist():
-                names = tokens(body)
-                ids = symbols_of(names, table, rare)
-                at = np.array(ids)
-                new = at == rare
-                n_rare = int(new.sum())
-                seen = Counter([names[i] for i in np.flatnonzero(new).tolist()]) if n_rare else {}
-                words += seen.keys()
-                sizes += seen.values()
-                bounds.append(len(words))
-                out.append((len(ids), len(ids) - n_rare, float(logs[at].sum()), walk(ids)))
-            if not out:
-                continue
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(sizes, pa.int32())], ["word", "n"])
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], ["id", "tkey", "n_tokens", "n_known", "base", "walk", "rare"])
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.xxhash64(body)
-    first = docs.select(F.col(doc_id).alias("id"), key.alias("tkey"), body.alias("body")).mapInArrow(run, FIRST.format(kind))
-    first = written(first.withColumn("row", F.monotonically_increasing_id()), "walked")
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    held = model["words"].select(F.col("word").alias("w"), "c")
-    more = rare.join(held, F.col("word") == F.col("w"), "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size)))).alias("b"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(rare_size)))).alias("s"),
-    )
-    zero = F.lit(0.0)
-    return first.drop("rare").join(more, "row", "left").select(
-        F.col("id").alias("__id"), F.col("tkey").alias("__t"), "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("walk") + F.coalesce("s", zero)).alias("score"),
-    )

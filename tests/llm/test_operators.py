@@ -257,70 +257,6 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_language_model(docs):
-    model = lm_automaton.fit(docs, word_share=0.003, gram_share=0.001)
-    got = table(lm_automaton.score(docs, model))
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in ROWS}
-    counts = Counter(w for i, t, *_ in ROWS if not held[i] for w in lm_automaton.tokens(t))
-    total, types = sum(counts.values()), len(counts)
-    machine, frequent = model["automaton"], [w for w, _ in model["frequent"]]
-    assert len(frequent) < types  # the class of rare words is in use
-    n_rare = total - sum(counts[w] for w in frequent)
-    size = n_rare + types - len(frequent) + 1
-
-    def step(state, symbol):
-        log = 0.0
-        while symbol not in machine["arcs"][state]:
-            log, state = log + machine["backoff"][state], machine["fail"][state]
-        p, to = machine["arcs"][state][symbol]
-        return log + p, to
-
-    for state in range(len(machine["arcs"])):
-        assert sum(10 ** step(state, s)[0] for s in range(model["width"])) == pytest.approx(1)
-    assert len(machine["arcs"]) > 5
-    for i, t, *_ in ROWS:
-        words = lm_automaton.tokens(t)
-        base = sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in words)
-        score, state = 0.0, 0
-        for w in words:
-            p, state = step(state, frequent.index(w) if w in frequent else len(frequent))
-            score += p + (0 if w in frequent else math.log10((counts[w] + 1) / size))
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(words), sum(counts[w] > 0 for w in words), total)
-        assert r.base_score == pytest.approx(base)
-        assert r.score == pytest.approx(score)
-
-
-def test_grams_are_counted_over_all_training_rows(docs):
-    model = lm_automaton.fit(docs, order=2, word_share=0.0, gram_share=0.0)
-    width, frequent = model["width"], [w for w, _ in model["frequent"]]
-    pairs = Counter()
-    for i, t, *_ in ROWS:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            w = lm_automaton.tokens(t)
-            pairs.update(zip(w, w[1:], strict=False))
-    counts = dict(model["frequent"])
-    arcs = model["automaton"]["arcs"]
-    assert sum(len(a) for a in arcs[1:]) == len(pairs)
-    best = pairs.most_common(1)[0]
-    logs = [a[frequent.index(best[0][1])][0] for a in arcs[1:] if frequent.index(best[0][1]) in a]
-    assert any(x == pytest.approx(math.log10((best[1] - 0.5) / counts[best[0][0]])) for x in logs)
-    assert width == len(frequent) + 1
-
-
-def test_whole_model_is_the_automaton_of_all_grams_that_occur_twice(docs, monkeypatch):
-    monkeypatch.setattr(lm_automaton, "BUCKET_CHARS", 5000)
-    total = table(lm_automaton.score(docs, lm_automaton.fit(docs)))[0].train_tokens
-    bounded = table(lm_automaton.score(docs, lm_automaton.fit(docs, word_share=0.0, gram_share=2 / total)))
-    whole = table(lm_automaton.score(docs, lm_automaton.fit(docs)))
-    other = table(lm_automaton.score(docs.where("doc_id % 2 = 0"), lm_automaton.fit(docs)))
-    assert set(whole) == set(bounded) and set(other) == {i for i in whole if i % 2 == 0}
-    for i, r in bounded.items():
-        for got in (whole[i], other.get(i, whole[i])):
-            assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (r.held_out, r.n_tokens, r.n_known, r.train_tokens)
-            assert (got.base_score, got.score) == (pytest.approx(r.base_score), pytest.approx(r.score))
-
-
 def test_grams_that_occur_twice_count_in_a_large_corpus(spark):
     rng = random.Random(5)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
