@@ -390,6 +390,25 @@ def _(spark, sf):
     return shown(coupling.template_events(coupled(spark, sf)).withColumn("sample", F.concat_ws("|", "sample", "transcript")))
 
 
+@register("annotated_template_events", f"""WITH {READS}, {TRANSCRIPTS}, ij AS (SELECT sample || '|' || transcript AS sample, chromosome, strand, parts, unnest(range(1, len(parts))) AS x FROM cp WHERE len(parts) > 1),
+junctions AS (SELECT sample, chromosome, strand, CAST(parts[x] * 40 + 100 AS INT) AS "start", CAST(parts[x + 1] * 40 + 90 AS INT) AS "end", count(*) AS "count" FROM ij GROUP BY ALL), {PSI}, {SE}, {ALT}, {MXE},
+ev AS (SELECT * FROM se UNION ALL SELECT * FROM alt UNION ALL SELECT * FROM alt2 UNION ALL SELECT * FROM mxe),
+tex AS (SELECT transcript, p * 40 + 91 AS xs, p * 40 + 99 AS xe, 'E' || p AS exon_id, split_part(transcript, '.', 1) AS gene FROM (SELECT transcript, unnest(ps) AS p FROM tr)),
+m AS (SELECT ev.*, e.* FROM ev JOIN tex e ON e.transcript = substr(ev.sample, 3) AND CASE event WHEN 'SE' THEN "start" <= xs AND "end" >= xe WHEN 'MXE' THEN (sites[2] <= xs AND sites[3] >= xe) OR (sites[4] <= xs AND sites[5] >= xe)
+  ELSE CASE WHEN sites[1] = sites[2] THEN abs(sites[3] - xs) <= 3 OR abs(sites[4] - xs) <= 3 ELSE abs(sites[1] - xe) <= 3 OR abs(sites[2] - xe) <= 3 END END),
+k AS (SELECT *, CASE WHEN abs("start" - xs) <= 1 AND abs("end" - xe) <= 1 THEN 'exact' WHEN abs("start" - xs) <= 1 OR abs("end" - xe) <= 1 THEN 'part' ELSE 'other' END AS kind, sites[2] <= xs AND sites[3] >= xe AS in1, sites[4] <= xs AND sites[5] >= xe AS in2 FROM m),
+f AS (SELECT sample, event, chromosome, "start", "end", strand, sites, CASE WHEN event <> 'SE' THEN 'NA' WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'single' END AS subtype, event = 'MXE' AND NOT (bool_or(in1) AND bool_or(in2)) AS is_novel,
+  list(DISTINCT exon_id ORDER BY exon_id) AS exons, list(DISTINCT gene ORDER BY gene) AS genes, list(DISTINCT transcript ORDER BY transcript) AS transcripts FROM k GROUP BY sample, event, chromosome, "start", "end", strand, sites),
+a AS (SELECT substr(ev.sample, 1, 1) AS sample, ev.event, ev.chromosome, ev."start", ev."end", ev.strand, ev.sites, ev.psi, coalesce(f.subtype, 'NA') AS subtype, coalesce(f.is_novel, true) AS is_novel, f.exons, f.genes, f.transcripts
+  FROM ev LEFT JOIN f ON ev.sample = f.sample AND ev.event = f.event AND ev.chromosome = f.chromosome AND ev.strand = f.strand AND ev.sites = f.sites AND ev."start" = f."start" AND ev."end" = f."end"),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY sample, event, chromosome, "start", "end", strand, sites ORDER BY is_novel, transcripts NULLS FIRST, exons NULLS FIRST, psi) = 1)
+SELECT sample, event, chromosome, "start", "end", strand, array_to_string(sites, '-') AS sites, round(psi, 6) AS psi, subtype, is_novel, coalesce(array_to_string(exons, ','), 'NA') AS exons, coalesce(array_to_string(genes, ','), 'NA') AS genes, coalesce(array_to_string(transcripts, ','), 'NA') AS transcripts FROM b""")
+def _(spark, sf):
+    each = part_transcripts(spark, sf).select("transcript", "gene", "chromosome", "strand", F.explode("exons").alias("x"))
+    exons = each.select("transcript", "gene", "chromosome", "x.start", "x.end", "strand", "x.exon_id")
+    return annotated(coupling.annotated_template_events(coupled(spark, sf), exons))
+
+
 UNIFY = f"""WITH RECURSIVE {READS}, o AS (SELECT sample, name, chromosome, strand, "start", "end", n, parts, row_number() OVER (PARTITION BY sample, chromosome, "start" ORDER BY "end", n, parts, strand, name) AS k FROM reads),
 f AS (SELECT sample, chromosome, "start", k, name, name AS leader, strand AS ls, "end" AS le, n AS ln, parts AS lp FROM o WHERE k = 1
   UNION ALL SELECT o.sample, o.chromosome, o."start", o.k, o.name, CASE WHEN same THEN leader ELSE o.name END, CASE WHEN same THEN ls ELSE o.strand END, CASE WHEN same THEN le ELSE o."end" END, CASE WHEN same THEN ln ELSE o.n END, CASE WHEN same THEN lp ELSE o.parts END

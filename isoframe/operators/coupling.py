@@ -64,13 +64,14 @@ def template_events(pairs: DataFrame, error: int = ERROR) -> DataFrame:
 
 
 def annotated_template_events(pairs: DataFrame, transcript_exons: DataFrame, error: int = ERROR) -> DataFrame:
-    """Template events, each annotated with the exons of its own transcript; of an event of several, the first that knows it."""
+    """Template events, each annotated with the exons of its own transcript; of an event of several, the first that knows it
+    (of those that tie, the least ratio)."""
     own = transcript_exons.select(F.concat_ws("\x01", "chromosome", "transcript").alias("chromosome"), "start", "end", "strand", "transcript", "gene", "exon_id")
     # the transcript is part of the place, so that an event meets no other's exons
     placed = template_events(pairs, error).withColumn("chromosome", F.concat_ws("\x01", "chromosome", "transcript"))
     found = annotate(placed.drop("transcript"), exon_sets(own)).withColumn("chromosome", F.substring_index("chromosome", "\x01", 1))
     event = EVENT_KEY
-    first = F.min_by(F.struct(*[c for c in found.columns if c not in event]), F.struct("is_novel", "transcripts", "exons"))
+    first = F.min_by(F.struct(*[c for c in found.columns if c not in event]), F.struct("is_novel", "transcripts", "exons", "psi"))
     return found.groupBy(*event).agg(first.alias("f")).select(*event, "f.*")
 
 

@@ -126,3 +126,22 @@ def test_not_bam(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(b"hello")
     with pytest.raises(Exception, match="not a BAM file"):
         alignments.read_bam(spark, str(tmp_path / "x.bam")).collect()
+
+
+def test_a_bam_input_is_its_own_depth(spark, indexed):
+    """Of indexed files only what lies in the regions is read; depth there is that of the whole file."""
+    from isoframe.operators import retention
+    from isoframe.plans import commands
+
+    paths, _ = indexed
+    path = paths[0]
+    name = path.rpartition("/")[2]
+    whole = commands.depth_blocks(spark, [path], None, own=True)
+    chromosome, start = (r := whole.orderBy("r_start").first()).chromosome, r.r_start
+    retained = spark.createDataFrame([(name, chromosome, start + 50, start + 4000), (name, chromosome, start + 900_000, start + 900_700)], "sample string, chromosome string, intron_start int, intron_end int").withColumn("psi", whole.sparkSession.range(1).selectExpr("CAST(NULL AS DOUBLE)").scalar())
+    near = commands.depth_blocks(spark, [path], None, own=True, regions=retention.depth_regions(retained))
+    assert 0 < near.count() < whole.count()
+    ratios = lambda blocks: sorted((r.intron_start, r.psi) for r in retention.with_depth(retained, blocks).collect())
+    assert ratios(near) == ratios(whole)
+    assert any(p is not None for _, p in ratios(near))
+    assert commands.depth_blocks(spark, [path], None) is None
