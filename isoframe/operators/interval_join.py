@@ -45,7 +45,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: in
     Left needs start and end, right r_start and r_end, and no other common column than ``on``. A pair is kept only in the bin
     where both are first together, so none is repeated. ``condition`` is any further test. Invalid or null intervals meet
     nothing. Which levels the data has is found by a subquery over both sides' lengths, so a side that is dear to make should
-    be written first. Skewed keys are split by the adaptive sort-merge join.
+    be written first. Both sides are shuffled, whatever their files measure: rows are dealt to bins after the scan, which no estimate
+    knows, and a side taken for small would go whole through the driver. Skewed keys are split by the adaptive sort-merge join.
     """
     a, b = left.where("end >= start"), right.where("r_end >= r_start")
     lo, hi = F.col("start") - slack, F.col("end") + slack
@@ -53,19 +54,21 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: in
     found = levels.agg(F.collect_set("x")).scalar()
     a = dealt(a, lo, hi, found, bin_size)
     b = dealt(b, F.col("r_start"), F.col("r_end"), found, bin_size).drop("__lo", "__hi").withColumnRenamed("__own", "__other")
-    joined = a.join(b, [*on, "__level", "__bin"]).where("__lo <= r_end AND __hi >= r_start AND __level = greatest(__own, __other)")
+    joined = a.join(b.hint("merge"), [*on, "__level", "__bin"]).where("__lo <= r_end AND __hi >= r_start AND __level = greatest(__own, __other)")
     joined = joined.where(F.col("__bin") == bin_of(F.greatest("__lo", "r_start"), F.col("__level"), bin_size))
     if condition is not None:
         joined = joined.where(condition)
     return joined.drop("__lo", "__hi", "__own", "__other", "__level", "__bin")
 
 
-def similar_join(left: DataFrame, right: DataFrame, on: list[str], percent: float, condition: Column) -> DataFrame:
+def similar_join(left: DataFrame, right: DataFrame, on: list[str], percent: float, condition: Column, around: str = "right", known: bool = False) -> DataFrame:
     """Pairs that share ``percent`` (more than 0) of their hull, or a little less, and pass ``condition``.
 
     Columns as in ``interval_join``; lengths are end - start. What shares a part p of its hull differs in length by 1/p at most,
-    and its starts lie within (1/p - 1) times either length. So the left side is dealt to one (band of lengths, cell of starts)
-    each, and the right side looks into the bands and cells next to its own: nine, whatever else overlaps there.
+    and its starts lie within (1/p - 1) times either length. So one side is dealt to one (band of lengths, cell of starts)
+    each, and the side named by ``around`` looks into the bands and cells next to its own: nine, whatever else overlaps there.
+    With ``known`` it looks only into bands that the other side has, which is read once more for that. Both sides are shuffled,
+    as in ``interval_join``.
     """
     p = min(percent, 99.0) / 100
     step = -math.log(p) * (1 + 1e-6)  # so that rounding cannot put a pair two bands apart
@@ -74,12 +77,19 @@ def similar_join(left: DataFrame, right: DataFrame, on: list[str], percent: floa
     # cells of a band are as wide as starts of its longest may lie apart
     width = lambda k: F.ceil(F.exp((k + 1) * step) * (1 / p - 1)).cast("long") + 1
     cell = lambda place, k: F.floor(F.col(place) / width(k)).cast("long")
-    a = left.where("end >= start").withColumn("__band", band("start", "end"))
-    a = a.withColumn("__cell", cell("start", F.col("__band")))
-    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    b = right.where("r_end >= r_start").withColumn("__band", around(band("r_start", "r_end")))
-    b = b.withColumn("__cell", around(cell("r_start", F.col("__band"))))
-    return a.join(b, [*on, "__band", "__cell"]).where(condition).drop("__band", "__cell")
+    next_to = lambda c: F.sequence(c - 1, c + 1)
+    sides = {"left": (left.where("end >= start"), "start", "end"), "right": (right.where("r_end >= r_start"), "r_start", "r_end")}
+    wide, wide_from, wide_to = sides.pop(around)
+    [(one, one_from, one_to)] = sides.values()
+    one = one.withColumn("__band", band(one_from, one_to))
+    bands = next_to(band(wide_from, wide_to))
+    if known:
+        bands = F.array_intersect(bands, one.agg(F.collect_set("__band")).scalar())
+    one = one.withColumn("__cell", cell(one_from, F.col("__band")))
+    wide = wide.withColumn("__band", F.explode(bands))
+    wide = wide.withColumn("__cell", F.explode(next_to(cell(wide_from, F.col("__band")))))
+    a, b = (wide, one) if around == "left" else (one, wide)
+    return a.join(b.hint("merge"), [*on, "__band", "__cell"]).where(condition).drop("__band", "__cell")
 
 
 def both_strands(df: DataFrame) -> DataFrame:

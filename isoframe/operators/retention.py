@@ -36,7 +36,7 @@ def retained_introns(events: DataFrame, transcript_exons: DataFrame, percent: fl
     left = both_strands(event_gaps(events).distinct())
     right = exon_gaps(transcript_exons).withColumnRenamed("strand", "join_strand")
     ratio = overlap_percent(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end"), "hull")
-    pairs = similar_join(left, right, ["chromosome", "join_strand"], percent, ratio > percent)
+    pairs = similar_join(left, right, ["chromosome", "join_strand"], percent, ratio > percent, around="left")
     return pairs.select(
         *GRAPH,
         F.lit("IR").alias("event"),

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt to many tasks: a small file is read in one, and each of its rows becomes many."""
+    return table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def junctions(spark: SparkSession, sf_dir: str, by_sample: bool = False) -> DataFrame:
     """Junctions counted from line items; one sample, or one for each return flag."""
     sample = "l_returnflag" if by_sample else "'all'"
@@ -27,7 +32,7 @@ def junctions(spark: SparkSession, sf_dir: str, by_sample: bool = False) -> Data
 
 def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exon for each part, on every chromosome and strand."""
-    rows = table(spark, sf_dir, "part").selectExpr(
+    rows = parts(spark, sf_dir).selectExpr(
         "CAST(p_partkey * 40 + 91 AS INT) AS start", "CAST(p_partkey * 40 + 99 AS INT) AS end", "p_brand AS gene",
         "concat(p_brand, '.', p_size % 3) AS tr", "concat('E', p_partkey) AS exon_id",
     )

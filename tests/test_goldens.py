@@ -241,3 +241,21 @@ def test_ratios_of_a_node_sum_to_one(spark, rows):
 def test_empty_inputs(spark):
     assert events.all_events(graph(spark, []).limit(0)).count() == 0
     assert isoforms.unify(reads(spark, []).limit(0)).count() == 0
+
+
+def test_no_side_of_a_place_join_goes_through_the_driver(spark):
+    # the files of one side are small, its dealt rows need not be: estimates would broadcast either side
+    a = spark.range(50).selectExpr("'1' AS c", "CAST(id * 7 AS INT) AS start", "CAST(id * 7 + id % 90 AS INT) AS end")
+    b = spark.range(50).selectExpr("'1' AS c", "CAST(id * 9 AS INT) AS r_start", "CAST(id * 9 + id % 70 AS INT) AS r_end")
+    want = {(x.start, x.end, y.r_start, y.r_end) for x in a.collect() for y in b.collect() if x.start <= y.r_end and x.end >= y.r_start}
+    found = interval_join(a, b, ["c"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.start, r.end, r.r_start, r.r_end) for r in found.collect()} == want
+    ratio = iv.overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")
+    near = {p for p in want if (max(p[1], p[3]) - min(p[0], p[2])) * 60 <= 100 * (min(p[1], p[3]) - max(p[0], p[2])) and max(p[1], p[3]) > min(p[0], p[2])}
+    assert near
+    for around in ("left", "right"):
+        for known in (False, True):
+            found = similar_join(a, b, ["c"], 60.0, ratio >= 60, around, known)
+            assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.start, r.end, r.r_start, r.r_end) for r in found.collect()) == sorted(near)
