@@ -17,7 +17,7 @@ from isoframe.operators import annotate, coupling, events, isoforms, junctions,
 from isoframe.operators.interval_join import interval_join
 from isoframe.plans import views
 from isoframe.schemas import GRAPH
-from isoframe.scratch import new_path
+from isoframe.scratch import new_path, written
 from isoframe.sources import alignments, annotation, junction_files
 
 BIN = 256
@@ -349,18 +349,25 @@ cp AS (SELECT r.sample, r.name, t.transcript, r.parts, r.chromosome, r.strand, (
 READ_PERCENT = 60.0
 
 
+def part_exon(p):
+    return F.struct((p * 40 + 91).cast("int").alias("start"), (p * 40 + 99).cast("int").alias("end"), F.concat(F.lit("E"), p.cast("string")).alias("exon_id"))
+
+
 def part_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    """Transcripts of 20, 60 and 140 parts from every part on."""
-    rows = views.table(spark, sf, "part").select("p_partkey", F.explode(F.array(F.lit(20), F.lit(60), F.lit(140))).alias("k"))
+    """Transcripts of 20, 60 and 140 parts from every part on, without their exons (``part_exons``)."""
+    rows = views.parts(spark, sf).select("p_partkey", F.explode(F.array(F.lit(20), F.lit(60), F.lit(140))).alias("k"))
     rows = rows.withColumn("chromosome", F.explode(F.array(*[F.lit(str(c)) for c in range(1, 6)]))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
     name = F.concat_ws("|", F.concat_ws(".", "p_partkey", "k"), "chromosome", "strand")
-    exon = lambda p: F.struct((p * 40 + 91).cast("int").alias("start"), (p * 40 + 99).cast("int").alias("end"), F.concat(F.lit("E"), p.cast("string")).alias("exon_id"))
-    rows = rows.withColumn("exons", F.transform(F.sequence("p_partkey", F.col("p_partkey") + F.col("k") - 1), exon))
-    return rows.select(name.alias("transcript"), F.col("p_partkey").cast("string").alias("gene"), "chromosome", "strand", F.element_at("exons", 1)["start"].alias("start"), F.element_at("exons", -1)["end"].alias("end"), "exons")
+    first, last = part_exon(F.col("p_partkey")), part_exon(F.col("p_partkey") + F.col("k") - 1)
+    return rows.select(name.alias("transcript"), F.col("p_partkey").cast("string").alias("gene"), "chromosome", "strand", first["start"].alias("start"), last["end"].alias("end"), "p_partkey", "k")
+
+
+def part_exons():
+    return F.transform(F.sequence("p_partkey", F.col("p_partkey") + F.col("k") - 1), part_exon)
 
 
 def coupled(spark: SparkSession, sf: str) -> DataFrame:
-    return coupling.couple(part_transcripts(spark, sf), views.reads(spark, sf), 3, READ_PERCENT)
+    return coupling.couple(part_transcripts(spark, sf), views.reads(spark, sf), 3, READ_PERCENT, part_exons())
 
 
 @register("read_transcript_coupling", f"WITH {READS}, {TRANSCRIPTS} SELECT sample, name, transcript, round(pc, 6) AS overlap FROM cp")
@@ -404,9 +411,11 @@ a AS (SELECT substr(ev.sample, 1, 1) AS sample, ev.event, ev.chromosome, ev."sta
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY sample, event, chromosome, "start", "end", strand, sites ORDER BY is_novel, transcripts NULLS FIRST, exons NULLS FIRST, psi) = 1)
 SELECT sample, event, chromosome, "start", "end", strand, array_to_string(sites, '-') AS sites, round(psi, 6) AS psi, subtype, is_novel, coalesce(array_to_string(exons, ','), 'NA') AS exons, coalesce(array_to_string(genes, ','), 'NA') AS genes, coalesce(array_to_string(transcripts, ','), 'NA') AS transcripts FROM b""")
 def _(spark, sf):
-    each = part_transcripts(spark, sf).select("transcript", "gene", "chromosome", "strand", F.explode("exons").alias("x"))
+    pairs = written(coupled(spark, sf), "coupled")
+    own = part_transcripts(spark, sf).join(pairs.select("transcript").distinct(), "transcript", "left_semi")
+    each = own.select("transcript", "gene", "chromosome", "strand", F.explode(part_exons()).alias("x"))
     exons = each.select("transcript", "gene", "chromosome", "x.start", "x.end", "strand", "x.exon_id")
-    return annotated(coupling.annotated_template_events(coupled(spark, sf), exons))
+    return annotated(coupling.annotated_template_events(pairs, exons))
 
 
 UNIFY = f"""WITH RECURSIVE {READS}, o AS (SELECT sample, name, chromosome, strand, "start", "end", n, parts, row_number() OVER (PARTITION BY sample, chromosome, "start" ORDER BY "end", n, parts, strand, name) AS k FROM reads),

@@ -9,13 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoframe.scratch import new_path, shared_dir, written  # noqa: F401
+from isoframe.scratch import BROADCAST_BYTES, new_path, shared_dir, small, written, written_bytes  # noqa: F401
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Largest table, as written, that is sent to every executor; beyond it joins shuffle both sides.
-BROADCAST_BYTES = 32 << 20
 #: An Arrow batch of texts; executors hold some copies of one outside their heap for each task.
 ARROW_BYTES = 4 << 20
 
@@ -42,11 +40,6 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     return out
 
 
-def written_bytes(spark: SparkSession, path: str) -> int:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-
-
 def forget(df: DataFrame) -> None:
     """Deletes a written table that no later plan reads."""
     spark, path = df.sparkSession, df.isoframe_path
@@ -71,11 +64,6 @@ class Scratch:
             forget(table)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, to be broadcast only if its files are within ``limit`` bytes."""
-    return F.broadcast(df) if written_bytes(df.sparkSession, df.isoframe_path) <= limit else df
-
-
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of a few rows, so that texts become Python objects a few at a time."""
     for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoframe.functions.cigar import fuzzy_matches, sites_of
@@ -11,6 +11,7 @@ from isoframe.operators.annotate import annotate
 from isoframe.operators.events import ERROR, all_events
 from isoframe.operators.interval_join import similar_join
 from isoframe.schemas import EVENT_KEY, GRAPH
+from isoframe.scratch import once, small, written
 from isoframe.sources.annotation import exon_sets
 
 
@@ -24,18 +25,26 @@ def assemble_transcripts(transcript_exons: DataFrame) -> DataFrame:
     return transcript_exons.groupBy("transcript", "gene", "chromosome", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(exon)).alias("exons"))
 
 
-def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent: float = 90.0) -> DataFrame:
+def couple(transcripts: DataFrame, reads: DataFrame, error: int = ERROR, percent: float = 90.0, exons: Column | None = None) -> DataFrame:
     """Pairs of a read and a transcript of its strand that overlap by ``percent`` of their hull and share two sites.
 
-    reads: sample, name, chromosome, strand, start, end, exons; sites match within ``error``.
+    reads: sample, name, chromosome, strand, start, end, exons; sites match within ``error``. Places meet first, without exons,
+    and only reads and transcripts at places that overlap so far are joined with their sites; pairs of places are written. ``exons``, if not a column of the
+    transcripts, is made of their columns for those only.
     """
-    right = transcripts.select("chromosome", "strand", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "transcript", "gene", F.concat(F.array("start"), sites_of(F.col("exons")), F.array("end")).alias("r_sites"))
-    # sites are columns of both sides: inside a lambda they would be made anew for every comparison
-    left = reads.withColumn("__sites", sites_of(F.col("exons")))
+    place, r_place = ["chromosome", "strand", "start", "end"], ["chromosome", "strand", "r_start", "r_end"]
+    right = transcripts.withColumnsRenamed({"start": "r_start", "end": "r_end"})
     ratio = overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")
-    test = overlaps_within(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), error) & (ratio >= percent) & (fuzzy_matches(F.col("__sites"), F.col("r_sites"), error) >= 2)
-    pairs = similar_join(left, right, ["chromosome", "strand"], percent, test)
-    return pairs.withColumn("overlap", overlap_percent(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), "hull")).drop("r_start", "r_end", "r_sites", "__sites")
+    reads = once(reads, "reads")
+    met = similar_join(reads.select(*place).distinct(), right.select(*r_place), place[:2], percent, ratio >= percent, around="left", known=True)
+    met = written(met.select(*place, "r_start", "r_end").distinct(), "places")
+    right = right.join(small(met), r_place, "left_semi")
+    right = right.select(*r_place, "transcript", "gene", F.concat(F.array("r_start"), sites_of(F.col("exons") if exons is None else exons), F.array("r_end")).alias("r_sites"))
+    # sites are columns of both sides: inside a lambda they would be made anew for every comparison
+    left = reads.join(small(met), place).withColumn("__sites", sites_of(F.col("exons")))
+    test = overlaps_within(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), error) & (fuzzy_matches(F.col("__sites"), F.col("r_sites"), error) >= 2)
+    pairs = left.join(right.hint("merge"), r_place).where(test)
+    return pairs.withColumn("overlap", ratio).drop("r_start", "r_end", "r_sites", "__sites")
 
 
 def novel_reads(reads: DataFrame, pairs: DataFrame) -> DataFrame:
