@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,20 +59,73 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
             pass
 
 
+class Fold:
+    """The fold of reads that come in batches, in order; a segment begins with its leader of ``before``, if it has one.
+
+    A row that one leader absorbs together with the row before is of that row's place, strand and number of exons, its ends less
+    than twice ``error`` away. Any other is a leader, whatever came before; so only rows near the one before are compared.
+    """
+
+    def __init__(self, error: int, match: str, before: dict[int, dict]):
+        self.error, self.match, self.before = error, match, before
+        self.part, self.leader = None, None
+
+    def _near(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Whether each row but the first is near the one before."""
+        values = [pc.list_value_length(batch.column("exons")), *(batch.column(c) for c in ("part", *PLACE, "strand"))]
+        same = [np.asarray(pc.fill_null(pc.equal(v[1:], v[:-1]), True)) for v in values]
+        close = [np.abs(np.diff(np.asarray(batch.column(c)).astype(np.int64))) < 2 * self.error for c in ("start", "end")]
+        return np.logical_and.reduce([*same, *close])
+
+    def take(self, batch: pa.RecordBatch) -> tuple[np.ndarray, list[dict]]:
+        """The place of each row's leader in the batch; those beyond its end are of the leaders from before, returned with it."""
+        n, parts, older = batch.num_rows, np.asarray(batch.column("part")), []
+        at = np.arange(n)
+        row = lambda i: batch.slice(i, 1).to_pylist()[0]
+        opens = np.concatenate([[parts[0] != self.part], parts[1:] != parts[:-1]])
+        tried = np.concatenate([[True], self._near(batch)]) | opens
+        leader, last = self.leader, -1
+        for i in np.flatnonzero(tried).tolist():
+            if opens[i]:
+                leader = self.before.get(int(parts[i]))
+                place = n + len(older)
+            elif last != i - 1:
+                leader, place = row(i - 1), i - 1
+            elif i == 0:
+                place = n
+            last, own = i, row(i)
+            if leader is not None and absorbs(leader, own, self.error, self.match):
+                if place == n + len(older):
+                    older.append(leader)
+                at[i] = place
+            else:
+                leader, place = own, i
+        self.part, self.leader = int(parts[-1]), leader if last == n - 1 else row(n - 1)
+        return at, older
+
+
 def _ends(table: DataFrame, error: int, match: str) -> dict[int, tuple[dict, dict]]:
     """segment -> its first read, and the leader it ends with on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _segments(batches):
-            first = leader = next(rows)
-            for row in rows:
-                if not absorbs(leader, row, error, match):
-                    leader = row
-            yield pa.RecordBatch.from_pylist([first, leader], schema=batch_schema)
+        fold = Fold(error, match, {})
+        for batch in batches:
+            parts = np.asarray(batch.column("part"))
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if parts[a] != fold.part:
+                    if fold.leader is not None:
+                        yield pa.RecordBatch.from_pylist([first, fold.leader], schema=batch_schema)
+                    first = batch.slice(a, 1).to_pylist()[0]
+                fold.take(batch.slice(a, b - a))
+        if fold.leader is not None:
+            yield pa.RecordBatch.from_pylist([first, fold.leader], schema=batch_schema)
 
     batch_schema = _arrow(table)
     found: dict[int, list[dict]] = {}
-    for r in _in_order(table).mapInArrow(run, table.schema).toLocalIterator():
+    for r in _in_order(table).mapInArrow(run, table.schema).collect():
         found.setdefault(r["part"], []).append(r.asDict(recursive=True))
     return {k: tuple(v) for k, v in found.items()}
 
@@ -82,7 +137,9 @@ def _arrow(table: DataFrame) -> pa.Schema:
 
 
 def _in_order(table: DataFrame) -> DataFrame:
-    return table.repartition("part").sortWithinPartitions("part", "nth")
+    # a task for each segment, as hashes would deal several to one
+    parts = int(table.agg(F.max("part")).first()[0] or 0) + 1
+    return table.repartitionById(parts, "part").sortWithinPartitions("part", "nth")
 
 
 def _walked(table: DataFrame, asked: dict[int, dict[int, dict]], error: int, match: str) -> dict[tuple[int, int], dict | None]:
@@ -156,18 +213,13 @@ def unify(reads: DataFrame, error: int = ERROR, match: str = "any", segments: in
     before = leaders_before(table, error, match)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, leader = None, None
+        walk = Fold(error, match, before)
         for batch in batches:
-            names, numbers = [], []
-            for row in batch.to_pylist():
-                if row["part"] != part:
-                    part = row["part"]
-                    leader = before.get(part)
-                if leader is None or not absorbs(leader, row, error, match):
-                    leader = row
-                names.append(leader["name"])
-                numbers.append(leader["nth"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(names, pa.string()), pa.array(numbers, pa.int64())], [*COLUMNS, "leader", "isoform"])
+            if not batch.num_rows:
+                continue
+            at, older = walk.take(batch)
+            of = lambda c, kind: pa.concat_arrays([batch.column(c).cast(kind), pa.array([x[c] for x in older], kind)]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), of("name", pa.string()), of("nth", pa.int64())], [*COLUMNS, "leader", "isoform"])
 
     kinds = dict(table.dtypes)
     return _in_order(table).mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in COLUMNS) + ", leader string, isoform long")
