@@ -31,7 +31,8 @@ def introns(cigar: Column, pos: Column) -> Column:
 
 
 def read_end(cigar: Column, pos: Column) -> Column:
-    return walk(cigar, pos)["pos"] - 1
+    lengths = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{''.join(CONSUMES)}]"), F.lit(1))
+    return F.aggregate(lengths, pos.cast("int"), lambda end, n: end + n.cast("int")) - 1
 
 
 def blocks(cigar: Column, pos: Column) -> Column:

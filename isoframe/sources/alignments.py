@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoframe.functions import cigar as cg
 from isoframe.functions.intervals import chromosome
 from isoframe.operators.interval_join import interval_join
+from isoframe.scratch import written
 from isoframe.sources.bam import SPLIT, WINDOW_BITS, BamDataSource
 from isoframe.sources.files import lines, placed_lines
 from isoframe.sources.sniff import LINE_FORMATS
@@ -89,12 +90,15 @@ def write_bam(records: DataFrame, path: str, references: list[tuple[str, int]])
 
 
 def region_records(spark: SparkSession, paths: str | list[str], regions: DataFrame) -> DataFrame:
-    """Records (with ``end``, their last base) that touch a region (chromosome, start, end), each once."""
+    """Records (with ``end``, their last base) that touch a region (chromosome, start, end), each once.
+
+    Records are decoded once and written, as the join reads them twice.
+    """
     found = read_bam(spark, paths, regions).where("cigar <> '*' AND chromosome <> '*' AND pos > 0")
-    found = found.withColumn("end", cg.read_end(F.col("cigar"), F.col("pos"))).withColumn("uid", F.monotonically_increasing_id())
-    left = found.select("uid", chromosome(F.col("chromosome")).alias("place"), F.col("pos").alias("start"), "end")
+    found = found.select(*found.columns, cg.read_end(F.col("cigar"), F.col("pos")).alias("end"), F.monotonically_increasing_id().alias("uid"))
+    left = written(found, "region_records").withColumns({"place": chromosome(F.col("chromosome")), "start": F.col("pos")})
     right = regions.select(chromosome(F.col("chromosome")).alias("place"), F.col("start").alias("r_start"), F.col("end").alias("r_end")).distinct()
-    return found.join(interval_join(left, right, ["place"]).select("uid").distinct(), "uid", "left_semi").drop("uid")
+    return interval_join(left, right, ["place"]).dropDuplicates(["uid"]).select(*found.columns).drop("uid")
 
 
 def _from_introns(df: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: Fixed by the format: CIGAR operations by code, and the sizes of tag values by type.
 CIGAR_OPS = "MIDNSHP=X"
@@ -33,7 +34,9 @@ BATCH, SPLIT = 10_000, 32 << 20
 CHAIN = 8
 #: Bytes of a record at most, where its place is not in an index.
 RECORD_MOST = 64 << 20
-_HEAD = struct.Struct("<iiiBBHHHiii")
+#: CIGAR strings that a task remembers.
+CIGARS = 1 << 16
+_HEAD, _BODY, _RECORD, _SIZE = struct.Struct("<iiiBBHHHiii"), struct.Struct("<iiBBHHHi"), struct.Struct("<iiiBBHHHiiii"), struct.Struct("<i")
 
 
 def _open(path: str):
@@ -339,8 +342,20 @@ def bodies(data: Bytes, part: BamRange, spans: list[tuple[int, int]] | None, ref
 
 
 def _until(stream: Stream, stop: int) -> Iterator[bytes]:
+    size_at = _SIZE.unpack_from
     while stream.where() < stop and stream.need(4):
-        yield stream.take(int.from_bytes(stream.take(4), "little"))
+        # the records of this block, up to the first that is not held whole
+        held, pos, n = stream.held, stream.pos, len(stream.held)
+        i = bisect_right(stream.starts, pos) - 1
+        least = stream.starts[i + 1] if i + 1 < len(stream.starts) else n
+        if stream.places[i] == stop >> 16:
+            least = min(least, stream.starts[i] + (stop & 0xFFFF))
+        while pos < least and pos + 4 <= n and (end := pos + 4 + size_at(held, pos)[0]) <= n:
+            stream.pos = end
+            yield bytes(held[pos + 4 : end])
+            pos = end
+        if pos < least:
+            yield stream.take(int.from_bytes(stream.take(4), "little"))
 
 
 def nh_tag(tags: bytes) -> int | None:
@@ -358,13 +373,18 @@ def nh_tag(tags: bytes) -> int | None:
     return None
 
 
+@lru_cache(CIGARS)
+def cigar_of(ops: bytes) -> tuple[str, int]:
+    """CIGAR as text, and the bases of the reference that it takes."""
+    codes = struct.unpack(f"<{len(ops) // 4}I", ops)
+    return "".join([f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in codes]) or "*", sum([x >> 4 for x in codes if x & 15 in (0, 2, 3, 7, 8)])
+
+
 def fields(body: bytes, names: list[str]) -> tuple:
     """(name, flag, chromosome, pos, cigar, nh, last base) of a record."""
-    ref, pos, l_name, _, _, n_ops, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
+    ref, pos, l_name, _, _, n_ops, flag, l_seq = _BODY.unpack_from(body)
     at = 32 + l_name
-    ops = struct.unpack_from(f"<{n_ops}I", body, at)
-    cigar = "".join([f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in ops]) or "*"
-    length = sum([x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8)])
+    cigar, length = cigar_of(body[at : at + 4 * n_ops])
     tags = body[at + 4 * n_ops + (l_seq + 1) // 2 + l_seq :]
     return body[32 : at - 1].decode(), flag, names[ref] if ref >= 0 else "*", pos + 1, cigar, nh_tag(tags), pos + max(length, 1)
 
@@ -425,7 +445,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def bin_of(start: int, end: int) -> int:
     """The smallest bin that holds [start, end) (from 0)."""
-    return next(first + (start >> bits) for bits, first in LEVELS if start >> bits == (end - 1) >> bits)
+    last = end - 1
+    for bits, first in LEVELS:
+        if start >> bits == last >> bits:
+            return first + (start >> bits)
+    raise ValueError(f"no bin holds {start} to {end}")
 
 
 class Written(WriterCommitMessage):
@@ -433,7 +457,7 @@ class Written(WriterCommitMessage):
         self.path = path
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """A file for each task, and its index; rows of a task must be in order of reference and place."""
 
     def __init__(self, path: str, refs: list[tuple[str, int]]):
@@ -466,13 +490,13 @@ class BamWriter(DataSourceWriter):
                 held += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
             flush(0)
             empty = True
-            for row in iterator:
+            for name_, flag, chromosome, pos, cigar, nh in _rows(iterator):
                 empty = False
                 if len(held) >= BLOCK_MOST:
                     flush(BLOCK_MOST - 1)
                 begin = place << 16 | len(held)
-                ref, start = numbers.get(row["chromosome"], -1), row["pos"] - 1
-                body, end = packed(row, ref)
+                ref, start = numbers.get(chromosome, -1), pos - 1
+                body, end = packed(name_, flag, pos, cigar, nh, ref)
                 if ref >= 0:
                     if (ref, start) < last:
                         raise ValueError("rows of a task must be in order of reference and place")
@@ -481,14 +505,18 @@ class BamWriter(DataSourceWriter):
                 if len(held) >= BLOCK_MOST:
                     flush(BLOCK_MOST - 1)
                 if ref >= 0:
-                    chunks = bins[ref].setdefault(bin_of(start, end), [])
-                    after = place << 16 | len(held)
-                    if chunks and chunks[-1][1] == begin:
+                    number, after = bin_of(start, end), place << 16 | len(held)
+                    chunks = bins[ref].get(number)
+                    if chunks is None:
+                        bins[ref][number] = [[begin, after]]
+                    elif chunks[-1][1] == begin:
                         chunks[-1][1] = after
                     else:
                         chunks.append([begin, after])
+                    first = windows[ref]
                     for w in range(start >> WINDOW_BITS, ((end - 1) >> WINDOW_BITS) + 1):
-                        windows[ref].setdefault(w, begin)
+                        if w not in first:
+                            first[w] = begin
             flush(0)
             out.write(LAST_BLOCK)
         if empty:
@@ -530,21 +558,36 @@ def squeezed(data: bytes) -> bytes:
     return LAST_BLOCK[:16] + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def packed(row, ref: int) -> tuple[bytes, int]:
-    """A record without sequence, and the place (from 0) after its last base."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(name, flag, chromosome, pos, cigar, nh) of every row."""
+    # numpy's lists are made many times faster than Arrow's, but have no null
+    listed = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+    for batch in batches:
+        yield from zip(*[listed(batch.column(c)) for c in ("name", "flag", "chromosome", "pos", "cigar", "nh")], strict=True)
+
+
+@lru_cache(CIGARS)
+def packed_cigar(cigar: str) -> tuple[bytes, int, int]:
+    """Operations as bytes, how many they are, and the bases of the reference that they take."""
     ops, n = [], 0
-    for c in row["cigar"] if row["cigar"] != "*" else "":
+    for c in cigar if cigar != "*" else "":
         if c.isdigit():
             n = 10 * n + int(c)
         else:
             ops.append((n, CIGAR_OPS.index(c)))
             n = 0
-    start, name = row["pos"] - 1, row["name"].encode()
-    end = start + max(1, sum(n for n, op in ops if op in (0, 2, 3, 7, 8)))
-    tags = b"" if row["nh"] is None else b"NHi" + struct.pack("<i", row["nh"])
-    body = struct.pack("<iiBBHHHiiii", ref, start, len(name) + 1, 255, bin_of(max(start, 0), max(end, 1)), len(ops), row["flag"], 0, -1, -1, 0)
-    body += name + b"\0" + struct.pack(f"<{len(ops)}I", *(n << 4 | op for n, op in ops)) + tags
-    return struct.pack("<i", len(body)) + body, end
+    return struct.pack(f"<{len(ops)}I", *(n << 4 | op for n, op in ops)), len(ops), sum(n for n, op in ops if op in (0, 2, 3, 7, 8))
+
+
+def packed(name: str, flag: int, pos: int, cigar: str, nh: int | None, ref: int) -> tuple[bytes, int]:
+    """A record without sequence, and the place (from 0) after its last base."""
+    ops, n_ops, length = packed_cigar(cigar)
+    start, called = pos - 1, name.encode()
+    end = start + max(1, length)
+    tags = b"" if nh is None else b"NHi" + _SIZE.pack(nh)
+    size = 33 + len(called) + len(ops) + len(tags)
+    head = _RECORD.pack(size, ref, start, len(called) + 1, 255, bin_of(max(start, 0), max(end, 1)), n_ops, flag, 0, -1, -1, 0)
+    return b"".join((head, called, b"\0", ops, tags)), end
 
 
 class BamDataSource(DataSource):

@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from isoframe.operators import isoforms
+from isoframe.sources import alignments
 
 
 def test_isoform_segments_are_read_in_one_job(spark):
@@ -36,3 +37,13 @@ def test_isoform_fold_compares_near_rows_only(monkeypatch):
             got += [int(names[i][1:]) for i in np.asarray(at)]
         assert got == want
     assert asked.count("r2") == asked.count("r3") == 1  # where a batch begins with them
+
+
+def test_region_records_decode_each_file_once(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('r', id) AS name", "0 AS flag", "'chr1' AS chromosome", "CAST(1 + 10 * id AS INT) AS pos", "'5M3N2I4M' AS cigar", "IF(id % 2 = 0, 1, NULL) AS nh")
+    alignments.write_bam(rows, str(tmp_path / "b"), [("chr1", 1 << 20)])
+    regions = spark.createDataFrame([("1", 995, 1009), ("chr1", 1000, 1031), ("chr1", 4991, 9000), ("chr1", 9, 3)], "chromosome string, start int, end int")
+    found = alignments.region_records(spark, str(tmp_path / "b"), regions)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "isoframe_bam" not in plan and "BatchScan" not in plan
+    assert sorted((r.pos, r.end, r.nh) for r in found.collect()) == [(991, 1002, None), (1001, 1012, 1), (1011, 1022, None), (1021, 1032, 1), (1031, 1042, None), (4981, 4992, 1), (4991, 5002, None)]
