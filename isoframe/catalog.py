@@ -77,7 +77,8 @@ def shown(df: DataFrame, *more: str) -> DataFrame:
 
 
 def with_psi(spark: SparkSession, sf: str) -> DataFrame:
-    return psi.with_psi(views.junctions(spark, sf))
+    # every kind of event reads them several times
+    return psi.with_psi(written(views.junctions(spark, sf), "junctions"))
 
 
 @register("junction_count", f"""WITH {ALL} SELECT chromosome, "start", "end", strand, "count" FROM junctions""")
@@ -331,8 +332,9 @@ rg AS (SELECT chromosome || ':' || s || '-' || e AS region, 'in' AS side, chromo
 SELECT r.region, round(i.depth / o.depth, 6) AS psi FROM (SELECT DISTINCT region FROM rg) r LEFT JOIN dep i ON i.region = r.region AND i.side = 'in' LEFT JOIN dep o ON o.region = r.region AND o.side = 'out'""")
 def _(spark, sf):
     name = F.concat("chromosome", F.lit(":"), "start", F.lit("-"), "end")
-    regions = views.junctions(spark, sf).select(name.alias("region"), "chromosome", "start", "end").distinct()
-    return retention.depth_ratio(regions, views.blocks(spark, sf)).select("region", F.round("psi", 6).alias("psi"))
+    regions = written(views.junctions(spark, sf).select("chromosome", "start", "end").distinct(), "regions")
+    found = retention.depth_ratio(regions, views.blocks(spark, sf), by=["chromosome", "start", "end"])
+    return found.select(name.alias("region"), F.round("psi", 6).alias("psi"))
 
 
 @register("read_introns_to_exons", f"""WITH {READS} SELECT name, unnest(range(1, n + 1)) AS nth, CAST(unnest(parts) * 40 + 91 AS INT) AS "start", CAST(unnest(parts) * 40 + 99 AS INT) AS "end" FROM reads""")

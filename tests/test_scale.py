@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from isoframe.operators import isoforms
+from isoframe.operators import coverage, events, isoforms, psi, retention
+from isoframe.schemas import JUNCTIONS
 from isoframe.sources import alignments
 
 
@@ -47,3 +48,35 @@ def test_region_records_decode_each_file_once(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "isoframe_bam" not in plan and "BatchScan" not in plan
     assert sorted((r.pos, r.end, r.nh) for r in found.collect()) == [(991, 1002, None), (1001, 1012, 1), (1011, 1022, None), (1021, 1032, 1), (1031, 1042, None), (4981, 4992, 1), (4991, 5002, None)]
+
+
+def exchanges(df) -> int:
+    """Shuffles of the plan as it was run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count(" Exchange ")
+
+
+def test_pairs_of_a_node_take_one_shuffle(spark):
+    rows = [("s", "1", s, e, "+", s % 7 + 1) for s in (10, 20, 30) for e in (100, 105, 111)]
+    j = psi.with_psi(spark.createDataFrame(rows, JUNCTIONS).localCheckpoint())
+    got = events.same_start_pairs(j)
+    assert sorted((r.S, r.e1, r.e2) for r in got.collect()) == [(s, *p) for s in (10, 20, 30) for p in ((100, 105), (100, 111), (105, 111))]
+    assert all(abs(r.psi1 - 1 / 3) < 1e-9 and r.max_end == 111 for r in got.collect())
+    assert exchanges(got) == 1
+    # events are not shuffled once more to tell them apart
+    found = events.all_events(spark.createDataFrame(rows, JUNCTIONS))
+    keys = ["sample", "event", "chromosome", "start", "end", "strand", "sites"]
+    assert "Deduplicate" not in found._jdf.queryExecution().analyzed().toString().split("Union")[0]
+    assert found.count() == found.select(*keys).distinct().count() > 0
+
+
+def test_depth_ratio_looks_up_each_border_once(spark, monkeypatch):
+    asked, looked_up = [], coverage.looked_up
+    watched = lambda points, *more: asked.append(points.count()) or looked_up(points, *more)
+    for module in (coverage, retention):
+        monkeypatch.setattr(module, "looked_up", watched, raising=False)
+    introns = spark.createDataFrame([("a", "1", 100, 199), ("b", "1", 500, 520), ("c", "2", 5, 9)], "region string, chromosome string, start int, end int")
+    blocks = spark.createDataFrame([("1", 90, 104), ("1", 190, 209), ("1", 90, 95), ("1", 510, 511)], "chromosome string, r_start int, r_end int")
+    got = {r.region: r.psi for r in retention.depth_ratio(introns, blocks).collect()}
+    assert got == {"a": 1 / (26 / 20), "b": None, "c": None}
+    assert sum(asked) == 4 * 3
