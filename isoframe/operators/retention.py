@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoframe.functions.intervals import overlap_percent
-from isoframe.operators.coverage import depth_sums
+from isoframe.operators.coverage import coverage, depth_sums, looked_up
 from isoframe.operators.interval_join import both_strands, similar_join
 from isoframe.operators.ordered import with_next
 from isoframe.schemas import GRAPH
@@ -69,16 +69,17 @@ def depth_ratio(introns: DataFrame, blocks: DataFrame, flank: int = FLANK, by: l
 
     Means are over covered positions; without any inside or in the flanks psi is null.
     """
-    by = by or ["region"]
-    sides = F.array(*[F.struct(F.lit(x).alias("__side"), a.alias("__a"), b.alias("__b")) for x, a, b in (
-        ("in", F.col("start"), F.col("end")), ("out", F.col("start") - flank, F.col("start") - 1), ("out", F.col("end") + 1, F.col("end") + flank),
-    )])
-    rows = introns.withColumn("__s", F.explode(sides)).select(*[c for c in introns.columns if c not in ("start", "end")], "__s.*")
-    rows = rows.withColumnsRenamed({"__a": "start", "__b": "end"})
-    sums = depth_sums(rows, blocks, _keys(introns, blocks), [*by, "__side"])
-    of = lambda c, side: F.sum(F.when(F.col("__side") == side, F.col(c)))
-    mean = lambda side: F.try_divide(of("total", side), of("covered", side))
-    return sums.groupBy(*by).agg(F.try_divide(mean("in"), mean("out")).alias("psi"))
+    by, keys = by or ["region"], _keys(introns, blocks)
+    # four look-ups, each with what it adds to the sums inside and to those of the flanks
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    places = ((start - flank, 0, -1), (start, -1, 1), (end + 1, 1, -1), (end + 1 + flank, 0, 1))
+    borders = F.array(*[F.struct(pos.alias("pos"), F.lit(i).alias("inside"), F.lit(o).alias("around")) for pos, i, o in places])
+    own = {c: f"__by{i}" for i, c in enumerate(by) if c not in keys}
+    named = introns.select(*keys, *[F.col(c).alias(n) for c, n in own.items()], F.explode(borders).alias("p"))
+    found = looked_up(named.select(*keys, *own.values(), "p.*"), coverage(blocks, keys), keys)
+    amount = lambda c, side: F.sum(F.col(side) * F.col(c))
+    mean = lambda side: F.try_divide(amount("total", side), amount("covered", side))
+    return found.groupBy(*[F.col(own.get(c, c)).alias(c) for c in by]).agg(F.try_divide(mean("inside"), mean("around")).alias("psi"))
 
 
 def depth_regions(retained: DataFrame, flank: int = FLANK) -> DataFrame:
