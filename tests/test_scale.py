@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from isoframe.operators import coverage, events, isoforms, psi, retention
+from isoframe.plans import views
 from isoframe.schemas import JUNCTIONS
 from isoframe.sources import alignments
 
@@ -80,3 +81,13 @@ def test_depth_ratio_looks_up_each_border_once(spark, monkeypatch):
     got = {r.region: r.psi for r in retention.depth_ratio(introns, blocks).collect()}
     assert got == {"a": 1 / (26 / 20), "b": None, "c": None}
     assert sum(asked) == 4 * 3
+
+
+def test_junctions_are_counted_by_numbers(spark):
+    """Of the keys that a task holds for each junction only the sample is text."""
+    for by_sample, texts in ((False, 0), (True, 1)):
+        plan = views.junctions(spark, "/root/testdata/sf0.001", by_sample)._jdf.queryExecution().optimizedPlan()
+        while "Aggregate" not in plan.nodeName():
+            plan = plan.children().apply(0)
+        keys = plan.groupingExpressions()
+        assert [keys.apply(i).dataType().simpleString() for i in range(keys.size())].count("string") == texts
