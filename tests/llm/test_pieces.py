@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -55,6 +56,29 @@ def test_parts_of_long_texts(monkeypatch):
         held(own, lib, text)
 
 
+def test_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(pieces, "PART", 500)
+    monkeypatch.setattr(pieces, "CACHE", 300)
+    own, lib = pieces.Codec(open(MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    every = "".join(map(chr, [*range(0x2581), *range(0x2582, 0xD800)]))
+    texts = [*ODD, every, "", *fuzz(300, 5), "", "the rest " * 400, "x" * 39, "x" * 40, "a" + " " * 38, "thethe" * 6]
+    for _ in range(2):
+        for text, (ids, starts, ends) in zip(texts, own.encode_all(texts), strict=True):
+            assert numbers(ids) == lib.encode(text, add_bos=True, add_eos=True), repr(text[:99])
+            assert list(zip(numbers(starts), numbers(ends), strict=True))[1:-1] == spans(lib, text), repr(text[:99])
+
+
+def test_rare_words_are_merged_side_by_side():
+    rng = random.Random(7)
+    words = ["".join(rng.choices(["the", "ion", "er", "schen", "ä", "qu", "é", "on", "re"], k=rng.randrange(2, 8))) for _ in range(60_000)]
+    text, own = " ".join(words), pieces.Codec(open(MODEL, "rb").read())
+    began = time.process_time()
+    want = [own.ids[p] for w in words for p in own.merged(pieces.SPACE + w)]
+    each = time.process_time() - began
+    assert numbers(own.encode(text)[0])[1:-1] == want
+    assert time.process_time() - began - each < 0.7 * each
+
+
 def test_decode_of_any_ids():
     own, lib = pieces.codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(4)
