@@ -484,10 +484,10 @@ def _(spark, sf):
 @register("alignment_text_reads", f"""WITH {READS} SELECT chromosome, strand, "start", "end", n AS n_exons FROM reads WHERE n > 1""")
 def _(spark, sf):
     # reads written as alignment text, a header and an exon line each (from the right on the minus strand), and read again
-    b = views.reads(spark, sf)
+    b = views.read_exons(spark, sf)
     numbers = lambda x: F.when(F.col("strand") == "-", F.concat(x["end"], F.lit("-"), x["start"])).otherwise(F.concat(x["start"], F.lit("-"), x["end"]))
     line = lambda x: F.concat(F.lit("  "), F.col("strand"), F.col("chromosome"), F.lit(":"), numbers(x), F.lit("  (1-9)   100% ->"))
-    shown_ = F.transform("exons", line)
+    shown_ = F.transform("b", line)
     text = b.select(F.concat_ws("\n", F.concat(F.lit(">"), "name"), F.when(F.col("strand") == "-", F.reverse(shown_)).otherwise(shown_)).alias("value"))
     path = new_path(spark, "alignment_text")
     text.write.text(path)

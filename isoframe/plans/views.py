@@ -49,14 +49,23 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chromosome", "start", "end", "strand", "exon_id", F.array("gene").alias("genes"), F.array(F.substring_index("transcript", "|", 1)).alias("transcripts"))
 
 
+def read_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read for each order (sample, name, chromosome, strand), its exons in ``b``: one for each of its parts.
+
+    Line items are shuffled once, by order, and made distinct, collected and joined where they then are.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # else they are merged by bytes, and numbers pack well
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CAST(l_partkey * 40 + 91 AS INT) AS s").repartition(tasks, "k").distinct()
+    blocks = items.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("start"), (F.col("s") + 8).alias("end")))).alias("b"))
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(1 + o_custkey % 5 AS STRING) AS chromosome", "CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand", "o_orderstatus AS sample")
+    return orders.join(blocks, "k").select("sample", F.concat(F.lit("r"), "k").alias("name"), "chromosome", "strand", "b")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read for each order: an exon for each of its parts, introns between them."""
-    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CAST(l_partkey * 40 + 91 AS INT) AS s", "CAST(l_partkey * 40 + 99 AS INT) AS e").distinct()
-    blocks = items.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("b"))
+    """The reads of ``read_exons`` with introns between their exons."""
     n = F.size("b")
-    introns = F.zip_with(F.slice("b", 1, n - 1), F.slice("b", 2, n - 1), lambda x, y: F.struct((x["e"] + 1).alias("start"), (y["s"] - 1).alias("end")))
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(1 + o_custkey % 5 AS STRING) AS chromosome", "CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand", "o_orderstatus AS sample")
-    out = orders.join(blocks, "k").select("sample", F.concat(F.lit("r"), "k").alias("name"), "chromosome", F.element_at("b", 1)["s"].alias("start"), F.element_at("b", -1)["e"].alias("end"), "strand", introns.alias("introns"))
+    introns = F.zip_with(F.slice("b", 1, n - 1), F.slice("b", 2, n - 1), lambda x, y: F.struct((x["end"] + 1).alias("start"), (y["start"] - 1).alias("end")))
+    out = read_exons(spark, sf_dir).select("sample", "name", "chromosome", F.element_at("b", 1)["start"].alias("start"), F.element_at("b", -1)["end"].alias("end"), "strand", introns.alias("introns"))
     return out.withColumn("exons", exons_of(F.col("start"), F.col("end"), F.col("introns")))
 
 

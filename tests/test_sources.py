@@ -7,7 +7,7 @@ import struct
 import pytest
 
 from isoframe import cli
-from isoframe.plans import commands, inputs
+from isoframe.plans import commands, inputs, views
 from isoframe.sources import alignments, annotation, companions, files, junction_files
 from isoframe.sources.sniff import sniff
 
@@ -124,6 +124,42 @@ def test_alignment_text_across_splits(spark, tmp_path, split):
     assert len({(r[0], r[4]) for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("records", [7, 300])
+def test_alignment_text_across_batches(spark, tmp_path, records):
+    rng = random.Random(8)
+    text = []
+    for i in range(60):
+        strand, at = rng.choice("+-"), rng.randrange(1, 9999)
+        exons = [(at + 100 * k, at + 100 * k + 50) for k in range(rng.choice([1, 2, 5, 90, 700]))]
+        text += [f"\t {strand}chr1.a:{a}-{b}  (1-51)   99% ->" for a, b in (exons if strand == "+" else [(b, a) for a, b in reversed(exons)])] + rng.choice([[], [">x"], ["", ""]])
+    odd = ["  +2:1-9  (1-9)  9%", "  +2:20-29  (1-9)  9%\u2028x", "  +2:40-49  (1-9)  9%\u2028", "  +2:30-39  (1-9)  9%"]  # a line break within is no exon line
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, (str(records), "20000"), strict=True):
+            spark.conf.set(k, v)
+        df = alignments.read_alignment_text(spark, put(tmp_path, "a.txt", "\n".join([*text, *odd])))
+        got = sorted((r.chromosome, r.strand, tuple((x.start, x.end) for x in r.exons)) for r in df.collect())
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.set(k, v)
+    want = [(c.removeprefix("chr"), *rest) for c, *rest in gmap_reads("\n".join(text))] + [("2", "+", ((30, 39), (40, 49)))]
+    assert got == sorted(want)
+
+
+def test_lines_of_alignment_text_are_not_shuffled(spark, tmp_path):
+    df = alignments.read_alignment_text(spark, put(tmp_path, "g.txt", GMAP))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") <= 2
+    # one for the order of edges, one for reads of several splits
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_reads_of_line_items_are_shuffled_once(spark):
+    plan = views.read_exons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 + ("SortMergeJoin" in plan)
+
+
 def test_alignments_of_one_name_are_reads_of_their_own(spark):
     from isoframe.operators import coupling, isoforms
 
