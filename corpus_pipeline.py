@@ -7,18 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoframe.llm.common import forget, written
+from isoframe.llm.common import forget, small_batches, written
 from isoframe.llm.decontaminate import decontaminate
 from isoframe.llm.exact_dedup import exact_dedup
 from isoframe.llm.minhash import keep_one
 from isoframe.llm.packing import pack_documents
 from isoframe.llm.ppm_langid import fit, identify
 from isoframe.llm.queries import table, tokenizer_path
+from isoframe.scratch import once
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language stay; those without a letter, or without text, go."""
-    return identify(docs, fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    with small_batches(spark):
+        return written(identify(docs, fit(docs)).where("lang_pred <> 'und'").select(*docs.columns), "in_a_language")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = once(stage(spark, docs, sf_dir), name)
         if before is not None:
             forget(before)
         before = docs

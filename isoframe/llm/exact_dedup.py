@@ -14,6 +14,7 @@ Only texts whose key occurs more than once are shuffled, one for each task that
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,9 @@ def build_index(keyed: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame,
     if depth:
         buckets = directory(leaves, capacity, depth)
         slots = [(x, at) for at, (prefix, d, _) in enumerate(buckets) for x in (range(prefix << (depth - d), (prefix + 1) << (depth - d)) if depth <= 24 else [y for y in leaves if y >> (depth - d) == prefix])]
-    table = written(spark.createDataFrame(slots, "leaf long, bucket int"), "directory")
+    # from Arrow, as rows of Python objects would start Python workers on the executors, which stay after it
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*slots, strict=True), (pa.int64(), pa.int32()), strict=True)]
+    table = written(spark.createDataFrame(pa.table(columns, ["leaf", "bucket"])), "directory")
     dealt = entries.withColumn("leaf", leaf_of("key", depth)).join(small(table), "leaf").select("bucket", "key", "n_rows")
     out = written(dealt.repartitionByRange("bucket", "key"), "index")
     forget(entries)

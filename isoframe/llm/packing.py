@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import slices, written
+from isoframe.llm.common import slices, small_batches, written
 from isoframe.llm.tokens import encoder
 
 TOKENS = 2048
@@ -103,7 +103,8 @@ def best_fit(lengths: np.ndarray, capacity=(TOKENS, DOCUMENTS, COST), weights=WE
 
 def pack(cut_docs: DataFrame, capacity=(TOKENS, DOCUMENTS, COST), weights=WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset added."""
-    cut_docs = written(cut_docs, "pieces")
+    with small_batches(cut_docs.sparkSession):
+        cut_docs = written(cut_docs, "pieces")
     n = cut_docs.count()
     n_groups = max(1, -(-n // group))
     schema = ", ".join(f"`{c}` {t}" for c, t in cut_docs.dtypes) + ", sequence_id long, offset long"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.llm.common import crc_of_id, forget, free, slices, small, written
+from isoframe.llm.common import crc_of_id, forget, free, release, slices, small, small_batches, written
 
 ORDER = 3
 SAMPLE_ROWS = 3000
@@ -65,6 +65,7 @@ def _places(parts: list[bytes]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of 1 to ORDER + 1 bytes by language, packed into a number."""
+    release()
     for batch in slices(batches):
         frame = batch.to_pandas()
         for lang, texts in frame.groupby("lang")["text"]:
@@ -83,7 +84,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     sizes = small(written(rows.groupBy("lang").count(), "languages"))
     draw = F.pmod("h", F.lit(1 << 20)) < F.lit(float((1 << 20) * sample_rows)) / F.col("count")
     sample = rows.join(sizes, "lang").where(draw).select("text", "lang")
-    grams = written(sample.mapInArrow(_count, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")), "grams")
+    with small_batches(docs.sparkSession):
+        grams = written(sample.mapInArrow(_count, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")), "grams")
     got = grams.toArrow().to_pandas()  # what the sample holds
     forget(grams)
     return tables(got)
@@ -183,6 +185,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "do
 
     @F.arrow_udf("lang_pred string, score double")
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for part in parts:
             names, scores = [], []
             for at in range(0, len(part), 256):

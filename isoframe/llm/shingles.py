@@ -7,6 +7,8 @@ from hashlib import blake2b
 
 import numpy as np
 
+from isoframe.llm.common import kept
+
 #: Texts are hashed in blocks of about this many bytes.
 BLOCK = 1 << 20
 #: Words whose digests are kept, each of at most LONG bytes.
@@ -34,9 +36,6 @@ class Digests(dict):
         return number
 
 
-_digests = Digests()
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Its runs of bytes that are not white space, A-Z lower-cased."""
     return text.lower().split()
@@ -45,6 +44,7 @@ def words_of(text: bytes) -> list[bytes]:
 def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: k words each, or all of them where there are fewer, or none."""
     salts = mix(np.arange(1, k + 2, dtype=np.uint64) * _STEP) | np.uint64(1)
+    digest = kept("word digests", Digests).__getitem__
     at = 0
     while at < len(texts):
         end, size, found, cuts = at, 0, [], [0]
@@ -53,7 +53,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
             found += words_of(texts[end])
             cuts.append(len(found))
             end += 1
-        words = np.fromiter(map(_digests.__getitem__, found), np.uint64, len(found))
+        words = np.fromiter(map(digest, found), np.uint64, len(found))
         grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for i in range(k if len(grams) else 0):
             grams += words[i : i + len(grams)] * salts[i]

@@ -13,6 +13,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from isoframe.llm.common import kept
+
 #: Splits text before merging; fixed by the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 200_000
@@ -66,9 +68,6 @@ class Encoder(dict):
         return self.slow(first) + b"".join(map(self.__getitem__, rest))
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python process."""
-    return _loaded.get(path) or _loaded.setdefault(path, Encoder(path))
+    """One for each Python process, until another operator's tasks run in it."""
+    return kept(("encoder", path), lambda: Encoder(path))
