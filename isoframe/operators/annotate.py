@@ -1,14 +1,17 @@
 """Which annotated exons an event falls on, and what that makes of it.
 
-Events and exons meet in a binned interval join; an event without an exon stays, as novel, with null sets.
+Events and exons meet in a binned interval join, MXE of usual width in one look-up for each event; an event without an
+exon stays, as novel, with null sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoframe.operators.interval_join import BIN, both_strands, interval_join
+from isoframe.operators.interval_join import BIN, beside, both_strands, interval_join
 from isoframe.schemas import EVENT_KEY
 from isoframe.scratch import once
 
@@ -48,6 +51,42 @@ def annotate_skipped(events: DataFrame, exons: DataFrame, bin_size: int = BIN, k
     return _onto(events, found.withColumns({"subtype": subtype, "is_novel": F.lit(False)}).drop("entries"), key)
 
 
+def _site(i: int) -> Column:
+    """The i-th site, from 1; null if there are fewer."""
+    return F.get("sites", i - 1)
+
+
+def _with_found(events: DataFrame, exons: DataFrame, lo: Column, hi: Column, slack: int, test: Callable[[Column, Column], Column], bin_size: int, reach: int, key: list[str]) -> DataFrame:
+    """Written events with ``found``: the exons with an edge in [lo, hi], give or take ``slack``, that pass ``test`` of their edges.
+
+    An event no wider than ``reach`` is shuffled once, to where the exons of its cell are; wider ones, if there are any, are paired
+    with exons, grouped and joined back.
+    """
+    lo, hi = lo.cast("long") - slack, hi.cast("long") + slack
+    close = F.coalesce(hi - lo <= reach, F.lit(False))
+    # an exon is looked for on its strand, and among events without one
+    without = events.where("strand = '.'").agg(F.count(F.lit(1)) > 0).scalar()
+    strands = F.when(without & F.col("join_strand").isin("+", "-"), F.array(F.col("join_strand"), F.lit("."))).otherwise(F.array("join_strand"))
+    # sets as arrays without null, which are then read off an array of exons without a lambda
+    none = F.array().cast("array<string>")
+    of = {"genes": F.coalesce("genes", none), "transcripts": F.coalesce("transcripts", none), "exon_id": F.when(F.col("exon_id").isNotNull(), F.array("exon_id")).otherwise(none)}
+    right = _right(exons.withColumns(of)).where("r_end >= r_start")
+    one = beside(events.where(close).withColumn("join_strand", F.col("strand")), right.withColumn("join_strand", F.explode(strands)), ["chromosome", "join_strand"], lo, ["r_start", "r_end"], reach)
+    out = one.withColumn("found", F.filter("beside", lambda x: test(x["r_start"], x["r_end"]))).drop("beside", "join_strand")
+    wide = events.where(~close)
+    if wide.isEmpty():
+        return out
+    pairs = interval_join(both_strands(wide.select(*key)), right, ["chromosome", "join_strand"], bin_size, slack=slack, condition=test(F.col("r_start"), F.col("r_end")))
+    lists = pairs.groupBy(*key).agg(F.collect_list(F.struct("r_start", "r_end", "exon_id", "genes", "transcripts")).alias("found"))
+    return out.unionByName(wide.join(lists, key, "left"))
+
+
+def _sets_of(found: Column) -> list[Column]:
+    """Genes, transcripts and exons of an array of exons, as sorted sets."""
+    flat = lambda name: F.array_sort(F.array_distinct(F.flatten(found[name])))
+    return [flat("genes").alias("genes"), flat("transcripts").alias("transcripts"), flat("exon_id").alias("exons")]
+
+
 def annotate_alternative(events: DataFrame, exons: DataFrame, bin_size: int = BIN, key: list[str] = EVENT_KEY) -> DataFrame:
     """A3 and A5 events with the exons whose edge lies within NEAR of one of the alternative sites."""
     events = once(events, "alternative")
@@ -65,25 +104,19 @@ def annotate_exclusive(events: DataFrame, exons: DataFrame, bin_size: int = BIN,
     Otherwise the exons of the first region, or else of the second, are listed and the event stays novel.
     """
     events = once(events, "exclusive")
-    inside = lambda a, b: (F.element_at("sites", a) <= F.col("r_start")) & (F.element_at("sites", b) >= F.col("r_end"))
-    pairs = interval_join(both_strands(events.select(*key)), _right(exons), ["chromosome", "join_strand"], bin_size, condition=inside(2, 3) | inside(4, 5))
-    pairs = pairs.withColumns({"in1": inside(2, 3), "in2": inside(4, 5)}).withColumn("gene", F.explode_outer("genes"))
-    # of each gene what its exons give, all of them and those of the first region
-    flat = lambda c, test=None: F.array_distinct(F.flatten(F.collect_list(c if test is None else F.when(test, F.col(c)))))
-    only = lambda c, test=None: F.collect_set(c if test is None else F.when(test, F.col(c)))
-    gene = pairs.groupBy(*key, "gene").agg(F.max("in1").alias("in1"), F.max("in2").alias("in2"), flat("transcripts").alias("t"), only("exon_id").alias("x"), flat("transcripts", F.col("in1")).alias("t1"), only("exon_id", F.col("in1")).alias("x1"))
-    one = F.struct(F.array("gene").alias("genes"), F.array_sort("t").alias("transcripts"), F.array_sort("x").alias("exons"))
-    sets = lambda g, t, x: F.struct(F.array_sort(g).alias("genes"), F.array_sort(flat(t)).alias("transcripts"), F.array_sort(flat(x)).alias("exons"))
-    found = gene.groupBy(*key).agg(
-        F.min_by(one, F.when(F.col("in1") & F.col("in2"), F.col("gene"))).alias("both"),
-        F.max("in1").alias("first"),
-        sets(only("gene", F.col("in1")), "t1", "x1").alias("of1"),
-        sets(only("gene"), "t", "x").alias("of"),
-    )
-    # exons of the first region if it has any, else of the second
-    chosen = F.coalesce("both", F.when(F.col("first"), F.col("of1")).otherwise(F.col("of")))
-    found = found.select(*key, chosen.alias("c"), F.col("both").isNull().alias("is_novel"))
-    return _onto(events, found.select(*key, "c.*", F.lit("NA").alias("subtype"), "is_novel"), key)
+    inside = lambda a, b: lambda start, end: (_site(a) <= start) & (_site(b) >= end)
+    test = lambda start, end: inside(2, 3)(start, end) | inside(4, 5)(start, end)
+    exons = exons.withColumn("genes", F.array_compact("genes"))
+    found = _with_found(events, exons, F.least(_site(2), _site(4)), F.greatest(_site(3), _site(5)), 0, test, bin_size, 2 * bin_size, key)
+    within = lambda a, b: F.filter("found", lambda x: inside(a, b)(x["r_start"], x["r_end"]))
+    found = found.withColumns({"in1": within(2, 3), "in2": within(4, 5)})
+    found = found.withColumn("best", F.array_min(F.array_intersect(F.flatten("in1.genes"), F.flatten("in2.genes"))))
+    # exons of the best gene, else of the first region if it has any, else of the second
+    chosen = F.when(F.col("best").isNotNull(), F.filter("found", lambda x: F.array_contains(x["genes"], F.col("best")))).when(F.size("in1") > 0, F.col("in1")).when(F.size("found") > 0, F.col("found"))
+    found = found.withColumn("found", chosen)
+    genes, transcripts, ids = _sets_of(F.col("found"))
+    only = F.when(F.col("best").isNotNull(), F.array("best")).otherwise(genes).alias("genes")
+    return found.select(*events.columns, only, transcripts, ids, F.lit("NA").alias("subtype"), F.col("best").isNull().alias("is_novel"))
 
 
 def _part(written_events: DataFrame, test: str) -> DataFrame:

@@ -92,6 +92,20 @@ def similar_join(left: DataFrame, right: DataFrame, on: list[str], percent: floa
     return a.join(b.hint("merge"), [*on, "__band", "__cell"]).where(condition).drop("__band", "__cell")
 
 
+def beside(left: DataFrame, right: DataFrame, on: list[str], at: Column, places: list[str], width: int) -> DataFrame:
+    """``left`` with ``beside``: the rows of ``right`` that have one of their ``places`` in [at, at + width], and more from around there.
+
+    They come as an array of structs, null where there is none; what of it is meant is for the caller to test. A row of left is
+    looked up once and stays one row: no pairs, and nothing to be grouped and joined back. Rows of right are dealt to two cells for
+    each of their places, and both sides are shuffled.
+    """
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    cells = F.array_distinct(F.flatten(F.array(*[F.array(cell(F.col(p)) - 1, cell(F.col(p))) for p in places])))
+    row = F.struct(*[c for c in right.columns if c not in on])
+    lists = right.withColumn("__cell", F.explode(cells)).groupBy(*on, "__cell").agg(F.collect_list(row).alias("beside"))
+    return left.withColumn("__cell", cell(at)).join(lists.hint("merge"), [*on, "__cell"], "left").drop("__cell")
+
+
 def both_strands(df: DataFrame) -> DataFrame:
     """Rows without a strand count for either: ``join_strand`` is the strand to join on."""
     either = F.when(F.col("strand") == ".", F.array(F.lit("+"), F.lit("-"), F.lit("."))).otherwise(F.array("strand"))

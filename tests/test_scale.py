@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from isoframe.operators import coverage, events, isoforms, psi, retention
+from isoframe.operators import annotate, coverage, events, isoforms, psi, retention
 from isoframe.plans import views
-from isoframe.schemas import JUNCTIONS
+from isoframe.schemas import EXONS, JUNCTIONS
+from isoframe.scratch import written
 from isoframe.sources import alignments
 
 
@@ -91,3 +92,30 @@ def test_junctions_are_counted_by_numbers(spark):
             plan = plan.children().apply(0)
         keys = plan.groupingExpressions()
         assert [keys.apply(i).dataType().simpleString() for i in range(keys.size())].count("string") == texts
+
+
+def annotated_both_ways(spark, annotated, events_of):
+    """The annotated events by (chromosome, strand, sites), and the shuffles; wide events are paired with exons to the same end."""
+    exons = [
+        ("1", 30, 45, "+", "x1", ["g2", "g1"], ["g2.1"]), ("1", 30, 44, "+", "x2", ["g3"], None), ("1", 70, 80, "+", "x3", ["g2"], ["g2.2", "g2.1"]),
+        ("1", 72, 80, "-", "x4", ["g4"], ["g4.1"]), ("1", 31, 40, "-", "x5", None, ["g5.1"]), ("1", 31, 45, ".", "x6", ["g6"], ["g6.1"]),
+        ("1", 300, 310, "+", "x7", ["g7"], ["g7.1"]), ("2", 30, 45, "+", "x8", ["g2"], ["g2.1"]), ("1", 45, 30, "+", "x9", ["g9"], ["g9.1"]), ("1", 3, 2000, "+", None, ["g1"], []),
+    ]
+    rows = [("s", kind, chromosome, lo, hi, strand, sites, 0.5) for kind, lo, hi, sites in events_of for chromosome in ("1", "3") for strand in "+-."]
+    found = written(spark.createDataFrame(rows, "sample string, event string, chromosome string, start int, end int, strand string, sites array<int>, psi double"), "events")
+    one, pairs = [annotated(found, spark.createDataFrame(exons, EXONS), bin_size=b) for b in (256, 8)]
+    by = lambda df: {(r.chromosome, r.strand, tuple(r.sites)): r for r in df.select(*one.columns).collect()}
+    got = by(one)
+    assert len(got) == one.count() == len(rows) and got == by(pairs)
+    assert all(r.is_novel and r.genes is r.transcripts is r.exons is None for r in got.values() if r.chromosome == "3")
+    return {(strand, *sites): (r.is_novel, r.genes, r.transcripts, r.exons) for (chromosome, strand, sites), r in got.items() if chromosome == "1"}, exchanges(one)
+
+
+def test_exclusive_events_are_shuffled_once(spark):
+    a, b, c = (10, 28, 50, 65, 85, 100), (10, 31, 46, 200, 205, 220), (10, 46, 50, 69, 81, 100)
+    got, shuffles = annotated_both_ways(spark, annotate.annotate_exclusive, [("MXE", s[0], s[5], list(s)) for s in (a, b, c)])
+    assert got["+", *a] == got[".", *a] == (False, ["g2"], ["g2.1", "g2.2"], ["x1", "x3"])
+    assert got["-", *a] == got["-", *b] == (True, [], ["g5.1"], ["x5"])
+    assert got["+", *b] == (True, None, None, None) and got[".", *b] == (True, ["g6"], ["g5.1", "g6.1"], ["x5", "x6"])
+    assert got["+", *c] == (True, ["g2"], ["g2.1", "g2.2"], ["x3"]) and got[".", *c] == (True, ["g2", "g4"], ["g2.1", "g2.2", "g4.1"], ["x3", "x4"])
+    assert shuffles <= 3
