@@ -1,6 +1,6 @@
 """Which annotated exons an event falls on, and what that makes of it.
 
-Events and exons meet in a binned interval join, MXE of usual width in one look-up for each event; an event without an
+Events and exons meet in a binned interval join, A3, A5 and MXE of usual width in one look-up for each event; an event without an
 exon stays, as novel, with null sets.
 """
 
@@ -90,12 +90,14 @@ def _sets_of(found: Column) -> list[Column]:
 def annotate_alternative(events: DataFrame, exons: DataFrame, bin_size: int = BIN, key: list[str] = EVENT_KEY) -> DataFrame:
     """A3 and A5 events with the exons whose edge lies within NEAR of one of the alternative sites."""
     events = once(events, "alternative")
-    near = lambda i, edge: F.abs(F.element_at("sites", i) - F.col(edge)) <= NEAR
-    same_start = F.element_at("sites", 1) == F.element_at("sites", 2)
-    test = F.when(same_start, near(3, "r_start") | near(4, "r_start")).otherwise(near(1, "r_end") | near(2, "r_end"))
-    pairs = interval_join(both_strands(events.select(*key)), _right(exons), ["chromosome", "join_strand"], bin_size, slack=NEAR, condition=test)
-    found = pairs.groupBy(*key).agg(*_sets()).withColumns({"subtype": F.lit("NA"), "is_novel": F.lit(False)})
-    return _onto(events, found, key)
+    same_start = _site(1) == _site(2)
+    near = lambda i, edge: F.abs(_site(i) - edge) <= NEAR
+    test = lambda start, end: F.when(same_start, near(3, start) | near(4, start)).otherwise(near(1, end) | near(2, end))
+    lo, hi = F.when(same_start, _site(3)).otherwise(_site(1)), F.when(same_start, _site(4)).otherwise(_site(2))
+    found = _with_found(events, exons, F.least(lo, hi), F.greatest(lo, hi), NEAR, test, bin_size, bin_size, key)
+    any_found = F.coalesce(F.size("found") > 0, F.lit(False))
+    out = found.withColumn("found", F.when(any_found, F.col("found")))
+    return out.select(*events.columns, *_sets_of(F.col("found")), F.lit("NA").alias("subtype"), F.col("found").isNull().alias("is_novel"))
 
 
 def annotate_exclusive(events: DataFrame, exons: DataFrame, bin_size: int = BIN, key: list[str] = EVENT_KEY) -> DataFrame:

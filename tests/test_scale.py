@@ -119,3 +119,12 @@ def test_exclusive_events_are_shuffled_once(spark):
     assert got["+", *b] == (True, None, None, None) and got[".", *b] == (True, ["g6"], ["g5.1", "g6.1"], ["x5", "x6"])
     assert got["+", *c] == (True, ["g2"], ["g2.1", "g2.2"], ["x3"]) and got[".", *c] == (True, ["g2", "g4"], ["g2.1", "g2.2", "g4.1"], ["x3", "x4"])
     assert shuffles <= 3
+
+
+def test_alternative_events_are_shuffled_once(spark):
+    a, b, c = (10, 10, 27, 60), (48, 83, 100, 100), (5, 200, 210, 210)
+    got, shuffles = annotated_both_ways(spark, annotate.annotate_alternative, [("A3", 27, 60, list(a)), ("A5", 48, 83, list(b)), ("A5", 5, 200, list(c))])
+    assert got["+", *a] == got[".", *a] == (False, ["g1", "g2", "g3"], ["g2.1"], ["x1", "x2"])
+    assert got["+", *b] == (False, ["g1", "g2"], ["g2.1", "g2.2"], ["x1", "x3"]) and got["-", *b] == (False, ["g4"], ["g4.1"], ["x4"])
+    assert got["-", *a] == got["+", *c] == got["-", *c] == (True, None, None, None)
+    assert shuffles <= 3
