@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from isoframe.operators import annotate, coverage, events, isoforms, psi, retention
+from isoframe.operators import annotate, coverage, events, isoforms, psi, retention, terminal
 from isoframe.plans import views
-from isoframe.schemas import EXONS, JUNCTIONS
+from isoframe.schemas import EXONS, JUNCTIONS, TRANSCRIPT_EXONS
 from isoframe.scratch import written
 from isoframe.sources import alignments
 
@@ -128,3 +128,18 @@ def test_alternative_events_are_shuffled_once(spark):
     assert got["+", *b] == (False, ["g1", "g2"], ["g2.1", "g2.2"], ["x1", "x3"]) and got["-", *b] == (False, ["g4"], ["g4.1"], ["x4"])
     assert got["-", *a] == got["+", *c] == got["-", *c] == (True, None, None, None)
     assert shuffles <= 3
+
+
+def test_terminal_exons_are_sent_nowhere_whole(spark):
+    """Second exons without a join of their own, events in one shuffle; nothing is broadcast, however small the files."""
+    placed = [(t, "g", "1", a, b, strand, f"{t}{a}") for strand, name in (("+", "p"), ("-", "m")) for t, outer in ((f"{name}1", 500), (f"{name}2", 900)) for a, b in ((100, 150), (300, 350), (outer, outer + 50))]
+    placed += [placed[1], (None, "g", "1", 300, 350, "+", "x"), ("q1", "g", "1", 40, 50, "+", "y"), ("q1", "g", "1", 300, 352, "+", "z")]
+    exons = spark.createDataFrame(placed, TRANSCRIPT_EXONS).localCheckpoint()
+    edges = {(r.strand, r.start, r.end): (sorted(r.first_ends), sorted(r.last_starts)) for r in terminal.second_exons(exons).collect()}
+    assert edges == {("+", 300, 350): ([150, 150], [500, 900]), ("+", 300, 352): ([50], [300]), ("-", 300, 350): ([150, 150], [500, 900])} and exchanges(terminal.second_exons(exons)) == 2
+    alt = [(kind, a, b, strand, [351, 351, a, b]) for kind, a, b in (("A3", 499, 899), ("A3", 496, 899)) for strand in "+-."] + [("A3", 497, 903, "+", [347, 347, 497, 903]), ("SE", 500, 900, "+", [350, 350, 500, 900]), ("A5", 149, 150, "+", [149, 150, 299, 299])]
+    found = spark.createDataFrame([("s", kind, "1", a, b, strand, sites) for kind, a, b, strand, sites in [*alt, alt[0]]], "sample string, event string, chromosome string, start int, end int, strand string, sites array<int>").localCheckpoint()
+    for bin_size in (256, 5):
+        out = terminal.terminal_subtypes(found, exons, bin_size)
+        assert sorted((r.strand, r.start, r.terminal) for r in out.collect()) == [("+", 149, "AFE"), ("+", 497, "ALE"), ("+", 499, "ALE"), ("-", 499, "AFE"), (".", 499, "ALE")]
+        assert exchanges(out) <= 5 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
